@@ -9,6 +9,8 @@ protocol publishes whole shards only and any store that Spark writes will do.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,10 +32,10 @@ SHARD_DDL = "bucket int, seq int, first_key bigint, last_key bigint, n_docs bigi
 U64 = (1 << 64) - 1
 
 
-def mix(x: np.ndarray | int, seed: int) -> np.ndarray:
-    """A 64-bit mixer (multiply and shift rounds) of integer keys under a seed."""
+def mix(x: np.ndarray | int, seed: np.ndarray | int) -> np.ndarray:
+    """A 64-bit mixer (multiply and shift rounds) of integer keys under a seed, or under each of several seeds in columns."""
     with np.errstate(over="ignore"):
-        z = np.asarray(x, dtype=np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & U64)
+        z = np.asarray(x, dtype=np.int64).view(np.uint64) + (np.asarray(seed, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
@@ -45,19 +47,25 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     buckets = max(1, n // 3)
     of = mix(keys, 0) % np.uint64(buckets)
     order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
+    edges = np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
     seeds, slots, taken = np.zeros(buckets, "<u4"), np.zeros(n, "<u4"), np.zeros(n, bool)
-    for b in np.argsort(-(edges[1:] - edges[:-1]), kind="stable").tolist():
+    for b in sorted(range(buckets), key=lambda b: edges[b] - edges[b + 1]):
         own = order[edges[b] : edges[b + 1]]
         if not len(own):
             break
-        seed = 1
+        first = 1
         while True:
-            at = mix(keys[own], seed) % np.uint64(n)
-            if not taken[at].any() and len(np.unique(at)) == len(at):
+            tried = np.arange(first, first + 64)
+            at = mix(keys[own][None, :], tried[:, None]) % np.uint64(n)
+            good = ~taken[at].any(axis=1)
+            if len(own) > 1:
+                ranked = np.sort(at, axis=1)
+                good &= (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
+            if good.any():
+                pick = int(np.argmax(good))
                 break
-            seed += 1
-        taken[at], slots[own], seeds[b] = True, at, seed
+            first += 64
+        taken[at[pick]], slots[own], seeds[b] = True, at[pick], first + pick
     return seeds, slots
 
 
@@ -109,34 +117,82 @@ class Shard:
         return None if i is None else self.entry(i)
 
 
+#: How the file's tokenizer splits lower-case Latin-1 text: contractions, letters, single digits, runs of the rest.
+LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
 class Encoder:
-    """The tokenizers library over a file that drops white space: pieces between blanks encode alone, so known pieces are looked up."""
+    """The tokenizers library over a file that drops white space and ignores case; pieces that it has encoded before are looked up.
+
+    Latin-1 texts, which no normal form changes, are split as the file says, and new pieces go to the library side by side in one text.
+    Other texts, and those with anything like an added token, go to the library between blanks.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.no_padding()
         self.t.no_truncation()
+        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
         self.width = 2 if self.t.get_vocab_size() <= 1 << 16 else 4
 
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, each one word to the library: encoded together and cut by its word numbers."""
+        out = {}
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
+            e = self.t.encode(" ".join(part), add_special_tokens=False)
+            of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, dtype="<u4")
+            if len(of) and of[-1] == len(part) - 1 and (np.diff(of) <= 1).all():
+                cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+                raw = ids.tobytes()
+                out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+            else:
+                out.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True))
+        return out
+
+    @staticmethod
+    def latin(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return "<|" not in text
+
     def batch(self, texts: list[str], end: int | None) -> list[bytes]:
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        long: dict[str, bytes] = {}
-        todo = list(new)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            for w, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHED_CHARS else long)[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if long:
-            known = known | long
-        return [b"".join([known[w] for w in words]) + tail for words in split]
+        plain = [self.latin(t) for t in texts]
+        split = [LATIN.findall(t.lower()) if ok else t.replace("\n", " ").split(" ") for t, ok in zip(texts, plain, strict=True)]
+        out = [b""] * len(texts)
+        for fast in (True, False):
+            own = [i for i, ok in enumerate(plain) if ok == fast]
+            if not own:
+                continue
+            known = self.pieces if fast else self.known
+            if len(known) > CACHE:
+                known.clear()
+                known[""] = b""
+            get = known.get
+            parts = [list(map(get, split[i])) for i in own]
+            gaps = [[x for x, p in enumerate(part) if p is None] for part in parts]
+            new = list({split[i][x] for i, gap in zip(own, gaps, strict=True) for x in gap})
+            if fast:
+                got = self._learn(new)
+            else:
+                got = {}
+                for i in range(0, len(new), 20_000):
+                    some = new[i : i + 20_000]
+                    got.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, self.t.encode_batch(some, add_special_tokens=False), strict=True))
+            for i, part, gap in zip(own, parts, gaps, strict=True):
+                words = split[i]
+                for x in gap:
+                    part[x] = got[words[x]]
+                out[i] = b"".join(part) + tail
+            known.update((w, ids) for w, ids in got.items() if len(w) <= CACHED_CHARS)
+        return out
 
 
 def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, shard_bytes: int = SHARD_BYTES) -> None:
