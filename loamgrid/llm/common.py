@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,12 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def range_splits(df: DataFrame, key: Column, n: int) -> list[int]:
     """At most ``n - 1`` values of an integer ``key`` that cut it into runs of about equal size. Only these reach the driver."""
     if n < 2:

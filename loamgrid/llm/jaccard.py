@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import _arrow_schema, cut, discard
+from loamgrid.llm.common import _arrow_schema, cut, discard, release
 from loamgrid.llm.graph import components
 
 WORDS = 5
 #: Every so many documents are read to estimate which columns are common; that only orders columns, no result depends on it.
-SAMPLE, COMMON, COMMON_MOST = 64, 3, 200_000
+SAMPLE, COMMON, COMMON_MOST = 16, 2, 1_000_000
 #: Rounds of pivots before all pairs of different components are multiplied.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Ids of active documents (8 bytes each) up to which they are broadcast to filter the texts.
 BROADCAST_IDS = 2_000_000
 CACHE = 400_000
@@ -155,6 +155,8 @@ def shingle_sets(texts: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
+    """``node, s``: names and all columns of the texts' sets."""
+
     def make():
         shingles = Shingler()
 
@@ -164,18 +166,31 @@ def whole_sets(texts: DataFrame) -> DataFrame:
 
         return fn
 
-    return _rows(texts, make, "n int, h bigint, s array<bigint>").select(F.struct("n", "h").alias("node"), "s").dropDuplicates(["node"])
+    return _rows(texts, make, "n int, h bigint, s array<bigint>").select(F.struct("n", "h").alias("node"), "s")
 
 
 def _size(a: str, b: str) -> str:
     return f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose whole sets have 100 * intersection >= 80 * union."""
+def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` of nodes whose whole sets have 100 * intersection >= 80 * union, as a written table.
+
+    Sets are read from one text per node that is in a pair (``names``: ``node, least``); where a text has another set because its id is
+    repeated, it joins with nothing.
+    """
+    pairs = cut(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    ids = cut(nodes.join(names, "node").select(F.col("least").alias("id")).distinct())
+    n = ids.count()
+    wanted = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = cut(whole_sets(wanted), "lz4_raw")
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    return x.where(180 * same >= 80 * (F.col("a.n") + F.col("b.n"))).select("a", "b")
+    out = cut(x.where(180 * same >= 80 * (F.col("a.n") + F.col("b.n"))).select("a", "b"))
+    discard(pairs, ids, sets)
+    release(texts.sparkSession)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,17 +211,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     live = cut(dealt.join(shared.hint("shuffle_hash"), "c").dropDuplicates(["c", "node"]))
     light = cut(base.select("id", "n", "h"))
     discard(base)
-    names = light.where("n > 0").groupBy("n", "h").agg(F.min("id").alias("least"))
-    active = cut(live.select("node").distinct().join(names.select(node, "least"), "node"))
-    n_active = active.count()
-    edges = labels = None
-    if n_active:
-        ids = active.select(F.col("least").alias("id")).distinct()
-        wanted = texts.join(F.broadcast(ids) if n_active <= BROADCAST_IDS else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
-        sets = cut(whole_sets(wanted).join(active.select("node"), "node", "left_semi"))
-        edges, labels = link(live, sets)
-        discard(sets)
-    class_of = names.select(node, "least")
+    release(spark)
+    class_of = cut(light.where("n > 0").groupBy("n", "h").agg(F.min("id").alias("least")).select(node, "least"))
+    labels = link(live, texts, class_of)
+    discard(live)
     if labels is not None:
         of = class_of.join(labels, "node", "left").select("node", "least", "root")
         best = of.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("best"))
@@ -215,8 +223,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("node.n").cast("long").alias("n_shingles"), F.coalesce("least", "id").cast(kind).alias("component_id"))
 
 
-def link(live: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Edges that join all components of the similarity graph over the columns in ``live`` (``c, node``), and ``node, root``."""
+def _hopeful(k, a: str, b: str):
+    """Whether ``k`` shared first columns can be those of a link: beyond them two sets share at most what the longer rest of them holds."""
+    rest = F.greatest(F.floor(F.col(f"{a}.n") * 4 / 5), F.floor(F.col(f"{b}.n") * 4 / 5))
+    return 9 * (k + rest + 1) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def link(live: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame | None:
+    """``node, root`` of the similarity graph over the columns in ``live`` (``c, node``): its components; None without links."""
     edges = labels = None
     band = F.floor(F.log(F.col("node.n")) / F.log(F.lit(1.25))).cast("int")
     rows = live.withColumn("root", F.col("node")).withColumn("band", band)
@@ -227,7 +241,8 @@ def link(live: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame
             pivot = rows.groupBy("c", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(rank.alias("r"), "node", "root")).alias("p")).where("lo <> hi").select("c", "band", "p")
             product = rows.join(pivot, ["c", "band"]).where("root <> p.root").where(_size("node.n", "p.node.n")).select(F.col("node").alias("x"), F.col("p.node").alias("y"))
             counts = product.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
-            top = counts.groupBy("x").agg(F.max(F.struct("k", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
+            # A pivot that shares too few columns here is left to the last step, which counts all.
+            top = counts.where(_hopeful(F.col("k"), "x", "y")).groupBy("x").agg(F.max(F.struct("k", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
             pairs = top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             mixed = rows.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
@@ -235,17 +250,13 @@ def link(live: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame
             x, y = own.select("c", F.col("node").alias("a"), F.col("root").alias("ra")), own.select("c", F.col("node").alias("b"), F.col("root").alias("rb"))
             product = x.join(y, (x["c"] == y["c"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(_size("a.n", "b.n"))).select("a", "b")
             counts = product.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-            # Shared columns beyond the first ones are at most those that the longer rest of the two holds.
-            rest = F.greatest(F.floor(F.col("a.n") * 4 / 5), F.floor(F.col("b.n") * 4 / 5))
-            pairs = counts.where(9 * (F.col("k") + rest + 1) >= 4 * (F.col("a.n") + F.col("b.n"))).select("a", "b")
-        found = cut(verified(pairs, sets))
+            pairs = counts.where(_hopeful(F.col("k"), "a", "b")).select("a", "b")
+        found = verified(pairs, texts, names)
         if not found.isEmpty():
             edges = found if edges is None else edges.unionAll(found)
             labels = cut(components(edges))
             rows = live.join(labels, "node", "left").select("c", "node", F.coalesce("root", "node").alias("root")).withColumn("band", band)
-        elif step < PIVOT_ROUNDS - 1:
-            continue
-    return edges, labels
+    return labels
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
