@@ -9,6 +9,8 @@ protocol publishes whole shards only and any store that Spark writes will do.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import re
 import struct
@@ -26,7 +28,7 @@ HEADER = struct.Struct("<8sHHIIIQ")
 MAGIC = b"LGIDS\0\0\1"
 #: Bytes of ids after which a shard ends; a longer document has a shard of its own.
 SHARD_BYTES = 1 << 20
-CACHE, CACHED_CHARS = 400_000, 40
+CACHE, CACHED_CHARS = 1_000_000, 40
 NO_KEY = -(1 << 63)
 SHARD_DDL = "bucket int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, blob binary"
 U64 = (1 << 64) - 1
@@ -142,8 +144,8 @@ class Encoder:
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of pieces, each one word to the library: encoded together and cut by its word numbers."""
         out = {}
-        for i in range(0, len(new), 5_000):
-            part = new[i : i + 5_000]
+        for i in range(0, len(new), 250):  # short texts: the library's bookkeeping grows faster than a text
+            part = new[i : i + 250]
             e = self.t.encode(" ".join(part), add_special_tokens=False)
             of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, dtype="<u4")
             if len(of) and of[-1] == len(part) - 1 and (np.diff(of) <= 1).all():
@@ -154,6 +156,14 @@ class Encoder:
                 out.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True))
         return out
 
+    @staticmethod
+    def _gaps(part: list[bytes | None]) -> list[int]:
+        out, at = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                out.append(at := part.index(None, at + 1))
+        return out
+
     @staticmethod
     def latin(text: str) -> bool:
         try:
@@ -177,7 +187,7 @@ class Encoder:
                 known[""] = b""
             get = known.get
             parts = [list(map(get, split[i])) for i in own]
-            gaps = [[x for x, p in enumerate(part) if p is None] for part in parts]
+            gaps = [self._gaps(part) for part in parts]
             new = list({split[i][x] for i, gap in zip(own, gaps, strict=True) for x in gap})
             if fast:
                 got = self._learn(new)
@@ -209,6 +219,7 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
     out = _arrow_schema(spark, SHARD_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and tracing the caches takes long
         enc = Encoder(tokenizer)
         bucket, seq, keys, docs, size = None, 0, [], [], 0
 
