@@ -22,8 +22,8 @@ from loamgrid.llm.graph import components
 WORDS = 5
 #: Every so many documents are read to estimate which columns are common; that only orders columns, no result depends on it.
 SAMPLE, COMMON, COMMON_MOST = 16, 2, 1_000_000
-#: Rounds of pivots before all pairs of different components are multiplied.
-PIVOT_ROUNDS = 2
+#: Rounds of pivots before all rows of different components are multiplied.
+PIVOT_ROUNDS = 3
 #: Ids of active documents (8 bytes each) up to which they are broadcast to filter the texts.
 BROADCAST_IDS = 2_000_000
 CACHE = 400_000
@@ -205,7 +205,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     base = cut(shingle_sets(texts, common_columns(texts)))
     node = F.struct("n", "h").alias("node")
-    postings = base.select(F.explode("first").alias("c"), node)
+    postings = base.select(F.posexplode("first").alias("at", "c"), node)
     dealt = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c")
     shared = dealt.groupBy("c").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("c")
     live = cut(dealt.join(shared.hint("shuffle_hash"), "c").dropDuplicates(["c", "node"]))
@@ -230,15 +230,18 @@ def _hopeful(k, a: str, b: str):
 
 
 def link(live: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame | None:
-    """``node, root`` of the similarity graph over the columns in ``live`` (``c, node``): its components; None without links."""
+    """``node, root`` of the similarity graph over the columns in ``live`` (``c, at, node``): its components; None without links."""
     edges = labels = None
     band = F.floor(F.log(F.col("node.n")) / F.log(F.lit(1.25))).cast("int")
     rows = live.withColumn("root", F.col("node")).withColumn("band", band)
     for step in range(PIVOT_ROUNDS + 1):
-        if step < PIVOT_ROUNDS:
-            # Rows of a band are within a factor of 1.25 in size; the pivot is the same row for most columns of a group of near copies.
+        last = step == PIVOT_ROUNDS
+        if not last:
+            # Rows of a band are within a factor of 1.25 in size. The pivot is a row of the block's largest component, so that most rows of
+            # a group of near copies meet a member of what is already joined.
             rank = F.xxhash64("node", F.lit(step))
-            pivot = rows.groupBy("c", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(rank.alias("r"), "node", "root")).alias("p")).where("lo <> hi").select("c", "band", "p")
+            parts = rows.groupBy("c", "band", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(rank.alias("r"), "node")).alias("p"))
+            pivot = parts.groupBy("c", "band").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root", "p.node")).alias("p")).where("roots > 1").select("c", "band", "p")
             product = rows.join(pivot, ["c", "band"]).where("root <> p.root").where(_size("node.n", "p.node.n")).select(F.col("node").alias("x"), F.col("p.node").alias("y"))
             counts = product.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
             # A pivot that shares too few columns here is left to the last step, which counts all.
@@ -247,15 +250,23 @@ def link(live: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame | Non
         else:
             mixed = rows.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
             own = rows.join(mixed, "c")
-            x, y = own.select("c", F.col("node").alias("a"), F.col("root").alias("ra")), own.select("c", F.col("node").alias("b"), F.col("root").alias("rb"))
-            product = x.join(y, (x["c"] == y["c"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(_size("a.n", "b.n"))).select("a", "b")
-            counts = product.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-            pairs = counts.where(_hopeful(F.col("k"), "a", "b")).select("a", "b")
+            x = own.select("c", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"))
+            y = own.select("c", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("pb"))
+            # At the first column that a pair shares, what stands before it in either row is not shared: the rest must do.
+            room = F.expr("9 * least(a.n - pa, b.n - pb) >= 4 * (a.n + b.n)")
+            product = x.join(y, (x["c"] == y["c"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(_size("a.n", "b.n")) & room).select("a", "b").distinct()
+            first = own.groupBy("node").agg(F.collect_list("c").alias("cs"))
+            both = product.join(first.select(F.col("node").alias("a"), F.col("cs").alias("ca")), "a").join(first.select(F.col("node").alias("b"), F.col("cs").alias("cb")), "b")
+            pairs = both.where(_hopeful(F.size(F.array_intersect("ca", "cb")), "a", "b")).select("a", "b")
         found = verified(pairs, texts, names)
+        if found.isEmpty() and last:
+            break
         if not found.isEmpty():
             edges = found if edges is None else edges.unionAll(found)
             labels = cut(components(edges))
-            rows = live.join(labels, "node", "left").select("c", "node", F.coalesce("root", "node").alias("root")).withColumn("band", band)
+            rows = live.join(labels, "node", "left").select("c", "at", "node", F.coalesce("root", "node").alias("root")).withColumn("band", band)
+        if last:
+            break
     return labels
 
 
