@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ SHARD_ROWS = 4_000_000
 RUN, QUANTILE = 4_000_000, 0.995
 #: Rows of trusted ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 2_000_000
+#: Rows of thresholds (about 40 bytes each) up to which they are broadcast.
+FEW = 100_000
 
 
 def symbols(text: str) -> np.ndarray:
@@ -122,15 +125,21 @@ class Tables(NamedTuple):
     floor: dict[str, float]
 
     @staticmethod
-    def of(rows) -> Tables:
+    def of(rows: pa.Table) -> Tables:
         by, floor = {}, {}
-        for (lang, k), part in rows.groupby(["lang", "k"]):
+        rows = rows.sort_by([("lang", "ascending"), ("k", "ascending")])
+        names, kinds = rows["lang"].dictionary_encode().combine_chunks(), rows["k"].to_numpy()
+        lang_at, langs = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
+        edges = np.flatnonzero(np.append(True, (np.diff(lang_at) != 0) | (np.diff(kinds) != 0))).tolist() + [rows.num_rows] if rows.num_rows else []
+        for a, b in zip(edges, edges[1:], strict=False):
+            lang, k, part = langs[lang_at[a]], int(kinds[a]), rows.slice(a, b - a)
             if k == 0:
-                floor[lang] = float(part["lp"].max())
+                floor[lang] = float(pa.compute.max(part["lp"]).as_py())
                 continue
-            g = part["g"].to_numpy(np.int64).view(np.uint64)
+            g = part["g"].to_numpy().astype(np.int64).view(np.uint64)
             order = np.argsort(g)
-            by[lang, int(k)] = g[order], part["lp"].to_numpy(np.float64)[order].astype(np.float32), np.nan_to_num(part["lb"].to_numpy(np.float64)[order]).astype(np.float32)
+            lp, lb = (part[c].to_numpy().astype(np.float32)[order] for c in ("lp", "lb"))
+            by[lang, k] = g[order], lp, np.nan_to_num(lb)
         return Tables(by, floor)
 
     def _at(self, lang: str, k: int, keys: np.ndarray):
@@ -184,7 +193,7 @@ def perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
     out = None
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     for i, part in enumerate(shards):
-        shared = spark.sparkContext.broadcast(Tables.of(part.toPandas()))
+        shared = spark.sparkContext.broadcast(Tables.of(part.toArrow()))
 
         def make(i=i, shared=shared):
             tables = shared.value
@@ -248,7 +257,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quantil
     by_band = seen.groupBy("lang", "band").agg(q.alias("tb"), F.count(F.lit(1)).alias("m"))
     by_lang = seen.groupBy("lang").agg(q.alias("tl"))
     # Bands are few (a logarithm of the length), languages as many as the table names.
-    out = scored.join(by_band, ["lang", "band"], "left").join(by_lang, "lang", "left")
+    by_band, by_lang = cut(by_band), cut(by_lang)
+    few = by_band.count() <= FEW
+    out = scored.join(F.broadcast(by_band) if few else by_band, ["lang", "band"], "left").join(F.broadcast(by_lang) if few else by_lang, "lang", "left")
     t = F.when(F.col("m") >= 200, F.greatest("tb", F.lit(0.0))).otherwise(F.col("tl"))
     return out.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_symbols"), F.col("ppl").alias("perplexity"), t.alias("threshold"), F.coalesce(F.col("ppl") <= t, F.lit(True)).alias("keep"))
 
