@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamgrid.plans.dialect import expand, run_sql
+from loamgrid.plans.sqlbook import BOOK
+
+
+def _run(template: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, template)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: partial(_run, text) for name, text in BOOK.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: expand(text, 1) for name, text in BOOK.items()}
