@@ -10,6 +10,7 @@ protocol publishes whole shards only and any store that Spark writes will do.
 from __future__ import annotations
 
 import contextlib
+import functools
 import gc
 import os
 import re
@@ -111,6 +112,14 @@ class Shard:
         slot = self.table[int(mix(key, seed)) % len(self.table)]
         return int(slot["entry"]) if int(slot["fp"]) == int(mix(key, 1 << 20)) >> 32 else None
 
+    def find_all(self, keys: np.ndarray) -> np.ndarray:
+        """``find`` of many keys at once; -1 for unknown ones."""
+        if not len(self.table):
+            return np.full(len(keys), -1, np.int64)
+        seed = self.seeds[(mix(keys, 0) % np.uint64(len(self.seeds))).astype(np.int64)]
+        slot = self.table[(mix(keys, seed) % np.uint64(len(self.table))).astype(np.int64)]
+        return np.where(slot["fp"] == (mix(keys, 1 << 20) >> np.uint64(32)), slot["entry"].astype(np.int64), -1)
+
     def entry(self, i: int) -> np.ndarray:
         return self.ids[int(self.offset[i]) : int(self.offset[i + 1])].astype("<u4")
 
@@ -120,7 +129,7 @@ class Shard:
 
 
 #: How the file's tokenizer splits lower-case Latin-1 text: contractions, letters, single digits, runs of the rest.
-LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+LATIN = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]")
 
 
 class Encoder:
@@ -205,6 +214,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process: a worker that runs further tasks keeps the pieces it knows."""
+    return Encoder(path)
+
+
 def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode ``text_col`` and write shards to ``path``, ids in ascending ``id_col`` order.
 
@@ -220,7 +235,7 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and tracing the caches takes long
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         bucket, seq, keys, docs, size = None, 0, [], [], 0
 
         def shard():
@@ -271,8 +286,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 base, s = batch.column(0)[i].as_py(), Shard(batch.column(1)[i].as_py())
                 got = []
-                for j, k in enumerate(s.keys.tolist()):
-                    found = s.find(k)
+                for j, (k, found) in enumerate(zip(s.keys.tolist(), s.find_all(s.keys).tolist(), strict=True)):
                     ids = s.entry(found if found == j else j)
                     got.append((None if k == NO_KEY else k, base + int(s.offset[j]), len(ids), zlib.crc32(ids.tobytes()), found == j))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
