@@ -7,6 +7,7 @@ the stored tokens back from the end emits the same ids that applying the merges
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -151,6 +152,12 @@ class Codec:
         return b"".join([of[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One codec per worker process: a worker that runs further tasks keeps what it knows."""
+    return Codec(path)
+
+
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded``.
 
@@ -160,7 +167,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = dict(df.dtypes)[id_col]
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def run(keys, texts):
             rows = []
@@ -179,7 +186,7 @@ def digest_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = dict(df.dtypes)[id_col]
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def run(keys, texts):
             rows = []
