@@ -271,7 +271,9 @@ def link(live: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame | Non
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the least id's (ties: the greatest text). Rows with a null id stay. All columns stay."""
-    groups = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    left = docs.join(groups, docs["doc_id"] == groups["__keep"], "left_semi")
-    return left.unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each component, all columns: the row of the least id where ids are unique and not null, else any one row."""
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    rows = docs.withColumn("__row", F.col("doc_id").cast("long")) if n == ids else cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    keep = cut(near_duplicates(rows, "__row").where("__row = component_id").select(F.col("__row").alias("__keep")))
+    small = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep
+    return rows.join(small, rows["__row"] == small["__keep"], "left_semi").drop("__row")
