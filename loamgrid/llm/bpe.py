@@ -7,7 +7,6 @@ the stored tokens back from the end emits the same ids that applying the merges
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -16,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import map_texts
+from loamgrid.llm.common import map_texts, worker_state
 
 #: White space as the tokenizer's pattern sees it (Unicode White_Space).
 WS = "\t-\r \x85\xa0  -     　"
@@ -152,10 +151,9 @@ class Codec:
         return b"".join([of[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=1)
 def codec_of(path: str) -> Codec:
     """One codec per worker process: a worker that runs further tasks keeps what it knows."""
-    return Codec(path)
+    return worker_state(("bpe", path), lambda: Codec(path))
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +176,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         return run
 
-    return map_texts(df, [F.col(id_col)], F.col(text_col), make, f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded string")
+    return map_texts(df, [F.col(id_col)], F.col(text_col), make, f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded string", keeps=True)
 
 
 def digest_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,4 +195,4 @@ def digest_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         return run
 
-    return map_texts(df, [F.col(id_col)], F.col(text_col), make, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_texts(df, [F.col(id_col)], F.col(text_col), make, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", keeps=True)

@@ -78,16 +78,43 @@ def bucket_of(key: Column, splits: list[int]) -> Column:
     return (block * step + F.size(inside)).cast("int")
 
 
-def map_texts(df: DataFrame, keys: list[Column], text: Column, make: Callable[[], Callable[[list, list], list]], schema: str) -> DataFrame:
+#: What a worker process keeps from one task to the next: the state of one operator at most.
+_STATE: dict = {}
+#: Rows of an Arrow batch at most, so that batches of long texts stay small on both sides.
+BATCH_ROWS = 1_000
+
+
+def worker_state(key, make: Callable[[], object] | None = None):
+    """The state ``key`` of this worker process, made once; that of any other operator is dropped. Without ``make``: drop all."""
+    if make is None:
+        _STATE.clear()
+        return None
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to BATCH_ROWS rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def map_texts(df: DataFrame, keys: list[Column], text: Column, make: Callable[[], Callable[[list, list], list]], schema: str, keeps: bool = False) -> DataFrame:
     """Apply a function to (keys..., text) rows in Arrow batches; null texts arrive as ''.
 
     ``make()`` runs once per task and returns ``fn(rows_of_keys, texts) -> rows`` (tuples in the schema's order). Only the named
-    columns are read, so other columns of ``df`` can have any name.
+    columns are read, so other columns of ``df`` can have any name. ``keeps``: ``make`` uses ``worker_state``.
     """
+    small_batches(df.sparkSession)
     picked = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.coalesce(text.cast("string"), F.lit("")).alias("t"))
     out = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            worker_state(None)
         fn = make()
         for batch in batches:
             lengths = pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_pylist()

@@ -10,7 +10,6 @@ protocol publishes whole shards only and any store that Spark writes will do.
 from __future__ import annotations
 
 import contextlib
-import functools
 import gc
 import os
 import re
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import _arrow_schema, bucket_of, range_splits, shared_dir
+from loamgrid.llm.common import _arrow_schema, bucket_of, range_splits, shared_dir, small_batches, worker_state
 
 HEADER = struct.Struct("<8sHHIIIQ")
 MAGIC = b"LGIDS\0\0\1"
@@ -214,10 +213,9 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process: a worker that runs further tasks keeps the pieces it knows."""
-    return Encoder(path)
+    return worker_state(("ids", path), lambda: Encoder(path))
 
 
 def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, shard_bytes: int = SHARD_BYTES) -> None:
@@ -227,6 +225,7 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
     Buckets are runs of keys of about equal count, so no task holds more than its share; within one, shards stream out.
     """
     spark = df.sparkSession
+    small_batches(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_KEY))
     rows = df.select(key.alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import _arrow_schema, cut, discard, release
+from loamgrid.llm.common import _arrow_schema, cut, discard, release, small_batches, worker_state
 from loamgrid.llm.graph import components
 
 WORDS = 5
@@ -26,7 +26,7 @@ SAMPLE, COMMON, COMMON_MOST = 16, 2, 1_000_000
 PIVOT_ROUNDS = 3
 #: Ids of active documents (8 bytes each) up to which they are broadcast to filter the texts.
 BROADCAST_IDS = 2_000_000
-CACHE = 400_000
+CACHE = 250_000
 PRIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -77,8 +77,10 @@ class Shingler:
 def _rows(df: DataFrame, make, ddl: str) -> DataFrame:
     """``make()`` gives ``fn(id, text) -> rows``; batches of rows go out as soon as they hold enough values."""
     out = _arrow_schema(df.sparkSession, ddl)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None)
         fn = make()
         rows, held = [], 0
 
@@ -91,7 +93,7 @@ def _rows(df: DataFrame, make, ddl: str) -> DataFrame:
                 for row, weight in fn(ids[i], batch.column(1)[i].as_py() or ""):
                     rows.append(row)
                     held += weight
-                if held > 500_000:
+                if held > 250_000:
                     yield pack()
                     rows, held = [], 0
         if rows:

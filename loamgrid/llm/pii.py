@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import map_texts
+from loamgrid.llm.common import map_texts, small_batches, worker_state
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account")
 BASE = KINDS[:4]
@@ -178,7 +178,10 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
     """``df`` with personal data in ``text_col`` replaced; ``length_col`` follows. Nulls stay null; all rows and other columns stay."""
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
+        worker_state(None)
         return texts.map(redact_text, na_action="ignore")
 
+    small_batches(df.sparkSession)
+
     out = df.withColumn(text_col, clean(F.col(text_col)))
     return out.withColumn(length_col, F.length(text_col).cast(dict(df.dtypes)[length_col])) if length_col and length_col in df.columns else out

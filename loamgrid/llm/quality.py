@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import _arrow_schema, cut, map_texts
+from loamgrid.llm.common import _arrow_schema, cut, map_texts, small_batches, worker_state
 
 ORDER, BITS = 4, 16
 OTHER = (1 << BITS) - 1
@@ -51,8 +51,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """``lang, g, c`` over all rows of ``lang, t``."""
     ddl = "lang string, g bigint, c bigint"
     out = _arrow_schema(texts.sparkSession, ddl)
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None)
         held: dict[str, list[np.ndarray]] = {}
         size: dict[str, int] = {}
 

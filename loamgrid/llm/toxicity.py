@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import _arrow_schema, map_texts
+from loamgrid.llm.common import _arrow_schema, map_texts, small_batches, worker_state
 
 #: The bounded sample that the model is fitted on: labelled rows in the order of a hash of their id. Documented parameter.
 TRAIN_ROWS = 8_000
@@ -28,7 +28,7 @@ EPOCHS, RATE, DECAY, BIAS = 80, 0.25, 2e-4, -5.0
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 #: Word scores that a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def features(word: str) -> list[str]:
@@ -178,7 +178,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        own, known = Model(*shared.value), {}
+        own, known = worker_state(("toxicity", id(shared.value)), lambda: (Model(*shared.value), {}))
         return texts.map(lambda t: noisy_or(locate(t, own, known)))
 
+    small_batches(docs.sparkSession)
     return docs.where(score(F.col("text")) < 0.5)
