@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -173,12 +174,12 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic by a model trained on their own labels; every column and repeated row stays."""
-    model = train(docs, labels)
+    model, name = train(docs, labels), uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        own, known = worker_state(("toxicity", id(shared.value)), lambda: (Model(*shared.value), {}))
+        own, known = worker_state(("toxicity", name), lambda: (Model(*shared.value), {}))
         return texts.map(lambda t: noisy_or(locate(t, own, known)))
 
     small_batches(docs.sparkSession)
