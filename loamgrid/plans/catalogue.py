@@ -6,17 +6,38 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loamgrid.functions.text import plain_words
+from loamgrid.operators.packing import next_fit
 from loamgrid.plans.dialect import expand, run_sql
 from loamgrid.plans.sqlbook import BOOK
+from loamgrid.sources.files import html_to_text
+from loamgrid.streaming.windows import windowed_counts
 
 
 def _run(template: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, template)
 
 
+def html_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+def greedy_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", F.size(plain_words(F.col("text"))).cast("bigint").alias("n_words"))
+    return next_fit(docs, "source", "doc_id", "n_words")
+
+
+def _windows(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), kind)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_run, text) for name, text in BOOK.items()}
+    out = {name: partial(_run, text) for name, text in BOOK.items()}
+    out |= {"html_plain_text": html_plain_text, "greedy_bins": greedy_bins}
+    return out | {f"{kind}_windows": partial(_windows, kind) for kind in ("tumbling", "sliding", "session")}
 
 
 def oracle_sql() -> dict[str, str]:
