@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         got = [(None, model.bias), *model.weights.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
 
-    got = sample.coalesce(1).mapInArrow(run, ddl).collect()
+    got = sample.repartition(1).mapInArrow(run, ddl).collect()
     return Model(next((r.weight for r in got if r.word is None), BIAS), {r.word: r.weight for r in got if r.word is not None})
 
 
