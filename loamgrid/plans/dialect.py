@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+LNFACT = "(({0} + 7.5e0) * ln({0} + 8.0e0) - ({0} + 8.0e0) + 0.9189385332046727e0 + 1.0e0 / (12.0e0 * ({0} + 8.0e0)) - 1.0e0 / (360.0e0 * power({0} + 8.0e0, 3)) + 1.0e0 / (1260.0e0 * power({0} + 8.0e0, 5)) - ln(({0} + 1.0e0) * ({0} + 2.0e0) * ({0} + 3.0e0) * ({0} + 4.0e0) * ({0} + 5.0e0) * ({0} + 6.0e0) * ({0} + 7.0e0)))"
+
 #: name -> (Spark, DuckDB); {0}, {1}, ... are the arguments.
 MACROS = {
     "words": ("regexp_extract_all(lower({0}), '([a-z0-9]+)')", "regexp_extract_all(lower({0}), '[a-z0-9]+')"),
@@ -36,6 +38,8 @@ MACROS = {
     "pos": ("CAST(instr({0}, {1}) AS BIGINT)", "CAST(strpos({0}, {1}) AS BIGINT)"),
     "tail": ("element_at(split({0}, {1}), -1)", "list_extract(string_split({0}, {1}), -1)"),
     "dbl": ("CAST({0} AS DOUBLE)", "CAST({0} AS DOUBLE)"),
+    # Logarithm of a factorial: Stirling's series seven places further on.
+    "lnfact": (LNFACT, LNFACT),
     "small": ("/*+ BROADCAST({0}) */", ""),
 }
 

@@ -58,3 +58,9 @@ def test_entry_imports_and_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_factorials(duck):
+    for n in (0, 1, 5, 170, 10**9):
+        got = duck.execute(f"SELECT {expand(f'@lnfact({n}e0)', 1)}").fetchall()[0][0]
+        assert math.isclose(got, math.lgamma(n + 1), rel_tol=1e-12, abs_tol=1e-9)
