@@ -1,5 +1,7 @@
 """Sources, streaming and packing on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,12 @@ def test_functions(spark):
 def test_next_fit(spark):
     rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([1000, 1000, 100, 3000, 5])], "g string, i int, n int")
     assert [r.bin for r in next_fit(rows, "g", "i", "n").orderBy("i").collect()] == [0, 0, 1, 2, 3]
+
+
+def test_next_fit_runs_agree(spark):
+    rnd = random.Random(5)
+    sizes = [rnd.choice([0, 1, 7, 60, 300, 1000, 2048, 2500]) for _ in range(400)]
+    rows = spark.createDataFrame([("hot" if i % 4 else None, i if i else None, n if i % 50 else None, "x") for i, n in enumerate(sizes)], "g string, i int, n int, c string")
+    whole, split = ({(r.i, r.g): r.bin for r in next_fit(rows, "g", "i", "n", run_rows=k).collect()} for k in (1_000, 17))
+    assert whole == split and len(whole) == len(sizes)
+    assert next_fit(rows.limit(0), "g", "i", "n").count() == 0
