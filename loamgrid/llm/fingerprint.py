@@ -3,7 +3,8 @@
 A text is a set of units (sentences of its lines, wrapped at UNIT_CHARS code points from their start) given by 64-bit digests. A sketch
 has three subtables of ``s`` cells; each digest enters one cell of each, which holds a count, the XOR of its digests and the XOR of their
 check values. Two sketches subtract cell by cell; units that both texts have cancel. Peeling takes digests out of cells that hold just
-one, until all cells are empty and the differing digests are known; where that fails, both sketches are built again, larger.
+one, until all cells are empty and the differing digests are known; where that fails, both sketches are built again, larger, until
+they hold the difference.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from loamgrid.llm.common import bucket_of, range_splits
 
 UNIT_CHARS = 64
-#: Cells per subtable of the fingerprint, and of the sketches tried one after the other where peeling fails.
+#: Cells per subtable of the fingerprint, and of the sketches tried one after the other where peeling fails; after the last of these
+#: come sketches of four times the cells each, until one peels. GROWTHS of them exceed the distinct units that a text can have.
 CELLS, RETRIES = 20, (80, 320)
-#: Rounds of peeling; each takes all single digests out at once, so that few are needed below the sketch's capacity.
-ROUNDS = 12
+GROWTHS = 10
 FIRST_KEY = -(1 << 63)
 
 
@@ -35,32 +36,49 @@ def _groups(s: int) -> int:
     return max(d for d in range(1, int(s**0.5) + 1) if s % d == 0)
 
 
-def sketch_sql(units: str, s: int) -> str:
-    """Cells of an array of digests: array<struct<n int, k bigint, c bigint>> with 3 * s elements.
+def _cells_sql(keys: str, s: int | str, g: int | str, count: str) -> str:
+    """Cells of an array<struct<h, c, ...>>, with ``count`` of the elements ``f`` of each. ``s`` and its divisor ``g``: numbers or SQL.
 
-    Digests of a subtable are first dealt to about sqrt(s) runs of cells and then to the cells, two short searches in place of a long one.
+    Digests of a subtable are first dealt to ``g`` runs of cells and then to the cells, two short searches in place of a long one.
     """
-    g = _groups(s)
-    m = s // g
-    cell = "transform(array(filter(own, x -> x.p = j)), f -> named_struct('n', size(f), 'k', aggregate(f, 0L, (a, x) -> a ^ x.h), 'c', aggregate(f, 0L, (a, x) -> a ^ x.c)))[0]"
-    run = f"transform(array(filter(e, x -> x.q = i)), own -> transform(sequence(i * {m}, i * {m} + {m - 1}), j -> {cell}))[0]"
-    at = [f"CAST(pmod(shiftrightunsigned(y.h, {21 * t}), {s}L) AS INT)" for t in range(3)]
-    tables = [f"transform(array(transform(u, y -> named_struct('h', y.h, 'c', y.c, 'p', {p}, 'q', {p} div {m}))), e -> flatten(transform(sequence(0, {g - 1}), i -> {run.replace('x.q = i', 'CAST(x.q AS INT) = i')})))[0]" for p in at]
-    return f"transform(array(transform({units}, h -> named_struct('h', h, 'c', {_check('h')}))), u -> concat({', '.join(tables)}))[0]"
+    m = s // g if isinstance(s, int) else f"CAST({s} div {g} AS INT)"
+    cell = f"transform(array(filter(own, x -> x.p = j)), f -> named_struct('n', {count}, 'k', aggregate(f, 0L, (a, x) -> a ^ x.h), 'c', aggregate(f, 0L, (a, x) -> a ^ x.c)))[0]"
+    run = f"transform(array(filter(e, x -> x.q = i)), own -> transform(sequence(i * {m}, i * {m} + {m} - 1), j -> {cell}))[0]"
+    at = [f"CAST(pmod(shiftrightunsigned(y.h, {21 * t}), CAST({s} AS BIGINT)) AS INT)" for t in range(3)]
+    tables = [f"transform(array(transform(u, y -> named_struct('h', y.h, 'c', y.c, 'n', y.n, 'p', {p}, 'q', CAST({p} div {m} AS INT)))), e -> flatten(transform(sequence(0, {g} - 1), i -> {run})))[0]" for p in at]
+    return f"transform(array({keys}), u -> concat({', '.join(tables)}))[0]"
+
+
+def sketch_sql(units: str, s: int | str, g: int | str | None = None) -> str:
+    """Cells of an array of digests: array<struct<n int, k bigint, c bigint>> with 3 * s elements."""
+    return _cells_sql(f"transform({units}, h -> named_struct('h', h, 'c', {_check('h')}, 'n', 1))", s, g or _groups(s), "size(f)")
 
 
 def subtract_sql(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
 
-def peel_sql(cells: str, s: int) -> str:
-    """struct<cells, got array<struct<k, n>>, more boolean>: ``got`` has the digests taken out, n > 0 for the first text's."""
-    single = f"array_distinct(transform(filter(acc.cells, x -> abs(x.n) = 1 AND x.c = {_check('x.k')}), x -> named_struct('k', x.k, 'n', x.n)))"
-    mine = f"filter(one, p -> pmod(shiftrightunsigned(p.k, CAST(21 * (j div {s}) AS INT)), {s}L) = j % {s})"
-    less = f"transform(array({mine}), m -> named_struct('n', x.n - aggregate(m, 0, (a, p) -> a + p.n), 'k', aggregate(m, x.k, (a, p) -> a ^ p.k), 'c', aggregate(m, x.c, (a, p) -> a ^ {_check('p.k')})))[0]"
-    step = f"transform(array({single}), one -> IF(size(one) = 0, named_struct('cells', acc.cells, 'got', acc.got, 'more', false), named_struct('cells', transform(acc.cells, (x, j) -> {less}), 'got', concat(acc.got, one), 'more', true)))[0]"
+def peel_sql(cells: str, s: int | str, g: int | str | None = None) -> str:
+    """struct<cells, got array<struct<k, n>>, more boolean>: ``got`` has the digests taken out, n > 0 for the first text's.
+
+    Each round takes all single digests out at once, as a sketch of their own; the rounds end where none is found. Each takes one at
+    least, so that there are never more of them than cells.
+    """
+    sides = [f"transform(array_distinct(transform(filter(acc.cells, x -> x.n = {n} AND x.c = {_check('x.k')}), x -> x.k)), k -> named_struct('k', k, 'n', {n}))" for n in (1, -1)]
+    single = f"concat({', '.join(sides)})"
+    taken = _cells_sql(f"transform(one, o -> named_struct('h', o.k, 'c', {_check('o.k')}, 'n', o.n))", s, g or _groups(s), "aggregate(f, 0, (a, x) -> a + x.n)")
+    step = f"transform(array({single}), one -> IF(size(one) = 0, named_struct('cells', acc.cells, 'got', acc.got, 'more', false), named_struct('cells', {subtract_sql('acc.cells', taken)}, 'got', concat(acc.got, one), 'more', true)))[0]"
     start = f"named_struct('cells', {cells}, 'got', CAST(array() AS array<struct<k:bigint,n:int>>), 'more', true)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (acc, i) -> IF(acc.more, {step}, acc))"
+    return f"aggregate(sequence(1, CAST(3 * {s} AS INT)), {start}, (acc, r) -> IF(acc.more, {step}, acc))"
+
+
+def grow_sql(a: str, b: str, s: int) -> str:
+    """struct<s bigint, p struct>: the first sketch of 4 * s, 16 * s, ... cells per subtable that peels, and what ``peel_sql`` gives of it."""
+    size, g = "CAST(big.s * 4 AS BIGINT)", f"CAST({_groups(s)} * shiftleft(1, grown) AS INT)"
+    peeled = peel_sql(subtract_sql(sketch_sql(a, "w.s", "w.g"), sketch_sql(b, "w.s", "w.g")), "w.s", "w.g")
+    tried = f"transform(array(named_struct('s', {size}, 'g', {g})), w -> named_struct('s', w.s, 'p', {peeled}))[0]"
+    none = "CAST(NULL AS struct<cells:array<struct<n:int,k:bigint,c:bigint>>,got:array<struct<k:bigint,n:int>>,more:boolean>)"
+    return f"aggregate(sequence(1, {GROWTHS}), named_struct('s', {s}L, 'p', {none}), (big, grown) -> IF(coalesce({emptied_sql('big.p')}, false), big, {tried}))"
 
 
 def emptied_sql(peeled: str) -> str:
@@ -104,8 +122,7 @@ def fingerprint_versions(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprint every text and an edited version (its last quarter replaced by the start of the next text), and compare them.
 
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_differ, sketch_cells``:
-    ``n_differ`` counts the digests that peeling recovered from a sketch of ``sketch_cells`` cells (both null where even the largest
-    fails and the likeness is estimated from the counts). Null texts are empty; null ids come first; equal ids are ordered by text and
+    ``n_differ`` counts the digests that peeling recovered from a sketch of ``sketch_cells`` cells, grown until it holds them. Null texts are empty; null ids come first; equal ids are ordered by text and
     all stay; one row is its own successor; an empty table gives an empty table; other columns are not read.
     """
     spark = df.sparkSession
@@ -127,8 +144,11 @@ def fingerprint_versions(df: DataFrame, id_col: str = "doc_id", text_col: str =
         ok = f"coalesce({emptied_sql(f'p{i}')}, false)"
         found.append((ok, f"size(p{i}.got)", s))
         tried = f"({tried} OR {ok})"
+    x = x.selectExpr("*", f"IF({tried}, NULL, {grow_sql('ut', 'ue', RETRIES[-1])}) AS pg")
+    grown = f"coalesce({emptied_sql('pg.p')}, false)"
+    found.append((grown, "size(pg.p.got)", "pg.s"))
     when = " ".join(f"WHEN {ok} THEN {n}" for ok, n, _ in found)
-    size = " ".join(f"WHEN {ok} THEN {3 * s}" for ok, _, s in found)
+    size = " ".join(f"WHEN {ok} THEN CAST(3 * {s} AS INT)" for ok, _, s in found)
     x = x.selectExpr("*", f"CASE {when} END AS n_differ", f"CASE {size} END AS sketch_cells")
     guess_e, guess_n = estimate_sql("d0", CELLS, "(nt - ne)"), estimate_sql("dn", CELLS, "(nt - nn)")
     kind = dict(df.dtypes)[id_col]
@@ -147,9 +167,9 @@ def fingerprint_versions(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def compare_versions(df: DataFrame, old: str, new: str, cells: int = CELLS, retries: tuple[int, ...] = RETRIES) -> DataFrame:
-    """Digests that differ between two text columns: ``df`` plus ``only_old``, ``only_new`` (array<bigint>, null where no sketch peels).
+    """Digests that differ between two text columns: ``df`` plus ``only_old``, ``only_new`` (array<bigint>).
 
-    Null texts are empty. The columns are added last, under names that ``df`` must not have.
+    Sketches of ``cells`` and ``retries`` are tried, then larger ones until one peels. Null texts are empty. The columns are added last, under names that ``df`` must not have.
     """
     a, b = f"coalesce({old}, '')", f"coalesce({new}, '')"
     out = df.selectExpr("*", f"{units_sql(a)} AS __ua", f"{units_sql(b)} AS __ub")
@@ -158,6 +178,8 @@ def compare_versions(df: DataFrame, old: str, new: str, cells: int = CELLS, retr
         peeled = peel_sql(subtract_sql(sketch_sql("__ua", s), sketch_sql("__ub", s)), s)
         out = out.withColumn("__p", F.expr(f"IF(__got IS NULL, {peeled}, NULL)"))
         out = out.withColumn("__got", F.expr(f"coalesce(__got, IF({emptied_sql('__p')}, __p.got, NULL))")).drop("__p")
+    out = out.withColumn("__p", F.expr(f"IF(__got IS NULL, {grow_sql('__ua', '__ub', (cells, *retries)[-1])}, NULL)"))
+    out = out.withColumn("__got", F.expr(f"coalesce(__got, IF({emptied_sql('__p.p')}, __p.p.got, NULL))")).drop("__p")
 
     def side(sign: int) -> Column:
         return F.expr(f"transform(filter(__got, x -> x.n = {sign}), x -> x.k)")

@@ -166,6 +166,21 @@ def test_fingerprint_difference_is_recovered(spark):
     assert [(len(x.only_old), len(x.only_new)) for x in r] == [(2, 2), (0, 1), (0, 0)]
 
 
+def test_fingerprint_difference_of_long_texts_is_recovered(spark):
+    rnd = random.Random(6)
+    texts = ["\n".join(f"line {rnd.randrange(1 << 60)} of {i}" for i in range(n)) for n in (900, 3000, 1300)]
+    units = [set(re.findall(r"[^\n.!?]{1,64}[.!?]*", t)) for t in texts]
+    rows = spark.createDataFrame([(texts[0], texts[1]), (texts[2], None)], "o string, n string")
+    r = fingerprint.compare_versions(rows, "o", "n").collect()
+    assert [(len(x.only_old), len(x.only_new)) for x in r] == [(900, 3000), (1300, 0)]
+    got = fingerprint.fingerprint_versions(docs(spark, texts), parts=2).orderBy("doc_id").collect()
+    for i, (t, u, r) in enumerate(zip(texts, units, got, strict=True)):
+        q = len(t) // 4
+        edited = set(re.findall(r"[^\n.!?]{1,64}[.!?]*", t[: len(t) - q] + texts[(i + 1) % 3][:q]))
+        assert r.n_differ == len(u ^ edited) and r.sketch_cells >= r.n_differ
+        assert abs(r.near_edited - (1 - len(u ^ edited) / (len(u) + len(edited)))) < 1e-12
+
+
 def test_decontamination(spark):
     rnd = random.Random(9)
     item = [f"item{rnd.randrange(900)}" for _ in range(40)]
