@@ -20,8 +20,10 @@ from loamgrid.llm.common import map_texts
 
 #: Edits per word of an item up to which a passage is a copy; items of fewer words are no evidence and match nothing.
 EDITS, MIN_WORDS = 0.2, 5
-#: Walks and places per walk: at EDITS edits a copy is missed by all walks with a chance below 0.001 (measured in the tests).
-REPEATS, SAMPLED = 16, 2
+#: Walks and places per walk. The first places of the walks are spread evenly over REACH steps a word, before most walks leave their
+#: row, and the second follows within NEAR steps: places close together survive edits together. Recall is measured in the tests, by size
+#: and kind of edit.
+REPEATS, SAMPLED, REACH, NEAR = 48, 2, 1.5, 3
 #: Code points of items in one block; a larger item table is searched block by block, each against all documents.
 BLOCK_CHARS = 4_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -37,8 +39,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def cgk(rows: np.ndarray, sizes: np.ndarray, repeats: int) -> np.ndarray:
-    """Embeddings of symbol rows, ``[step, repeat, row]``: three times as many steps as the widest row has symbols.
+def cgk(rows: np.ndarray, sizes: np.ndarray, repeats: int, steps: int | None = None) -> np.ndarray:
+    """Embeddings of symbol rows, ``[step, repeat, row]``: three times as many steps as the widest row has symbols, or the first ``steps``.
 
     A row's symbols beyond its size must be PAD; a walk that has left its row reads PAD for ever.
     """
@@ -47,22 +49,31 @@ def cgk(rows: np.ndarray, sizes: np.ndarray, repeats: int) -> np.ndarray:
     flat, first = np.broadcast_to(padded, (repeats, n, width + 1)).reshape(-1), np.arange(repeats * n, dtype=np.int64) * (width + 1)
     at, last = first.copy(), first + np.tile(sizes, repeats)
     salt = mix(np.arange(1, repeats + 1, dtype=np.uint64) * SEED)
-    out = np.empty((3 * width, repeats * n), np.uint32)
-    for j in range(3 * width):
+    steps = 3 * width if steps is None else steps
+    out = np.empty((steps, repeats * n), np.uint32)
+    for j in range(steps):
         if j % 64 == 0:
             with np.errstate(over="ignore"):
                 bits = mix((padded + np.uint64(1))[None] * SEED + (salt + np.uint64(j // 64 * 7919 + 17))[:, None, None]).reshape(-1)
         out[j] = flat[at]
         at += ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
         np.minimum(at, last, out=at)
-    return out.reshape(3 * width, repeats, n)
+    return out.reshape(steps, repeats, n)
+
+
+def sampled_places(size: int) -> np.ndarray:
+    """Places ``[repeat, SAMPLED]`` of the embedding that windows of ``size`` words are compared at, rising in each row."""
+    draw = np.random.default_rng(size)
+    first = ((np.arange(REPEATS) + draw.random(REPEATS)) * int(REACH * size) / REPEATS).astype(np.int64)
+    gaps = 1 + draw.integers(0, NEAR, (REPEATS, SAMPLED - 1))
+    return np.concatenate([first[:, None], first[:, None] + np.cumsum(gaps, axis=1)], axis=1)
 
 
 def sampled_keys(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit key per row and repeat, ``[repeat, row]``: SAMPLED places of the embedding, the same ones for all rows of a size."""
-    e = cgk(rows, sizes, REPEATS)
     distinct, which = np.unique(sizes, return_inverse=True)
-    places = np.stack([np.stack([np.random.default_rng([r, int(size)]).choice(3 * int(size), SAMPLED, replace=False) for r in range(REPEATS)]) for size in distinct])
+    places = np.stack([sampled_places(int(size)) for size in distinct])
+    e = cgk(rows[:, : sizes.max()], sizes, REPEATS, int(places.max()) + 1)
     key = np.broadcast_to(sizes.astype(np.uint64), (REPEATS, len(rows)))
     r, x = np.arange(REPEATS)[:, None], np.arange(len(rows))[None]
     with np.errstate(over="ignore"):
@@ -162,7 +173,8 @@ class Block:
 
     def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, end word, distance) of the best copy of each item in each document."""
-        places = [(d, start, size) for d, doc in enumerate(docs) for size, start in sorted(self.windows(doc))]
+        places = [(d, start, size) for d, doc in enumerate(docs) for size, start in self.windows(doc)]
+        places.sort(key=lambda x: (x[2], x[0], x[1]))  # by size: a batch takes the steps that its widest window needs
         pairs: set[tuple[int, int, int]] = set()
         for lo in range(0, len(places), 1024):
             part = places[lo : lo + 1024]
