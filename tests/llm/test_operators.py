@@ -277,6 +277,57 @@ def test_licenses(spark):
     assert got["a/b/c/d/e.txt"] == ("MIT", "inherited", "/a/b/c") and got["z.txt"] == (None, "none", None) and len(got) == 6
 
 
+GNU = """{c} This {what} is free software{a} you can redistribute it and/or modify
+{c} it under the terms of the GNU {name}General Public License as published by
+{c} the Free Software Foundation{b} either version {v} of the License, or
+{c} (at your option) any later version.
+{c}
+{c} This {what} is distributed in the hope that it will be useful,
+{c} but WITHOUT ANY WARRANTY; without even the implied warranty of
+{c} MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+{c} GNU {name}General Public License for more details.
+
+code = 1
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+
+int main() { return 0; }
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND"""
+
+
+def test_wrapped_license_notices(spark):
+    new, old = {"a": ":", "b": ","}, {"a": ";", "b": ";"}
+    files = {
+        "h/1.py": ("GPL-3.0", GNU.format(c="#", what="program", name="", v="3", **new)),
+        "h/2.c": ("GPL-2.0", GNU.format(c=" *", what="program", name="", v="2", **old)),
+        "h/3.c": ("LGPL-2.1", GNU.format(c="//", what="library", name="Lesser ", v="2.1", **old)),
+        "h/4.py": ("AGPL-3.0", GNU.format(c="", what="program", name="Affero ", v="3", **new)),
+        "h/5.c": ("MPL-2.0", MPL),
+        "m/17": ("MIT", MIT),
+    }
+    rows = [(p, t) for p, (_, t) in files.items()] + [("m/sub/18", "plain words"), ("z/6", "We talked about the license of a car and general public matters.")]
+    got = {r.path: (r.license, r.status) for r in license.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: got[p] for p in files} == {p: (name, "own") for p, (name, _) in files.items()}
+    assert got["m/sub/18"] == ("MIT", "inherited") and got["z/6"] == (None, "none")
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_pipeline_against_brute_force(spark, sf):
     import corpus_pipeline
