@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from loamgrid.llm.common import cut, discard
 
 
+#: Parts that the neighbours of a node are dealt to, so that a hub's are not all in one task.
+PARTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``u, v`` with the ``m`` of ``u``."""
+    parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")).join(parts, ["u", "part"])
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    tied = _with_least(down, least).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return tied.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 

@@ -1,14 +1,15 @@
 """N-gram Jaccard join: the sparse product of the document by n-gram incidence matrix, in blocks, with pairs below size bounds left out.
 
 Rows of the matrix are distinct shingle sets (exact copies are one row), columns are shingle hashes. Two sets of Jaccard similarity of at
-least 0.8 share a column among the first fifth of their columns in any common order, so the product runs over those only, rare
-columns first. Within a column's block, rows of like size are first multiplied with one pivot row, which joins whole groups of near copies
-in linear work; what is left to multiply are rows of different components. Overlap counts of a pair are summed over blocks, pairs
-whose counts are below the bound that their sizes demand are dropped, and the rest are verified on whole sets.
+least 0.8 share a column among the first fifth of their columns in any common order, so the product runs over those only, rare columns
+first. Overlap counts of a pair are summed over the blocks of few rows, pairs whose counts are below the bound that their sizes demand are
+dropped, and the rest are verified on whole sets. Blocks of many rows, the near-copy groups, are not multiplied: their rows are written
+as differences to what most rows of the group have, and the product goes on among those (``deltas``).
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +23,24 @@ from loamgrid.llm.graph import components
 WORDS = 5
 #: Every so many documents are read to estimate which columns are common; that only orders columns, no result depends on it.
 SAMPLE, COMMON, COMMON_MOST = 16, 2, 1_000_000
-#: Rounds of pivots before all rows of different components are multiplied.
-PIVOT_ROUNDS = 3
+#: A block is multiplied directly where that makes at most so many pairs a row; any larger one is split by differences.
+DIRECT = 48
+#: Documents of the sample from which a column is dealt by (column, row) instead of by column.
+HOT = 64
+#: Copies of a group's row in a join on the group, whose rows are dealt to as many parts.
+SALT = 16
+#: Rows of a table of one small row per group up to which it is broadcast.
+BROADCAST_GROUPS = 200_000
 #: Ids of active documents (8 bytes each) up to which they are broadcast to filter the texts.
 BROADCAST_IDS = 2_000_000
 CACHE = 250_000
 PRIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+def _node():
+    return F.struct("n", "h", "g").alias("node")
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(32))) * PRIMES[1]
@@ -43,7 +54,7 @@ class Shingler:
     def __init__(self):
         import xxhash
 
-        self.digest = xxhash.xxh3_64_intdigest
+        self.digest, self.digest_128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -68,10 +79,9 @@ class Shingler:
                 acc = acc * PRIMES[0] + h[i : n - size + 1 + i]
         return np.unique(_mix(acc))
 
-    def name(self, shingles: np.ndarray) -> int:
-        """A set's 64-bit name (signed); with its size, a set's identity."""
-        h = self.digest(shingles.tobytes())
-        return h - (1 << 64) if h >> 63 else h
+    def name(self, shingles: np.ndarray) -> tuple[int, int]:
+        """A set's 128-bit name as two signed numbers; with its size, a set's identity."""
+        return struct.unpack("<qq", self.digest_128(shingles.tobytes()))
 
 
 def _rows(df: DataFrame, make, ddl: str) -> DataFrame:
@@ -123,74 +133,93 @@ def common_columns(texts: DataFrame) -> list[tuple[int, int]]:
     return [(r["s"], r["count"]) for r in counts.orderBy(F.desc("count"), "s").limit(COMMON_MOST).collect()]
 
 
-def shingle_sets(texts: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
-    """``id, n, h, first``: size and name of each text's set, and its first columns: n - ceil(0.8 n) + 1 of them, common ones last."""
-    common = sorted(common)
-    shared = texts.sparkSession.sparkContext.broadcast((np.array([c[0] for c in common], np.int64), np.array([c[1] for c in common], np.int64)))
+class Order:
+    """The common order of columns: by count in the sample, then by hash."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+
+    def __call__(self, columns: np.ndarray) -> tuple[np.ndarray, int]:
+        """``columns`` in order, and how many of them are not hot."""
+        if not len(self.keys):
+            return columns, len(columns)
+        at = np.minimum(np.searchsorted(self.keys, columns), len(self.keys) - 1)
+        often = np.where(self.keys[at] == columns, self.counts[at], 0)
+        return columns[np.argsort(often, kind="stable")], int((often < HOT).sum())
+
+
+def shared_order(texts: DataFrame):
+    """``Order``'s arrays, broadcast: at most COMMON_MOST columns of 16 bytes."""
+    common = sorted(common_columns(texts))
+    return texts.sparkSession.sparkContext.broadcast((np.array([c[0] for c in common], np.int64), np.array([c[1] for c in common], np.int64)))
+
+
+def shingle_sets(texts: DataFrame, shared) -> DataFrame:
+    """``id, n, h, g, cold, first``: size and name of each text's set, and its first columns, n - ceil(0.8 n) + 1 of them, of which ``cold`` are not hot."""
 
     def make():
-        shingles = Shingler()
-        keys, counts = shared.value
-        seen: set[int] = set()
+        shingles, order = Shingler(), Order(*shared.value)
+        seen: set[tuple[int, int]] = set()
 
         def fn(i, text):
             s = shingles(text)
             n = len(s)
             if not n:
-                return [((i, 0, 0, []), 1)]
+                return [((i, 0, 0, 0, 0, []), 1)]
             name = shingles.name(s)
             if name in seen:  # a copy within this task: its columns are out already
-                return [((i, n, name, []), 1)]
-            if len(seen) < 1_000_000:
+                return [((i, n, *name, 0, []), 1)]
+            if len(seen) < 500_000:
                 seen.add(name)
-            x = s.view(np.int64)
+            x, cold = order(s.view(np.int64))
             keep = n - (4 * n + 4) // 5 + 1
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                often = np.where(keys[at] == x, counts[at], 0)
-                x = x[np.argsort(often, kind="stable")]
-            return [((i, n, name, x[:keep].tolist()), keep + 4)]
+            return [((i, n, *name, min(cold, keep), x[:keep].tolist()), keep + 4)]
 
         return fn
 
-    return _rows(texts, make, "id bigint, n int, h bigint, first array<bigint>")
+    return _rows(texts, make, "id bigint, n int, h bigint, g bigint, cold int, first array<bigint>")
 
 
-def whole_sets(texts: DataFrame) -> DataFrame:
-    """``node, s``: names and all columns of the texts' sets."""
+def whole_sets(texts: DataFrame, shared) -> DataFrame:
+    """``node, s``: names and all columns of the texts' sets, in order; one row per node."""
 
     def make():
-        shingles = Shingler()
+        shingles, order = Shingler(), Order(*shared.value)
 
         def fn(_, text):
             s = shingles(text)
-            return [((len(s), shingles.name(s), s.view(np.int64).tolist()), len(s))] if len(s) else []
+            return [((len(s), *shingles.name(s), order(s.view(np.int64))[0].tolist()), len(s))] if len(s) else []
 
         return fn
 
-    return _rows(texts, make, "n int, h bigint, s array<bigint>").select(F.struct("n", "h").alias("node"), "s")
+    return _rows(texts, make, "n int, h bigint, g bigint, s array<bigint>").select(_node(), "s").dropDuplicates(["node"])
+
+
+def sets_of(nodes: DataFrame, texts: DataFrame, names: DataFrame, shared) -> DataFrame:
+    """``whole_sets`` of the rows in ``nodes`` (``node``), as a written table, read from one text per node (``names``: ``node, least``).
+
+    Where a text has another set because its id is repeated, its set is there too and joins with nothing.
+    """
+    ids = cut(nodes.join(names, "node").select(F.col("least").alias("id")).distinct())
+    wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
+    out = cut(whole_sets(wanted, shared), "lz4_raw")
+    discard(ids)
+    return out
 
 
 def _size(a: str, b: str) -> str:
     return f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})"
 
 
-def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` of nodes whose whole sets have 100 * intersection >= 80 * union, as a written table.
-
-    Sets are read from one text per node that is in a pair (``names``: ``node, least``); where a text has another set because its id is
-    repeated, it joins with nothing.
-    """
+def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, shared) -> DataFrame:
+    """Those of the pairs ``a, b`` of nodes whose whole sets have 100 * intersection >= 80 * union, as a written table."""
     pairs = cut(pairs)
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    ids = cut(nodes.join(names, "node").select(F.col("least").alias("id")).distinct())
-    n = ids.count()
-    wanted = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = cut(whole_sets(wanted), "lz4_raw")
+    sets = sets_of(nodes, texts, names, shared)
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     out = cut(x.where(180 * same >= 80 * (F.col("a.n") + F.col("b.n"))).select("a", "b"))
-    discard(pairs, ids, sets)
+    discard(pairs, sets)
     release(texts.sparkSession)
     return out
 
@@ -205,23 +234,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    base = cut(shingle_sets(texts, common_columns(texts)))
-    node = F.struct("n", "h").alias("node")
-    postings = base.select(F.posexplode("first").alias("at", "c"), node)
-    dealt = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c")
-    shared = dealt.groupBy("c").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("c")
-    live = cut(dealt.join(shared.hint("shuffle_hash"), "c").dropDuplicates(["c", "node"]))
-    light = cut(base.select("id", "n", "h"))
+    shared = shared_order(texts)
+    base = cut(shingle_sets(texts, shared))
+    postings = base.select(F.posexplode("first").alias("at", "c"), "cold", _node())
+    dealt = postings.where("at < cold").select("c", "at", "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c")
+    several = dealt.groupBy("c").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("c")
+    live = cut(dealt.join(several.hint("shuffle_hash"), "c").dropDuplicates(["c", "node"]).unionAll(postings.where("at >= cold").select("c", "at", "node").dropDuplicates(["c", "node"])))
+    light = cut(base.select("id", "n", "h", "g"))
     discard(base)
     release(spark)
-    class_of = cut(light.where("n > 0").groupBy("n", "h").agg(F.min("id").alias("least")).select(node, "least"))
-    labels = link(live, texts, class_of)
+    class_of = cut(light.where("n > 0").groupBy("n", "h", "g").agg(F.min("id").alias("least")).select(_node(), "least"))
+    labels = link(live, texts, class_of, shared)
     discard(live)
     if labels is not None:
         of = class_of.join(labels, "node", "left").select("node", "least", "root")
         best = of.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("best"))
         class_of = of.join(best, "root", "left").select("node", F.coalesce("best", "least").alias("least"))
-    out = light.select("id", node).join(class_of, "node", "left")
+    out = light.select("id", _node()).join(class_of, "node", "left")
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("node.n").cast("long").alias("n_shingles"), F.coalesce("least", "id").cast(kind).alias("component_id"))
 
 
@@ -231,45 +260,118 @@ def _hopeful(k, a: str, b: str):
     return 9 * (k + rest + 1) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def link(live: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame | None:
+def link(live: DataFrame, texts: DataFrame, names: DataFrame, shared) -> DataFrame | None:
     """``node, root`` of the similarity graph over the columns in ``live`` (``c, at, node``): its components; None without links."""
-    edges = labels = None
-    band = F.floor(F.log(F.col("node.n")) / F.log(F.lit(1.25))).cast("int")
-    rows = live.withColumn("root", F.col("node")).withColumn("band", band)
-    for step in range(PIVOT_ROUNDS + 1):
-        last = step == PIVOT_ROUNDS
-        if not last:
-            # Rows of a band are within a factor of 1.25 in size. The pivot is a row of the block's largest component, so that most rows of
-            # a group of near copies meet a member of what is already joined.
-            rank = F.xxhash64("node", F.lit(step))
-            parts = rows.groupBy("c", "band", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(rank.alias("r"), "node")).alias("p"))
-            pivot = parts.groupBy("c", "band").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root", "p.node")).alias("p")).where("roots > 1").select("c", "band", "p")
-            product = rows.join(pivot, ["c", "band"]).where("root <> p.root").where(_size("node.n", "p.node.n")).select(F.col("node").alias("x"), F.col("p.node").alias("y"))
-            counts = product.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
-            # A pivot that shares too few columns here is left to the last step, which counts all.
-            top = counts.where(_hopeful(F.col("k"), "x", "y")).groupBy("x").agg(F.max(F.struct("k", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
-            pairs = top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            mixed = rows.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
-            own = rows.join(mixed, "c")
-            x = own.select("c", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"))
-            y = own.select("c", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("pb"))
-            # At the first column that a pair shares, what stands before it in either row is not shared: the rest must do.
-            room = F.expr("9 * least(a.n - pa, b.n - pb) >= 4 * (a.n + b.n)")
-            product = x.join(y, (x["c"] == y["c"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(_size("a.n", "b.n")) & room).select("a", "b").distinct()
-            first = own.groupBy("node").agg(F.collect_list("c").alias("cs"))
-            both = product.join(first.select(F.col("node").alias("a"), F.col("cs").alias("ca")), "a").join(first.select(F.col("node").alias("b"), F.col("cs").alias("cb")), "b")
-            pairs = both.where(_hopeful(F.size(F.array_intersect("ca", "cb")), "a", "b")).select("a", "b")
-        found = verified(pairs, texts, names)
-        if found.isEmpty() and last:
-            break
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionAll(found)
-            labels = cut(components(edges))
-            rows = live.join(labels, "node", "left").select("c", "at", "node", F.coalesce("root", "node").alias("root")).withColumn("band", band)
-        if last:
-            break
-    return labels
+    blocks = cut(live.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c", (F.col("m") > 2 * DIRECT).alias("many")))
+    rows = live.join(blocks, "c")
+    edges = deltas(groups_of(rows.where("many").select("c", "node"), texts, names, shared))
+    labels = None if edges is None else cut(components(edges))
+    few = rows.where("NOT many").select("c", "at", "node")
+    root = F.col("node") if labels is None else F.coalesce("root", "node")
+    own = cut((few if labels is None else few.join(labels, "node", "left")).select("c", "at", "node", root.alias("root")))
+    x = own.select("c", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("pa"))
+    y = own.select("c", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("pb"))
+    # At the first column that a pair shares, what stands before it in either row is not shared: the rest must do.
+    room = F.expr("9 * least(a.n - pa, b.n - pb) >= 4 * (a.n + b.n)")
+    product = x.join(y, (x["c"] == y["c"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(_size("a.n", "b.n")) & room).select("a", "b").distinct()
+    first = own.groupBy("node").agg(F.collect_list("c").alias("cs"))
+    both = product.join(first.select(F.col("node").alias("a"), F.col("cs").alias("ca")), "a").join(first.select(F.col("node").alias("b"), F.col("cs").alias("cb")), "b")
+    # Columns of large blocks are not in ``first``: a pair that shares such a column is found by its differences.
+    found = verified(both.where(_hopeful(F.size(F.array_intersect("ca", "cb")), "a", "b")).select("a", "b"), texts, names, shared)
+    discard(own, blocks)
+    if found.isEmpty():
+        return labels
+    if labels is None:
+        return cut(components(found))
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("root").alias("r"))
+        found = found.join(of, end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    top = cut(components(found))
+    up = labels.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(up.unionAll(top.join(labels, "node", "left_anti").select("node", "root")))
+
+
+def groups_of(rows: DataFrame, texts: DataFrame, names: DataFrame, shared) -> DataFrame | None:
+    """The rows of large blocks (``c, node``) by connected blocks, for ``deltas``; every pair of a block is in one group. None without rows."""
+    rows = cut(rows)
+    if rows.isEmpty():
+        return None
+    least = cut(rows.groupBy("node").agg(F.min("c").alias("lo")))
+    tied = components(rows.join(least, "node").where("c <> lo").select(F.col("c").alias("a"), F.col("lo").alias("b")).distinct())
+    tied = cut(tied.select(F.col("node").alias("lo"), "root"))
+    sets = sets_of(least, texts, names, shared)
+    group = F.struct(F.coalesce("root", "lo").alias("a"), F.lit(0).cast("long").alias("b")).alias("group")
+    at = least.join(F.broadcast(tied) if tied.count() <= BROADCAST_GROUPS else tied, "lo", "left")
+    out = cut(at.join(sets, "node").select(group, "node", F.col("node").alias("root"), F.lit(0).alias("lost"), "s"))
+    discard(rows, least, tied, sets)
+    return out
+
+
+def _per_group(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` with the written table ``groups`` of one row per key: broadcast while that is small, else dealt to SALT parts of each group."""
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), keys, how)
+    part = F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")
+    return rows.withColumn("salt", part).join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, "salt"], how).drop("salt")
+
+
+def deltas(rows: DataFrame | None) -> DataFrame | None:
+    """Links ``a, b`` that connect all linked rows of each group, for ``group, node, root, lost, s``; None without rows.
+
+    ``s`` are a row's columns, ``lost`` counts columns that it is known not to share here. In a group, every row is replaced by its
+    differences to the columns that most rows have: that leaves the distance of any two rows as it is. With ``cost = 9 * (differences +
+    lost) - n``, two rows are linked where their distance is at most (n + n') / 9, so
+
+    - where their costs add up to 0 or less, whatever the differences are: such links all lead to the row of least cost, and tying
+      that row to each is enough;
+    - else only if they share at least (cost + cost') / 18 differences. Differences of one row only are not shared and count as lost.
+      Rows meet by a shared difference among their first ones, the rare ones first, as in the whole product. Few rows are compared
+      at once; many are a group of their own, without that difference, with those before it lost (a pair meets at its first one).
+
+    The sum of the differences falls from each level to the next, so the levels end. A row's ``root`` is only a hint to skip pairs.
+    """
+    edges = None
+    while rows is not None:
+        spark = rows.sparkSession
+        size = cut(rows.groupBy("group").agg(F.count(F.lit(1)).alias("m")))
+        times = rows.select("group", F.explode("s").alias("e")).groupBy("group", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        few = size.count() <= BROADCAST_GROUPS
+        times = cut(times.join(F.broadcast(size) if few else size, "group").select("group", "e", (2 * F.col("k") > F.col("m")).alias("most"), F.expr("IF(2 * k > m, m - k, k)").alias("k")))
+        most = cut(times.where("most").groupBy("group").agg(F.collect_list("e").alias("mode")))  # at most twice the mean size of a row
+        part = F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")
+        x = rows.withColumn("salt", part).join(most.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["group", "salt"], "left")
+        x = x.withColumn("mode", F.coalesce("mode", F.array().cast("array<bigint>"))).withColumn("d", F.concat(F.array_except("s", "mode"), F.array_except("mode", "s")))
+        x = cut(x.select("group", "node", "root", "lost", "d", (9 * (F.size("d") + F.col("lost")) - F.col("node.n")).alias("cost")), "lz4_raw")
+        centre = cut(x.groupBy("group").agg(F.min(F.struct("cost", "node", "root")).alias("centre")))
+        tied = F.col("cost") + F.col("centre.cost") <= 0
+        y = _per_group(x, centre, ["group"]).withColumn("tied", tied).withColumn("band", F.floor(F.log(F.col("node.n")) / F.log(F.lit(1.25))).cast("int"))
+        y = y.withColumn("root", F.when(F.col("tied"), F.col("centre.root")).otherwise(F.col("root")))
+        star = y.where("tied AND node <> centre.node").select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
+        # The least cost of any partner: of rows within a quarter of the size, so in the same band or one beside it.
+        lows = y.groupBy("group", "band").agg(F.min("cost").alias("low"), F.min(F.when(~F.col("tied"), F.col("cost"))).alias("free"))
+        lows = cut(lows.withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)"))).groupBy("group", "band").agg(F.min("low").alias("low"), F.min("free").alias("free")))
+        y = _per_group(y, lows, ["group", "band"]).withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("cost") + F.when(F.col("tied"), F.col("free")).otherwise(F.col("low"))) / 18)).cast("int"))
+        y = y.where("need <= size(d)").select("group", "node", "root", "lost", "cost", "need", F.size("d").alias("n_d"), F.explode("d").alias("e"))
+        y = y.join(times.where("k > 1").select("group", "e", "k"), ["group", "e"])
+        y = y.groupBy("group", "node").agg(*[F.first(c).alias(c) for c in ("root", "lost", "cost", "need", "n_d")], F.array_sort(F.collect_list(F.struct("k", "e"))).alias("s"))
+        y = y.where("need <= size(s)").select("group", "node", "root", (F.col("lost") + F.col("n_d") - F.size("s")).alias("lost"), "cost", "need", F.expr("transform(s, x -> x.e)").alias("s"))
+        y = cut(y, "lz4_raw")
+        z = y.select("group", "node", "root", "lost", "cost", "need", "s", F.posexplode(F.expr("slice(s, 1, size(s) - need + 1)")).alias("at", "e"))
+        by_root = z.groupBy("group", "e", "root").agg(F.count(F.lit(1)).cast("double").alias("b"))
+        blocks = by_root.groupBy("group", "e").agg(F.sum("b").alias("m"), ((F.sum("b") * F.sum("b") - F.sum(F.col("b") * F.col("b"))) / 2).alias("pairs")).where("pairs > 0")
+        blocks = cut(blocks.select("group", "e", (F.col("pairs") > DIRECT * F.col("m")).alias("many")))
+        z = cut(z.join(blocks, ["group", "e"]).select("group", "e", "many", "node", "root", (F.col("lost") + F.col("at")).alias("lost"), "cost", F.expr("slice(s, at + 1, size(s))").alias("s")), "lz4_raw")
+        own = z.where("NOT many")
+        a, b = (own.select("group", "e", F.col("node").alias(i), F.col("root").alias("r" + i), F.col("cost").alias("c" + i), F.col("s").alias("s" + i)) for i in "ab")
+        same = F.expr("a < b AND ra <> rb AND 18 * least(size(sa), size(sb)) >= ca + cb AND 18 * size(array_intersect(sa, sb)) >= ca + cb")
+        found = cut(star.unionAll(a.join(b, ["group", "e"]).where(same).select("a", "b")).distinct())
+        edges = found if edges is None else edges.unionAll(found)
+        deeper = F.struct(F.xxhash64("group", "e").alias("a"), F.xxhash64("e", "group", F.lit(7)).alias("b"))
+        new = cut(z.where("many").select(deeper.alias("group"), "node", "root", "lost", F.expr("slice(s, 2, size(s))").alias("s")), "lz4_raw")
+        discard(rows, size, times, most, x, centre, lows, y, blocks, z)
+        release(spark)
+        rows = None if new.isEmpty() else new
+    return edges
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
