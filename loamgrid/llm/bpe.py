@@ -23,8 +23,8 @@ WS = "\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 #: Runs that the pattern never crosses: what it finds in a text is what it finds in each of these in turn.
 SEGMENTS = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-#: Entries a worker keeps per cache, and the longest segment that it caches.
-CACHE, CACHED_CHARS = 500_000, 64
+#: Bytes that a worker's caches of segments and of token pairs may hold, about what an entry takes besides its text, and the longest segment cached.
+SEGMENT_BYTES, PAIR_BYTES, ENTRY_BYTES, CACHED_CHARS = 48_000_000, 16_000_000, 200, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -34,6 +34,27 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(visible) else chr(next(spare)) for b in range(256)]
 
 
+class Cache:
+    """A dictionary of bounded bytes: when half of them are taken, what was not asked for since the last time goes."""
+
+    def __init__(self, most: int):
+        self.new, self.old, self.room, self.most = {}, {}, most // 2, most // 2
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        self.room -= ENTRY_BYTES + len(key)
+        if self.room < 0:
+            self.old, self.new, self.room = self.new, {}, self.most
+        self.new[key] = value
+
+
 class Codec:
     """Encoder and decoder for one byte-level BPE file of the tokenizers library (``add_special_tokens=False``)."""
 
@@ -61,9 +82,7 @@ class Codec:
         for token in self.rank:
             self.automaton.add_word(token, token)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.segments: dict[str, bytes] = {}
+        self.fits, self.segments = Cache(PAIR_BYTES), Cache(SEGMENT_BYTES)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         back = {c: b for b, c in enumerate(self.alphabet)}
@@ -94,20 +113,24 @@ class Codec:
                 before, a = ra, self.parts[a][1]
             else:
                 before, b = rb + 1, self.parts[b][0]
-        if len(self.fits) >= CACHE:
-            self.fits.clear()
-        self.fits[key] = good
+        self.fits.put(key, good)
         return good
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one piece of the pattern as little-endian 32-bit integers."""
         s = "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
         last: list[str | None] = [None] * (len(s) + 1)
+        at = 0  # the end of the prefix whose last token is known
         for end, token in self.automaton.iter(s):
-            if last[end + 1] is None:
+            if end >= at:
                 start = end + 1 - len(token)
-                if start == 0 or self.compatible(last[start], token):
-                    last[end + 1] = token
+                if start:
+                    left = last[start]
+                    good = self.fits.new.get((left, token))
+                    if good is False or good is None and not self.compatible(left, token):
+                        continue
+                at = end + 1
+                last[at] = token
         ids, at = [], len(s)
         while at:
             ids.append(self.id_of[last[at]])
@@ -115,28 +138,16 @@ class Codec:
         return np.array(ids[::-1], dtype="<u4").tobytes()
 
     def encode_segment(self, segment: str) -> bytes:
-        out = []
-        for piece in self.find(segment):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = self.encode_piece(piece)
-                if len(piece) <= CACHED_CHARS:
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    self.pieces[piece] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join([self.encode_piece(piece) for piece in self.find(segment)])
 
     def _plain(self, text: str) -> bytes:
         known, out = self.segments, []
         for seg in SEGMENTS.findall(text):
-            got = known.get(seg)
+            got = known.new.get(seg) or known.get(seg)
             if got is None:
                 got = self.encode_segment(seg)
                 if len(seg) <= CACHED_CHARS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[seg] = got
+                    known.put(seg, got)
             out.append(got)
         return b"".join(out)
 

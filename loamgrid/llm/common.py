@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,11 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset: a temporary one of a local session (tests), or an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         app = spark.sparkContext.applicationId
-        at = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="loamgrid-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="loamgrid-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        at = _LOCAL[app]
     return at.rstrip("/")
 
 
@@ -57,6 +64,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim(spark: SparkSession) -> None:
+    """``release``, and let executors hand heap that a finished stage has grown back to the system, where Python workers need it."""
+    release(spark)
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS x").write.format("noop").mode("overwrite").save()
+
+
 def range_splits(df: DataFrame, key: Column, n: int) -> list[int]:
     """At most ``n - 1`` values of an integer ``key`` that cut it into runs of about equal size. Only these reach the driver."""
     if n < 2:
