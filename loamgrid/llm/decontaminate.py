@@ -1,86 +1,69 @@
 """Benchmark decontamination: CGK embedding of words, bit-sampling LSH over item-sized windows, exact edit verification.
 
-The CGK random walk copies a sequence into one of three times its length, standing still or stepping on as random bits of (step, symbol)
-say; two sequences within edit distance d then differ in about d squared places at most, whatever the shifts. Item-sized windows of a document and items of
-that size are compared by REPEATS walks with SAMPLED places each; windows that share all sampled places of a walk with an item are
-candidates, and an alignment with free ends finds the exact edit distance in words. Windows that can't hold a copy are skipped first
-without loss: a copy within ``k`` edits keeps a run of item words (by the pigeonhole principle) and at least ``words - k`` item words.
+The CGK random walk copies a sequence symbol by symbol, standing still or stepping on as random bits of (step, symbol) say; two
+sequences of small edit distance then differ in few places, whatever the shifts. WALKS walks start at every word of the items and of
+the documents. A walk's key is what it reads at a few sampled places, all of them after a step on; equal keys of an item's word and a
+document's word make the item-sized window that these two starts align a candidate, and nothing else does. A candidate must hold enough of
+the item's words around it, and an alignment with free ends then finds the exact edit distance in words.
+
+Recall: ``k`` edits of an ``n``-word item leave at most ``k + 1`` runs, one of them of ceil((n - k) / (k + 1)) words: two at least for items of 5 to 9
+words, three from 10 words on. Inside such a run both walks do the same, and a walk's key lies in a run of as many words as it has places with
+chance 1/4 (three places) or 1/2 (two). With 16 walks a single run is missed with chance 0.01 or less, the usual several runs with far
+less; the tests measure it by size and kind of edit.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import map_texts
+from loamgrid.llm.common import map_texts, small_batches, worker_state
 
-#: Edits per word of an item up to which a passage is a copy; items of fewer words are no evidence and match nothing.
-EDITS, MIN_WORDS = 0.2, 5
-#: Walks and places per walk. The first places of the walks are spread evenly over REACH steps a word, before most walks leave their
-#: row, and the second follows within NEAR steps: places close together survive edits together. Recall is measured in the tests, by size
-#: and kind of edit.
-REPEATS, SAMPLED, REACH, NEAR = 48, 2, 1.5, 3
+#: Edits per word of an item up to which a passage is a copy (so items of fewer than five words must be there as they are).
+EDITS = 0.2
+#: Walks, and words of an item from which a key has three places instead of two. Places follow each other within GAP steps.
+WALKS, LONG, GAP = 16, 10, 2
 #: Code points of items in one block; a larger item table is searched block by block, each against all documents.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-SEED = np.uint64(0x9E3779B97F4A7C15)
-PAD = 0xFFFFFFFF
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+def slots(x: np.ndarray, bits: int) -> np.ndarray:
+    """Where numbers fall in a table of ``2 ** bits`` places."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * M1
-        x = (x ^ (x >> np.uint64(27))) * M2
-        return x ^ (x >> np.uint64(31))
-
-
-def cgk(rows: np.ndarray, sizes: np.ndarray, repeats: int, steps: int | None = None) -> np.ndarray:
-    """Embeddings of symbol rows, ``[step, repeat, row]``: three times as many steps as the widest row has symbols, or the first ``steps``.
-
-    A row's symbols beyond its size must be PAD; a walk that has left its row reads PAD for ever.
-    """
-    n, width = rows.shape
-    padded = np.concatenate([rows.astype(np.uint64), np.full((n, 1), PAD, np.uint64)], axis=1)
-    flat, first = np.broadcast_to(padded, (repeats, n, width + 1)).reshape(-1), np.arange(repeats * n, dtype=np.int64) * (width + 1)
-    at, last = first.copy(), first + np.tile(sizes, repeats)
-    salt = mix(np.arange(1, repeats + 1, dtype=np.uint64) * SEED)
-    steps = 3 * width if steps is None else steps
-    out = np.empty((steps, repeats * n), np.uint32)
-    for j in range(steps):
-        if j % 64 == 0:
-            with np.errstate(over="ignore"):
-                bits = mix((padded + np.uint64(1))[None] * SEED + (salt + np.uint64(j // 64 * 7919 + 17))[:, None, None]).reshape(-1)
-        out[j] = flat[at]
-        at += ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        np.minimum(at, last, out=at)
-    return out.reshape(steps, repeats, n)
-
-
-def sampled_places(size: int) -> np.ndarray:
-    """Places ``[repeat, SAMPLED]`` of the embedding that windows of ``size`` words are compared at, rising in each row."""
-    draw = np.random.default_rng(size)
-    first = ((np.arange(REPEATS) + draw.random(REPEATS)) * int(REACH * size) / REPEATS).astype(np.int64)
-    gaps = 1 + draw.integers(0, NEAR, (REPEATS, SAMPLED - 1))
-    return np.concatenate([first[:, None], first[:, None] + np.cumsum(gaps, axis=1)], axis=1)
-
-
-def sampled_keys(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit key per row and repeat, ``[repeat, row]``: SAMPLED places of the embedding, the same ones for all rows of a size."""
-    distinct, which = np.unique(sizes, return_inverse=True)
-    places = np.stack([sampled_places(int(size)) for size in distinct])
-    e = cgk(rows[:, : sizes.max()], sizes, REPEATS, int(places.max()) + 1)
-    key = np.broadcast_to(sizes.astype(np.uint64), (REPEATS, len(rows)))
-    r, x = np.arange(REPEATS)[:, None], np.arange(len(rows))[None]
-    with np.errstate(over="ignore"):
-        for c in range(SAMPLED):
-            at = places[which, :, c].T
-            key = mix(key * SEED + e[at, r, x].astype(np.uint64) + np.uint64(1))
-    return key
+        x = x.astype(np.uint64) * SPREAD
+        return ((x ^ (x >> np.uint64(29))) * SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Walk:
+    """Random bits by step and symbol, and the places where a key is read. ``straight``: all bits are 1, and every place is read."""
+
+    def __init__(self, number: int, symbols: int, places: int, straight: bool = False):
+        draw = np.random.default_rng([number, places])
+        self.places = [0, *np.cumsum(np.ones(places - 1, int) if straight else draw.integers(1, GAP + 1, places - 1)).tolist()]
+        self.bits = np.ones((self.places[-1] + 1, symbols + 2), np.int64) if straight else draw.integers(0, 2, (self.places[-1] + 1, symbols + 2))
+        self.bits[:, symbols + 1] = 0  # past the end the walk stands
+        self.symbols, self.straight = symbols, straight
+
+    def keys(self, seq: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts that have a key, and their keys. Symbols from ``self.symbols`` on (unknown words, ends) are in no key."""
+        at, last, code = starts, starts, seq[starts]
+        for j in range(1, self.places[-1] + 1):
+            at = at + self.bits[j - 1][seq[at]]
+            if j in self.places:
+                now = seq[at]
+                ok = np.flatnonzero((at != last) & (now < self.symbols))
+                starts, at = starts[ok], at[ok]
+                last = at
+                with np.errstate(over="ignore"):
+                    code = code[ok] * (self.symbols + 1) + now[ok] + 1
+        return starts, code
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -101,104 +84,116 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 
 
 class Block:
-    """Items of one block, indexed."""
+    """Items of one block, indexed by the keys of their walks. Items without words match nothing."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.words = [], []
         for item_id, text in items:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORD.findall((text or "").lower())]
-            if len(words) >= MIN_WORDS:
+            if words:
                 self.ids.append(item_id)
                 self.words.append(np.array(words, np.int64))
         self.edits = [int(EDITS * len(w)) for w in self.words]
-        self.base = len(self.vocabulary) + 1
+        self.unknown = len(self.vocabulary)
+        self.end = self.unknown + 1
+        self.sizes, self.most = np.array([len(w) for w in self.words], np.int64), np.array(self.edits, np.int64)
         self.counts = [np.unique(w, return_counts=True) for w in self.words]
-        seeds = defaultdict(list)
-        for i, (w, k) in enumerate(zip(self.words, self.edits, strict=True)):
-            run = min(3, -(-(len(w) - k) // (k + 1)))  # the longest run that k edits must leave, up to 3
-            for o in range(len(w) - run + 1):
-                seeds[run].append((self._code(w[o : o + run]), i, o))
-        self.seeds = {}
-        for run, found in seeds.items():
-            found.sort()
-            codes, firsts = np.unique(np.array([f[0] for f in found], np.int64), return_index=True)
-            self.seeds[run] = codes, np.append(firsts, len(found)), np.array([f[1:] for f in found], np.int64)
-        self.width = max(map(len, self.words), default=0)
-        self.keys = []
-        if self.words:
-            rows, sizes = self._rows([(w, 0, len(w)) for w in self.words])
-            for keys in sampled_keys(rows, sizes):
-                order = np.argsort(keys, kind="stable")
-                self.keys.append((keys[order], order))
-
-    def _rows(self, parts: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Runs (sequence, start, size) as rows of symbols: words outside the vocabulary are one symbol, past a run's end is PAD."""
-        rows, sizes = np.full((len(parts), self.width), PAD, np.int64), np.array([p[2] for p in parts], np.int64)
-        for x, (seq, start, size) in enumerate(parts):
-            own = seq[start : start + size]
-            rows[x, : len(own)] = np.where(own < 0, self.base, own)
-        return rows, sizes
-
-    def _code(self, words) -> int:
-        code = 0
-        for w in words:
-            code = code * self.base + int(w) + 1
-        return code & 0x7FFFFFFFFFFFFFFF
-
-    def windows(self, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(size, start) of item-sized windows that may hold a copy: aligned with a shared run, and with enough item words around."""
-        out: set[tuple[int, int]] = set()
-        known = np.concatenate([[0], np.cumsum(doc >= 0)])
-        for run, (codes, firsts, places) in self.seeds.items():
-            if len(doc) < run:
-                continue
-            inside = np.flatnonzero(known[run:] - known[:-run] == run)
-            if not len(inside):
-                continue
-            code = np.zeros(len(inside), np.int64)
-            with np.errstate(over="ignore"):
-                for o in range(run):
-                    code = code * self.base + doc[inside + o] + 1
-            code &= 0x7FFFFFFFFFFFFFFF
-            at = np.searchsorted(codes, code)
-            hit = codes[np.minimum(at, len(codes) - 1)] == code
-            for p, c in zip(inside[hit].tolist(), at[hit].tolist(), strict=True):
-                for i, o in places[firsts[c] : firsts[c + 1]].tolist():
-                    size, k, s = len(self.words[i]), self.edits[i], p - o
-                    a, b = max(0, s - k), min(len(doc), s + size + k)
-                    if known[b] - known[a] >= size - k:
-                        out.add((size, min(max(0, s), max(0, len(doc) - size))))
-        return out
+        self.walks = []
+        for lo, hi, places, n in ((1, 1, 1, 1), (2, 2, 2, 1), (3, 3, 3, 1), (4, 4, 4, 1), (5, LONG - 1, 2, WALKS), (LONG, None, 3, WALKS)):
+            own = [i for i, w in enumerate(self.words) if lo <= len(w) and (hi is None or len(w) <= hi)]
+            if own:
+                self.walks += [self._index(Walk(r, self.unknown, places, straight=lo < 5), own) for r in range(n)]
+        pairs = np.concatenate([i * self.end + w for i, (w, _) in enumerate(self.counts)]) if self.words else np.zeros(0, np.int64)
+        self.bits = int(np.clip(np.ceil(np.log2(16 * len(pairs) + 1)), 12, 26))
+        self.has = np.zeros(1 << self.bits, bool)
+        self.has[slots(pairs, self.bits)] = True
+
+    def _index(self, walk: Walk, own: list[int]):
+        seq = np.concatenate([np.append(self.words[i], [self.end] * len(walk.bits)) for i in own])
+        lengths = [len(self.words[i]) + len(walk.bits) for i in own]
+        item, first = np.repeat(own, lengths), np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
+        starts, code = walk.keys(seq, np.flatnonzero(seq < self.unknown))
+        if walk.straight:  # whole items
+            whole = starts == first[starts]
+            starts, code = starts[whole], code[whole]
+        order = np.argsort(code, kind="stable")
+        starts, code = starts[order], code[order]
+        kinds, at = np.unique(code, return_index=True)
+        bits = int(np.clip(np.ceil(np.log2(32 * len(kinds) + 1)), 12, 24))
+        seen = np.zeros(1 << bits, bool)
+        seen[slots(kinds, bits)] = True
+        return walk, bits, seen, kinds, np.append(at, len(code)), item[starts].astype(np.int32), (starts - first[starts]).astype(np.int32)
+
+    def candidates(self, seq: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Rows (document, item, start in ``seq``) of windows that share a key with an item, each once."""
+        inside, out = np.flatnonzero(seq < self.unknown), []
+        for walk, bits, seen, kinds, edges, item, offset in self.walks:
+            starts, code = walk.keys(seq, inside)
+            hit = seen[slots(code, bits)]
+            starts, code = starts[hit], code[hit]
+            at = np.minimum(np.searchsorted(kinds, code), len(kinds) - 1)
+            hit = kinds[at] == code
+            starts, at = starts[hit], at[hit]
+            n = edges[at + 1] - edges[at]
+            where = np.repeat(edges[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            p = np.repeat(starts, n)
+            out.append(np.unique(np.stack([doc[p], item[where], p - offset[where]]), axis=1) if len(p) else np.zeros((3, 0), np.int64))
+        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+
+    def likely(self, seq: np.ndarray, low: np.ndarray, high: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Those candidates that have as many of the item's words around them as ``k`` edits leave."""
+        keep = np.zeros(found.shape[1], bool)
+        for size in np.unique(self.sizes[found[1]]) if found.shape[1] else ():
+            own = np.flatnonzero(self.sizes[found[1]] == size)
+            k = int(EDITS * size)
+            for part in np.array_split(own, -(-len(own) * int(size + 2 * k) // 2_000_000)):
+                d, i, s = found[:, part]
+                at = s[:, None] + np.arange(-k, size + k)
+                there = (at >= low[d][:, None]) & (at < high[d][:, None])
+                word = seq[np.where(there, at, 0)]
+                there &= word < self.unknown
+                keep[part] = (there & self.has[slots(i[:, None] * self.end + word, self.bits)]).sum(axis=1) >= size - k
+        return found[:, keep]
 
     def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first word, end word, distance) of the best copy of each item in each document."""
-        places = [(d, start, size) for d, doc in enumerate(docs) for size, start in self.windows(doc)]
-        places.sort(key=lambda x: (x[2], x[0], x[1]))  # by size: a batch takes the steps that its widest window needs
-        pairs: set[tuple[int, int, int]] = set()
-        for lo in range(0, len(places), 1024):
-            part = places[lo : lo + 1024]
-            rows, sizes = self._rows([(docs[d], start, size) for d, start, size in part])
-            for (keys, own), got in zip(self.keys, sampled_keys(rows, sizes), strict=True):
-                left, right = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                for x in np.flatnonzero(right > left).tolist():
-                    for i in own[left[x] : right[x]].tolist():
-                        if len(self.words[i]) == part[x][2]:
-                            pairs.add((part[x][0], i, part[x][1]))
+        """(document, item, first word, end word, distance) of the best copy of each item in each document; unknown words are -1."""
+        if not self.words or not docs:
+            return []
+        gap = 8
+        lengths = np.array([len(d) for d in docs], np.int64)
+        low = np.cumsum(lengths + gap) - lengths - gap
+        seq = np.full(int((lengths + gap).sum()), self.end, np.int64)
+        for d, lo in zip(docs, low.tolist(), strict=True):
+            seq[lo : lo + len(d)] = np.where(d < 0, self.unknown, d)
+        doc = np.repeat(np.arange(len(docs)), lengths + gap)
+        found = self.likely(seq, low, low + lengths, self.candidates(seq, doc))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, s in sorted(pairs):
-            item, k = self.words[i], self.edits[i]
-            a, b = max(0, s - 2 * k), min(len(docs[d]), s + len(item) + 2 * k)
+        rows = found.T.tolist()  # by document, item, start
+        at = 0
+        while at < len(rows):
+            d, i, s = rows[at]
+            k, n, upto = self.edits[i], len(self.words[i]), s
+            while at < len(rows) and rows[at][:2] == [d, i] and rows[at][2] <= upto + 2 * k + 1:
+                upto = rows[at][2]
+                at += 1
+            lo = int(low[d])
+            a, b = max(0, s - lo - 2 * k), min(len(docs[d]), upto - lo + n + 2 * k)
             near = docs[d][a:b]
             own, times = self.counts[i]
-            there = np.bincount(near[near >= 0], minlength=self.base)[own]
-            if np.minimum(there, times).sum() < len(item) - k:  # words in common, repeats included: k edits leave at least so many
+            kinds, there = np.unique(near, return_counts=True)
+            pos = np.minimum(np.searchsorted(kinds, own), len(kinds) - 1)
+            if np.minimum(np.where(kinds[pos] == own, there[pos], 0), times).sum() < n - k:  # words in common, repeats included
                 continue
-            dist, lo, hi = align(item, near)
-            if dist <= k and ((d, i) not in best or (dist, a + lo) < (best[d, i][2], best[d, i][0])):
-                best[d, i] = a + lo, a + hi, dist
+            dist, x, y = align(self.words[i], near)
+            if dist <= k and ((d, i) not in best or (dist, a + x) < (best[d, i][2], best[d, i][0])):
+                best[d, i] = a + x, a + y, dist
         return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
+    def symbols(self, text: str) -> np.ndarray:
+        get = self.vocabulary.get
+        return np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
+
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
     """Item rows in blocks of at most about BLOCK_CHARS code points, by a hash of the id; null texts are left out."""
@@ -215,7 +210,8 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """Copies of items in documents: ``id_col, item_id, start, end, edits, item_words``, the best one of each item per input row.
 
     ``start`` and ``end`` are code points of the text; distances count words (runs of letters and digits, in lower case). Null and empty
-    texts and items match nothing, nor do items under MIN_WORDS words; repeated rows each have their matches; other columns are not read.
+    texts and items match nothing; items of under five words match as they are; of equal copies the leftmost is given; repeated rows
+    each have their matches; no items or no documents give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id]
@@ -228,8 +224,7 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
             block = Block(shared.value)
 
             def run(keys, texts):
-                get = block.vocabulary.get
-                docs_ = [np.array([get(w, -1) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+                docs_ = [block.symbols(t) for t in texts]
                 rows = []
                 spans: dict[int, list] = {}
                 for d, i, a, b, dist in block.matches(docs_):
@@ -250,6 +245,16 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without rows whose doc_id holds a copy of an item; every column stays. Rows without an id are judged together."""
-    bad = find_copies(docs, items).select("doc_id").distinct().withColumnRenamed("doc_id", "__bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """``docs`` without the rows that hold a copy of an item; every row is judged by its own text, whatever its id. Null texts stay, as does every column."""
+    small_batches(docs.sparkSession)
+    for part in blocks_of(items, "item_id", "text"):
+        shared, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series, shared=shared, name=name) -> pd.Series:
+            block = worker_state(("items", name), lambda: Block(shared.value))
+            bad = {d for d, *_ in block.matches([block.symbols(t or "") for t in texts])}
+            return pd.Series([i not in bad for i in range(len(texts))])
+
+        docs = docs.where(clean(F.col("text").cast("string")))
+    return docs
