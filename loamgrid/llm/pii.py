@@ -24,7 +24,15 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 DOTTED_RUN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
+#: Characters of an account number by country (fixed values of the public registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTH = {country: n for n, own in IBAN_LENGTHS.items() for country in own.split()}
+IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in IBAN_LENGTHS}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{8,12}(?![0-9A-Za-z.-])")
 #: Score of a confirmed match alone, and the words that raise it when they stand within WINDOW code points (fixed values).
@@ -108,6 +116,15 @@ def phones(text: str):
         at = text.find("+", m.end() if m else at + 1)
 
 
+def ibans(text: str):
+    """A country's code and two check digits, then as many letters and digits as its numbers have, single blanks between them."""
+    for m in IBAN.finditer(text):
+        n = IBAN_LENGTH.get(m[1])
+        rest = IBAN_REST[n].match(text, m.end()) if n else None
+        if rest and mod97(text[m.start() : rest.end()].replace(" ", "")):
+            yield m.start(), rest.end()
+
+
 def scored(text: str, kind: str, start: int, end: int) -> Span:
     near = set(WORDS.findall(text[max(0, start - WINDOW) : start].lower())) | set(WORDS.findall(text[end : end + WINDOW].lower()))
     score = PRIOR[kind] + BONUS * bool(near.intersection(CONTEXT[kind])) - MALUS * bool(near.intersection(AGAINST))
@@ -121,7 +138,7 @@ def find_spans(text: str | None) -> list[Span]:
     out = []
     for kind, found in (("email", emails), ("ip", ips), ("card", cards), ("phone", phones)):
         out += [scored(text, kind, a, b) for a, b in found(text)]
-    more = [scored(text, "iban", *m.span()) for m in IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+    more = [scored(text, "iban", a, b) for a, b in ibans(text)]
     more += [scored(text, "ssn", *m.span()) for m in SSN.finditer(text)]
     more += [scored(text, "account", *m.span()) for m in ACCOUNT.finditer(text)]
     if more:
