@@ -26,6 +26,8 @@ OTHER = (1 << BITS) - 1
 SHARD_ROWS = 4_000_000
 #: Symbols counted at once by a task, and the share of trusted documents whose perplexity is below the threshold.
 RUN, QUANTILE = 4_000_000, 0.995
+#: One trusted document in so many is held out of the counts; thresholds come from these. Documents that a language's quantile weighs beside a band's.
+HELD_OUT, PRIOR = 5, 50
 #: Rows of trusted ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 2_000_000
 #: Rows of thresholds (about 40 bytes each) up to which they are broadcast.
@@ -242,19 +244,21 @@ def length_band(n):
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per document: ``id_col, lang, n_symbols, perplexity, threshold, keep``.
 
-    Trusted text: documents labelled quality 1 (any such label of the id counts). ``threshold`` is the quantile of trusted
-    documents' perplexity in the language and length band, or of the language where a band has fewer than 200 trusted documents. Without a trusted text
-    in its language a document has a null perplexity and is kept. Null languages are one language, ''; null texts are empty;
+    Trusted text: documents labelled quality 1 (any such label of the id counts). The model counts those whose hash of the id leaves a
+    remainder by HELD_OUT; the others, which it has not seen, give the thresholds: the log quantile of the language and length band,
+    averaged with the language's own as if that were PRIOR documents more. Without trusted text in its language a document has a null perplexity,
+    and without held-out text a null threshold; such documents are kept. Null languages are one language, ''; null texts are empty;
     repeated rows stay; an empty table gives an empty table; other columns are not read.
     """
     good = labels.where("quality = 1").select(F.col(id_col).alias("__good")).where("__good IS NOT NULL").distinct()
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("__id"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    trusted = texts.join(good, texts["__id"] == good["__good"], "left_semi").select("lang", "t")
+    held = F.pmod(F.xxhash64("__good", F.lit(13)), F.lit(HELD_OUT)) == 0
+    trusted = texts.join(good.where(~held), texts["__id"] == good["__good"], "left_semi").select("lang", "t")
     model = cut(estimate(count_grams(trusted)))
     scored = cut(perplexity(docs, model, id_col, shard_rows=shard_rows).withColumn("ppl", F.exp(-F.col("lp") / F.col("n"))).withColumn("band", length_band(F.col("n"))))
-    seen = scored.join(good, scored["id"] == good["__good"], "left_semi")
+    seen = scored.join(good.where(held), scored["id"] == good["__good"], "left_semi")
     q = F.percentile_approx("ppl", quantile, 10_000)
     by_band = seen.groupBy("lang", "band").agg(q.alias("tb"), F.count(F.lit(1)).alias("m"))
     by_lang = seen.groupBy("lang").agg(q.alias("tl"))
@@ -262,7 +266,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quantil
     by_band, by_lang = cut(by_band), cut(by_lang)
     few = by_band.count() <= FEW
     out = scored.join(F.broadcast(by_band) if few else by_band, ["lang", "band"], "left").join(F.broadcast(by_lang) if few else by_lang, "lang", "left")
-    t = F.when(F.col("m") >= 200, F.greatest("tb", F.lit(0.0))).otherwise(F.col("tl"))
+    m = F.coalesce("m", F.lit(0))
+    t = F.exp((m * F.log(F.coalesce("tb", "tl")) + PRIOR * F.log("tl")) / (m + PRIOR))
     return out.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_symbols"), F.col("ppl").alias("perplexity"), t.alias("threshold"), F.coalesce(F.col("ppl") <= t, F.lit(True)).alias("keep"))
 
 
