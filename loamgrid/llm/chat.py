@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 128
-#: Tokens of a text are estimated as a quarter of its code points, plus those of the template around a turn.
-CHARS_PER_TOKEN, TURN_TOKENS = 4, 6
+#: What counts as a token: up to six letters, up to three digits, any other visible character; and those of the template around a turn.
+TOKEN, TURN_TOKENS = r"[\p{L}\p{M}]{1,6}|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]", 6
 
 
 def escape_sql(x: str) -> str:
@@ -34,10 +34,10 @@ def role_unescape_sql(x: str) -> str:
     return unescape_sql(rf"replace({x}, '<\\n', '\n')")
 
 
-def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, token: str = TOKEN) -> DataFrame:
     """Windows of ``conv_id, turn, role, text``: one row per window with ``conv_id, window_no, n_tokens, n_repeated, formatted, loss_spans``.
 
-    ``loss_spans`` are code point ranges of ``formatted``; ``n_repeated`` counts its leading turns that earlier windows have. Rows are
+    Tokens of a text are the matches of the pattern ``token``; their prefix sums place the turns. ``loss_spans`` are code point ranges of ``formatted``; ``n_repeated`` counts its leading turns that earlier windows have. Rows are
     ordered by turn (nulls first; ties by role, then text) and all stay, repeated ones too. Null roles and texts are empty. A null
     conv_id is a conversation. A turn longer than half the room has a window of its own, over the budget if need be: turns
     are never cut. An empty table gives no windows; other columns are not read.
@@ -45,7 +45,7 @@ def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HIS
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
     x = df.selectExpr("conv_id", "turn", "coalesce(CAST(role AS string), '') AS role", "coalesce(CAST(text AS string), '') AS text")
-    x = x.withColumn("n", F.ceil(F.length("text") / CHARS_PER_TOKEN).cast("long") + TURN_TOKENS)
+    x = x.withColumn("n", F.regexp_count("text", F.lit(token)).cast("long") + TURN_TOKENS)
     x = x.withColumn("i", F.row_number().over(by)).withColumn("p", F.coalesce(F.sum("n").over(before), F.lit(0)))
     head = F.when((F.col("i") == 1) & (F.col("role") == "system"), F.struct("role", "text", "n"))
     x = x.withColumn("sys", F.first(head).over(by))
