@@ -247,14 +247,18 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a copy of an item; every row is judged by its own text, whatever its id. Null texts stay, as does every column."""
     small_batches(docs.sparkSession)
-    for part in blocks_of(items, "item_id", "text"):
+
+    def judge(part: list[tuple]):
         shared, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
 
         @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared, name=name) -> pd.Series:
+        def clean(texts: pd.Series) -> pd.Series:
             block = worker_state(("items", name), lambda: Block(shared.value))
             bad = {d for d, *_ in block.matches([block.symbols(t or "") for t in texts])}
             return pd.Series([i not in bad for i in range(len(texts))])
 
-        docs = docs.where(clean(F.col("text").cast("string")))
+        return clean(F.col("text").cast("string"))
+
+    for part in blocks_of(items, "item_id", "text"):
+        docs = docs.where(judge(part))
     return docs
