@@ -3,12 +3,11 @@
 Counts are summed over all trusted text: tasks emit the counts of their runs of text, which meet per n-gram. Lower orders count
 distinct left neighbours; discounts come from counts of counts. Probabilities and back-off weights are built order by order with joins
 sharded by n-gram. Documents are scored against bounded shards of the finished table, one pass per shard, and judged by
-quantiles of the perplexity of their language's trusted documents of like length.
+a quantile, by language, of the perplexity of trusted documents that the counts left out, with regard to length.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,8 +25,8 @@ OTHER = (1 << BITS) - 1
 SHARD_ROWS = 4_000_000
 #: Symbols counted at once by a task, and the share of trusted documents whose perplexity is below the threshold.
 RUN, QUANTILE = 4_000_000, 0.995
-#: One trusted document in so many is held out of the counts; thresholds come from these. Documents that a language's quantile weighs beside a band's.
-HELD_OUT, PRIOR = 5, 50
+#: One trusted document in so many is held out of the counts; thresholds come from these. The least variance of log perplexity.
+HELD_OUT, LEAST_SPREAD = 5, 1e-6
 #: Rows of trusted ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 2_000_000
 #: Rows of thresholds (about 40 bytes each) up to which they are broadcast.
@@ -236,17 +235,18 @@ def perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def length_band(n):
-    """Bands of text length, each four times as long as the one before; the perplexity of short texts scatters more."""
-    return F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(4)).cast("int")
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast while it is small."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per document: ``id_col, lang, n_symbols, perplexity, threshold, keep``.
 
     Trusted text: documents labelled quality 1 (any such label of the id counts). The model counts those whose hash of the id leaves a
-    remainder by HELD_OUT; the others, which it has not seen, give the thresholds: the log quantile of the language and length band,
-    averaged with the language's own as if that were PRIOR documents more. Without trusted text in its language a document has a null perplexity,
+    remainder by HELD_OUT; the others, which it has not seen, give the thresholds. Log perplexities of a language scatter around their median
+    with a variance of v + w / symbols, a line fitted to them, and ``threshold`` lies as many of these widths above the median as the quantile of the
+    held-out documents does. Without trusted text in its language a document has a null perplexity,
     and without held-out text a null threshold; such documents are kept. Null languages are one language, ''; null texts are empty;
     repeated rows stay; an empty table gives an empty table; other columns are not read.
     """
@@ -257,17 +257,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quantil
     held = F.pmod(F.xxhash64("__good", F.lit(13)), F.lit(HELD_OUT)) == 0
     trusted = texts.join(good.where(~held), texts["__id"] == good["__good"], "left_semi").select("lang", "t")
     model = cut(estimate(count_grams(trusted)))
-    scored = cut(perplexity(docs, model, id_col, shard_rows=shard_rows).withColumn("ppl", F.exp(-F.col("lp") / F.col("n"))).withColumn("band", length_band(F.col("n"))))
-    seen = scored.join(good.where(held), scored["id"] == good["__good"], "left_semi")
-    q = F.percentile_approx("ppl", quantile, 10_000)
-    by_band = seen.groupBy("lang", "band").agg(q.alias("tb"), F.count(F.lit(1)).alias("m"))
-    by_lang = seen.groupBy("lang").agg(q.alias("tl"))
-    # Bands are few (a logarithm of the length), languages as many as the table names.
-    by_band, by_lang = cut(by_band), cut(by_lang)
-    few = by_band.count() <= FEW
-    out = scored.join(F.broadcast(by_band) if few else by_band, ["lang", "band"], "left").join(F.broadcast(by_lang) if few else by_lang, "lang", "left")
-    m = F.coalesce("m", F.lit(0))
-    t = F.exp((m * F.log(F.coalesce("tb", "tl")) + PRIOR * F.log("tl")) / (m + PRIOR))
+    scored = cut(perplexity(docs, model, id_col, shard_rows=shard_rows).withColumn("ppl", F.exp(-F.col("lp") / F.col("n"))))
+    seen = scored.join(good.where(held), scored["id"] == good["__good"], "left_semi").where("lp IS NOT NULL").select("lang", "n", (-F.col("lp") / F.col("n")).alias("y"))
+    # One row per language, as the model has.
+    middle = cut(seen.groupBy("lang").agg(F.percentile_approx("y", 0.5, 10_000).alias("mu")))
+    far = seen.join(_few(middle), "lang").withColumn("dev", (F.col("y") - F.col("mu")) * (F.col("y") - F.col("mu")))
+    spread = cut(far.groupBy("lang").agg(F.first("mu").alias("mu"), F.greatest(F.coalesce(F.regr_intercept("dev", F.lit(1) / F.col("n")), F.avg("dev")), F.lit(LEAST_SPREAD)).alias("v"), F.greatest(F.coalesce(F.regr_slope("dev", F.lit(1) / F.col("n")), F.lit(0.0)), F.lit(0.0)).alias("w")))
+    width = F.sqrt(F.col("v") + F.col("w") / F.col("n"))
+    limits = cut(seen.join(_few(spread), "lang").groupBy("lang").agg(F.first("mu").alias("mu"), F.first("v").alias("v"), F.first("w").alias("w"), F.percentile_approx((F.col("y") - F.col("mu")) / width, quantile, 10_000).alias("z")))
+    t = F.exp(F.col("mu") + F.col("z") * width)
+    out = scored.join(_few(limits), "lang", "left")
     return out.select(F.col("id").alias(id_col), "lang", F.col("n").alias("n_symbols"), F.col("ppl").alias("perplexity"), t.alias("threshold"), F.coalesce(F.col("ppl") <= t, F.lit(True)).alias("keep"))
-
-
