@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import _arrow_schema, cut, discard, release, small_batches, worker_state
@@ -238,8 +238,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = cut(shingle_sets(texts, shared))
     postings = base.select(F.posexplode("first").alias("at", "c"), "cold", _node())
     dealt = postings.where("at < cold").select("c", "at", "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c")
-    several = dealt.groupBy("c").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("c")
-    live = cut(dealt.join(several.hint("shuffle_hash"), "c").dropDuplicates(["c", "node"]).unionAll(postings.where("at >= cold").select("c", "at", "node").dropDuplicates(["c", "node"])))
+    # Columns that are not hot have few rows each: one pass over them, where they lie, tells those of one row only.
+    of_column = Window.partitionBy("c")
+    several = dealt.withColumn("one", F.min("node").over(of_column) == F.max("node").over(of_column)).where("NOT one").drop("one")
+    live = cut(several.dropDuplicates(["c", "node"]).unionAll(postings.where("at >= cold").select("c", "at", "node").dropDuplicates(["c", "node"])))
     light = cut(base.select("id", "n", "h", "g"))
     discard(base)
     release(spark)
