@@ -32,6 +32,7 @@ MACROS = {
     "json": ("get_json_object({0}, '$.{1}')", "json_extract_string({0}, '$.{1}')"),
     "dot": ("aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS double) * CAST(y AS double)), 0D, (a, x) -> a + x)", "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS double) * CAST({1}[i] AS double)))"),
     "range": ("IF({1} <= {0}, CAST(array() AS array<bigint>), sequence(CAST({0} AS BIGINT), CAST({1} AS BIGINT) - 1, CAST({2} AS BIGINT)))", "range(CAST({0} AS BIGINT), CAST({1} AS BIGINT), CAST({2} AS BIGINT))"),
+    "pad": ("lpad(CAST({0} AS STRING), 12, '0')", "lpad(CAST({0} AS VARCHAR), 12, '0')"),
     "arr": ("array({*})", "list_value({*})"),
     "at": ("{0}", "{0} + 1"),
     "even": ("bround({0}, 0)", "round_even({0}, 0)"),
@@ -73,12 +74,15 @@ def expand(text: str, engine: int) -> str:
 
 def run_sql(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     """Run a template over the Parquet tables of ``sf_dir`` that it names; integers come out as bigint."""
-    text = expand(template, 0)
+    text, views = expand(template, 0), []
     for t in TABLES:
         if re.search(rf"\b{t}\b", text):
             view = f"v_{uuid.uuid4().hex}"
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
+            views.append(view)
             text = re.sub(rf"(?<=FROM )\b{t}\b|(?<=JOIN )\b{t}\b", f"{view} AS {t}", text)
             text = re.sub(rf"\b{view} AS {t} (?!JOIN|LEFT|WHERE|GROUP|ORDER|ON|USING|CROSS|UNION|QUALIFY|FULL|INNER)([a-z]\w*)\b", rf"{view} AS \1", text)
     out = spark.sql(text)
+    for view in views:  # the plan has resolved them
+        spark.catalog.dropTempView(view)
     return out.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if k in ("int", "smallint", "tinyint") else F.col(f"`{c}`").cast("double").alias(c) if k == "float" or k.startswith("decimal") else F.col(f"`{c}`") for c, k in out.dtypes])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 BOOK: dict[str, str] = {}
+#: Replicates of the bootstraps whose draws SQL repeats; ``operators.statistics.bootstrap`` takes any number.
+REPLICATES = 200
 
 # --- corpus curation -------------------------------------------------------------------------------------------------------------
 BOOK["decontaminate_13gram"] = """
@@ -17,18 +19,13 @@ FROM (SELECT doc_id, @sha(@join(@words(text))) AS key FROM documents) k) r WHERE
 BOOK["dedup_protected"] = """
 WITH keyed AS (SELECT doc_id, @sha(@join(@words(text))) AS key FROM documents),
 safe AS (SELECT DISTINCT key FROM keyed WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
-SELECT min(doc_id) AS doc_id, key FROM keyed WHERE key NOT IN (SELECT key FROM safe) GROUP BY key"""
-BOOK["reject_reasons"] = """
-SELECT lang, reason, count(*) AS n FROM (SELECT lang, CASE WHEN @size(@words(text)) < 25 THEN 'too_short' WHEN @rlike(text, '[A-Za-z]{35,}') THEN 'glued_words'
-WHEN @rlike(lower(text), '(question|answer) ?:') THEN 'question_answer' WHEN @rlike(lower(text), '^(editorial|correction|erratum)') THEN 'editorial' ELSE 'kept' END AS reason FROM documents) x GROUP BY lang, reason"""
+SELECT min(doc_id) AS doc_id, key FROM keyed WHERE NOT EXISTS (SELECT 1 FROM safe WHERE safe.key = keyed.key) GROUP BY key"""
 BOOK["min_length_profile"] = """
 SELECT lang, count(*) AS n, count_if(words >= 60) AS n60, count_if(words >= 80) AS n80, count_if(chars BETWEEN 600 AND 6500) AS mid, round(avg(words), 6) AS mean_words,
 @dbl(median(words)) AS median_words, min(words) AS min_words, max(words) AS max_words FROM (SELECT lang, @size(@words(text)) AS words, length(text) AS chars FROM documents) x GROUP BY lang"""
-BOOK["clean_text"] = """
-SELECT doc_id, md5(@sub(@sub(@sub(text, '[\\\\[]([^]]*)[]]\\\\([^)]*\\\\)', ''), '[ \\t]+', ' '), '\\n{3,}', '..')) AS cleaned_md5 FROM documents"""
 BOOK["repeated_lines"] = """
 SELECT doc_id, max(n) AS most, count(*) AS lines FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, @explode(@lines(text)) AS line FROM documents) l
-WHERE length(line) >= 50 GROUP BY doc_id, line) c WHERE n >= 3 GROUP BY doc_id"""
+WHERE length(line) >= 50 GROUP BY doc_id, line) c WHERE n >= 6 GROUP BY doc_id"""
 BOOK["quality_filter_join"] = """
 SELECT d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic, count(*) AS n, count_if(coalesce(l.quality, 0) = 1 AND coalesce(l.toxic, 1) = 0) AS accepted
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2, 3"""
@@ -74,17 +71,8 @@ SELECT doc_id, start, least(start + 180, n) AS stop FROM (SELECT doc_id, n, @exp
 WHERE start = 0 OR start + 60 < n"""
 BOOK["fixed_word_windows"] = """
 SELECT doc_id, count(*) AS windows, max(start) AS last_start FROM (SELECT doc_id, n, @explode(@range(0, n, 100)) AS start FROM (SELECT doc_id, @size(@words(text)) AS n FROM documents) w) x GROUP BY doc_id"""
-BOOK["pack_blocks"] = """
-WITH t AS (SELECT source, doc_id, @size(@words(text)) + 1 AS n FROM documents), p AS (SELECT source, doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n AS a FROM t),
-s AS (SELECT source, doc_id, n, a, @explode(@range(@fl(a / 2048), @fl((a + n - 1) / 2048) + 1, 1)) AS block FROM p)
-SELECT source, block, doc_id, @b(greatest(a, block * 2048) - block * 2048) AS block_start, @b(least(a + n, (block + 1) * 2048) - block * 2048) AS block_end,
-@b(greatest(a, block * 2048) - a) AS token_start, a + n <= (block + 1) * 2048 AS ends_document FROM s"""
-BOOK["pack_audit"] = """
-WITH t AS (SELECT source, doc_id, @size(@words(text)) + 1 AS n FROM documents), p AS (SELECT source, doc_id, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS b, n FROM t),
-s AS (SELECT source, b - n AS a, b, lag(b) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM p)
-SELECT source, count_if(before IS NULL OR before <> a) AS islands, @b(sum(b - a)) AS tokens FROM s GROUP BY source"""
 BOOK["subdivide_spans"] = """
-SELECT doc_id, start, least(start + 500, n) AS stop FROM (SELECT doc_id, n, @explode(@range(0, n, 500)) AS start FROM (SELECT doc_id, @b(n_chars) AS n FROM documents) a) x"""
+SELECT doc_id, start, least(start + 500, n) AS stop FROM (SELECT doc_id, n, @explode(@range(0, n, 500)) AS start FROM (SELECT doc_id, @b(length(text)) AS n FROM documents) a) x"""
 BOOK["url_domain_filter"] = """
 SELECT page_id, @find(url, '^https?://([^/?#]+)', 1) AS host, replace(@tail(@find(url, '^[^?#]+', 0), '/'), '_', ' ') AS title FROM pages WHERE @rlike(url, 'example[.](com|org)')"""
 BOOK["keyed_hash_selection"] = """
@@ -94,35 +82,12 @@ SELECT rule, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, @explo
 CASE WHEN @rlike(text, 'sk-[A-Za-z0-9]{20,}') THEN 'sk' END, CASE WHEN @rlike(text, 'gh[pousr]_[A-Za-z0-9]{20,}') THEN 'gh' END, CASE WHEN @rlike(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+') THEN 'mail' END) AS rules FROM documents) a) x
 WHERE rule IS NOT NULL GROUP BY rule""".replace("array(CASE", "@arr(CASE")
 BOOK["uuid_harvest"] = """
-SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT @find(lower(text), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', 0) AS id FROM documents) x WHERE id <> ''"""
-BOOK["lexical_tokens"] = """
-SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, @explode(@words(text)) AS term FROM documents) x GROUP BY term HAVING count(DISTINCT doc_id) >= 20"""
+SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT @explode(regexp_extract_all(concat(lower(text), CASE WHEN doc_id % 7 = 0 THEN concat(' 0123abcd-0000-4000-8000-', @pad(doc_id), ' 0123abcd-0000-4000-8000-', @pad(doc_id + 1)) ELSE '' END),
+'([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})')) AS id FROM documents) x"""
 
 # --- retrieval -------------------------------------------------------------------------------------------------------------------
-_BM25 = """terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, @explode(@words(text)) AS term FROM documents) t GROUP BY doc_id, term),
-dl AS (SELECT doc_id, @dbl(@size(@words(text))) AS dl FROM documents), st AS (SELECT @dbl(count(*)) AS n, avg(dl) AS avgdl FROM dl),
-q AS (SELECT DISTINCT item_id, @explode(@words(text)) AS term FROM benchmark),
-df AS (SELECT term, @dbl(count(*)) AS df FROM terms WHERE term IN (SELECT term FROM q) GROUP BY term),
-bm AS (SELECT q.item_id, t.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-FROM q JOIN df ON q.term = df.term JOIN terms t ON q.term = t.term JOIN dl ON t.doc_id = dl.doc_id CROSS JOIN st GROUP BY q.item_id, t.doc_id),
-sparse AS (SELECT item_id, doc_id, score, rk FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM bm) r WHERE rk <= 50)"""
-BOOK["bm25_topk"] = f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score, rk FROM sparse WHERE rk <= 10"
-BOOK["rrf_fusion"] = f"""
-WITH {_BM25}, pairs AS (SELECT q.item_id, t.doc_id, round(count(*) / sqrt(@dbl(max(dl))), 6) AS score FROM q JOIN terms t ON q.term = t.term JOIN dl ON t.doc_id = dl.doc_id GROUP BY q.item_id, t.doc_id),
-dense AS (SELECT item_id, doc_id, rk FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM pairs) r WHERE rk <= 50),
-fused AS (SELECT item_id, doc_id, round(sum(w / (60 + rk)), 9) AS score FROM (SELECT item_id, doc_id, rk, 0.75 AS w FROM dense UNION ALL SELECT item_id, doc_id, rk, 0.25 AS w FROM sparse) u GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, score, rk FROM (SELECT item_id, doc_id, @dbl(score) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM fused) r WHERE rk <= 5"""
-BOOK["tfidf_argmax"] = """
-WITH q AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, @explode(@words(text)) AS term FROM benchmark) t GROUP BY item_id, term), n AS (SELECT @dbl(count(*)) AS n FROM benchmark),
-idf AS (SELECT term, ln((1 + max(n)) / (1 + @dbl(count(*)))) + 1 AS idf FROM q CROSS JOIN n GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.35 * max(n)),
-qw AS (SELECT item_id, q.term, (1 + ln(@dbl(tf))) * idf AS w FROM q JOIN idf ON q.term = idf.term), qn AS (SELECT item_id, sqrt(sum(w * w)) AS nw FROM qw GROUP BY item_id),
-d AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, @explode(@words(text)) AS term FROM documents) t WHERE term IN (SELECT term FROM idf) GROUP BY doc_id, term),
-dw AS (SELECT doc_id, d.term, (1 + ln(@dbl(tf))) * idf AS w FROM d JOIN idf ON d.term = idf.term), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS nw FROM dw GROUP BY doc_id),
-s AS (SELECT dw.doc_id, qw.item_id, round(sum(dw.w * qw.w) / (max(dn.nw) * max(qn.nw)), 6) AS score FROM dw JOIN qw ON dw.term = qw.term JOIN dn ON dw.doc_id = dn.doc_id JOIN qn ON qw.item_id = qn.item_id GROUP BY dw.doc_id, qw.item_id)
-SELECT doc_id, item_id, score FROM (SELECT doc_id, item_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rk FROM s) r WHERE rk = 1 AND score >= 0.08"""
 _COS = """sim AS (SELECT q.vec_id AS q, q.label AS ql, d.vec_id AS d, d.label AS dl, round(@dot(q.embedding, d.embedding), 6) AS score FROM (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 100 = 0) q JOIN embeddings d ON q.vec_id <> d.vec_id),
 rank AS (SELECT q, ql, d, dl, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rk FROM sim), top AS (SELECT * FROM rank WHERE rk <= 10)"""
-BOOK["cosine_topk"] = f"WITH {_COS} SELECT q, d, score, rk FROM top"
 BOOK["retrieval_metrics"] = f"""
 WITH {_COS}, per AS (SELECT q, min(CASE WHEN ql = dl THEN rk END) AS first_hit FROM top GROUP BY q)
 SELECT count(*) AS queries, round(avg(CASE WHEN first_hit <= 1 THEN 1.0D ELSE 0.0D END), 6) AS hit1, round(avg(CASE WHEN first_hit <= 3 THEN 1.0D ELSE 0.0D END), 6) AS hit3,
@@ -135,22 +100,13 @@ BOOK["vector_validation"] = """
 SELECT label, count(*) AS n, count_if(@size(embedding) <> 64) AS bad_dim, count_if(abs(sqrt(@dot(embedding, embedding)) - 1) > 0.000001) AS not_unit FROM embeddings GROUP BY label"""
 
 # --- conversations and memory ----------------------------------------------------------------------------------------------------
-_TURNS = "seg AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seg FROM conversations WHERE role IN ('user', 'assistant'))"
-BOOK["turn_budget"] = f"""
-WITH {_TURNS}, t AS (SELECT conv_id, seg, @b(sum(length(text))) AS chars, count(*) AS n FROM seg GROUP BY conv_id, seg),
-c AS (SELECT conv_id, seg, chars, n, row_number() OVER (PARTITION BY conv_id ORDER BY seg DESC) AS rn, sum(chars) OVER (PARTITION BY conv_id ORDER BY seg DESC ROWS UNBOUNDED PRECEDING) AS cum FROM t)
-SELECT conv_id, @b(seg) AS seg, CASE WHEN rn = 1 THEN least(chars, 1500) ELSE chars END AS chars FROM c WHERE rn <= 5 AND (cum <= 1500 OR rn = 1)"""
 BOOK["message_dedup"] = "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY md5(concat(role, ':', text)) ORDER BY conv_id, turn) AS rn FROM conversations) x WHERE rn = 1"
-BOOK["history_compress"] = f"""
-WITH {_TURNS}, p AS (SELECT conv_id, seg, max(CASE WHEN role = 'user' THEN substr(text, 1, 50) END) AS asked, min_by(CASE WHEN role = 'assistant' THEN substr(text, 1, 100) END, CASE WHEN role = 'assistant' THEN turn END) AS said FROM seg GROUP BY conv_id, seg)
-SELECT conv_id, @b(seg) AS seg, md5(asked) AS asked, md5(said) AS said FROM (SELECT conv_id, seg, asked, said, row_number() OVER (PARTITION BY conv_id ORDER BY seg DESC) AS rn FROM p WHERE said IS NOT NULL) r WHERE rn <= 10"""
 BOOK["message_entropy"] = """
 SELECT conv_id, n, round(1 - distinct_n / @dbl(n), 6) AS dup_rate, round(mean_len, 6) AS mean_len, CASE WHEN n > 50 OR mean_len > 1000 THEN 'high' WHEN n > 20 OR 1 - distinct_n / @dbl(n) > 0.2 THEN 'medium' ELSE 'low' END AS level
 FROM (SELECT conv_id, count(*) AS n, count(DISTINCT concat(role, ':', text)) AS distinct_n, avg(length(text)) AS mean_len FROM conversations GROUP BY conv_id) x"""
 BOOK["role_transitions"] = "SELECT coalesce(before, 'start') AS before, role, count(*) AS n FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) x GROUP BY 1, 2"
 BOOK["profile_upsert"] = """
 SELECT user_id, event_type, max_by(event_id, @dbl(event_id) + 1000000000.0 * @secs(ts)) AS latest, count(*) AS n FROM events GROUP BY user_id, event_type"""
-BOOK["numbered_lines"] = "SELECT conv_id, count(*) AS lines, count_if(trim(line) <> '') AS full_lines FROM (SELECT conv_id, @explode(@lines(text)) AS line FROM conversations WHERE role = 'assistant') x GROUP BY conv_id"
 BOOK["last_n_messages"] = "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x WHERE rn <= 3"
 
 # --- traces, ledgers, reports ----------------------------------------------------------------------------------------------------
@@ -197,13 +153,13 @@ SELECT coalesce(@b(phase), -1) AS phase, count(*) AS n FROM (SELECT max(CASE WHE
 _ARMS = "arms AS (SELECT l_partkey AS item, max(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS a, max(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS b FROM lineitem GROUP BY l_partkey), paired AS (SELECT item, a, b FROM arms WHERE a IS NOT NULL AND b IS NOT NULL)"
 BOOK["paired_wins_losses"] = f"WITH {_ARMS} SELECT count(*) AS n, count_if(b > a) AS wins, count_if(b < a) AS losses, count_if(a = b) AS ties, round(avg(b - a), 6) AS delta FROM paired"
 BOOK["paired_bootstrap"] = f"""
-WITH {_ARMS}, o AS (SELECT row_number() OVER (ORDER BY item) - 1 AS i, b - a AS d FROM paired), n AS (SELECT count(*) AS n FROM o), reps AS (SELECT @explode(@range(0, 100, 1)) AS r),
+WITH {_ARMS}, o AS (SELECT row_number() OVER (ORDER BY item) - 1 AS i, b - a AS d FROM paired), n AS (SELECT count(*) AS n FROM o), reps AS (SELECT @explode(@range(0, {REPLICATES}, 1)) AS r),
 draw AS (SELECT r, o.i, @hash32(concat(r, ':', o.i)) % n AS pick FROM reps CROSS JOIN o CROSS JOIN n),
 m AS (SELECT r, avg(o.d) AS m FROM draw JOIN o ON draw.pick = o.i GROUP BY r)
 SELECT round(@pct(m, 0.025), 6) AS low, round(@pct(m, 0.975), 6) AS high FROM m"""
-BOOK["cluster_bootstrap"] = """
+BOOK["cluster_bootstrap"] = f"""
 WITH f AS (SELECT c_nationkey AS fam, @dbl(count_if(o_orderstatus = 'F')) AS a, @dbl(count(*)) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey),
-o AS (SELECT row_number() OVER (ORDER BY fam) - 1 AS i, a, n FROM f), k AS (SELECT count(*) AS k FROM o), reps AS (SELECT @explode(@range(0, 200, 1)) AS r),
+o AS (SELECT row_number() OVER (ORDER BY fam) - 1 AS i, a, n FROM f), k AS (SELECT count(*) AS k FROM o), reps AS (SELECT @explode(@range(0, {REPLICATES}, 1)) AS r),
 draw AS (SELECT r, @hash32(concat(r, '/', o.i)) % k AS pick FROM reps CROSS JOIN o CROSS JOIN k), m AS (SELECT r, sum(a) / sum(n) AS m FROM draw JOIN o ON draw.pick = o.i GROUP BY r)
 SELECT round(@pct(m, 0.025), 6) AS low, round(@pct(m, 0.5), 6) AS mid, round(@pct(m, 0.975), 6) AS high FROM m"""
 # The two-sided binomial tail needs its last 6 sqrt(n) terms only: what lies below is under 1e-31 (Hoeffding).
@@ -227,8 +183,6 @@ WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER
 SELECT user_id, round(sum(value * CASE WHEN i = 1 THEN power(0.9, n - 1) ELSE 0.1 * power(0.9, n - i) END), 5) AS ema, max(n) AS n FROM o GROUP BY user_id"""
 BOOK["k_sample_rollup"] = """
 SELECT any_ok, majority, count(*) AS orders FROM (SELECT l_orderkey, bool_or(l_quantity > 45) AS any_ok, count_if(l_quantity > 25) * 2 > count(*) AS majority FROM lineitem GROUP BY l_orderkey) x GROUP BY any_ok, majority"""
-BOOK["balanced_agreement"] = """
-SELECT round((pos + neg) / 2, 6) AS balanced FROM (SELECT avg(@dbl(CASE WHEN quality = 1 THEN 1 - toxic END)) AS pos, avg(@dbl(CASE WHEN quality = 0 THEN toxic END)) AS neg FROM labels) x"""
 BOOK["two_judge_consensus"] = """
 SELECT verdict, count(*) AS n FROM (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_executed' WHEN quality = 1 AND toxic = 0 THEN 'pass' WHEN quality = 0 AND toxic = 1 THEN 'fail' ELSE 'uncertain' END AS verdict FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x GROUP BY verdict"""
 BOOK["repeat_stability"] = "SELECT stable, count(*) AS n FROM (SELECT l_partkey, count(DISTINCT l_returnflag) = 1 AND count(*) >= 2 AS stable FROM lineitem GROUP BY l_partkey) x GROUP BY stable"
