@@ -250,8 +250,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(live)
     if labels is not None:
         of = class_of.join(labels, "node", "left").select("node", "least", "root")
-        best = of.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("best"))
-        class_of = of.join(best, "root", "left").select("node", F.coalesce("best", "least").alias("least"))
+        best = cut(of.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("best")))
+        class_of = _per_group(of, best, ["root"], "left").select("node", F.coalesce("best", "least").alias("least"))
     out = light.select("id", _node()).join(class_of, "node", "left")
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("node.n").cast("long").alias("n_shingles"), F.coalesce("least", "id").cast(kind).alias("component_id"))
 
