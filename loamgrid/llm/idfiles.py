@@ -1,4 +1,7 @@
-"""Token-id shards with keyed access: a minimal perfect hash maps document keys to offsets, fingerprints catch foreign keys.
+"""Token-id shards with keyed access: a minimal perfect hash maps document keys to shard offsets, fingerprints catch foreign keys.
+
+Keyed access takes constant time, whatever the number of documents: a hash of the key names its part of the index (a table at ``path`` + INDEX), the part's minimal perfect
+hash the key's slot, and the slot holds the key's fingerprint, its shard (bucket and number) and its entry there.
 
 File format, one blob per shard (little-endian): header ``SHARD`` (magic, version, id width in bytes, keys, distinct keys, buckets, ids);
 ``key int64[n]`` and ``offset uint64[n + 1]`` in document order; ``seed uint32[buckets]``; per slot ``fingerprint uint32`` and
@@ -30,7 +33,10 @@ MAGIC = b"LGIDS\0\0\1"
 SHARD_BYTES = 1 << 20
 CACHE, CACHED_CHARS = 1_000_000, 40
 NO_KEY = -(1 << 63)
-SHARD_DDL = "bucket int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, blob binary"
+SHARD_DDL = "bucket int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, keys array<bigint>, blob binary"
+#: Where the index of a table of shards is, and about how many keys one part of it holds.
+INDEX, PART_KEYS = "-index", 100_000
+SLOT = np.dtype([("fp", "<u4"), ("bucket", "<i4"), ("seq", "<i4"), ("entry", "<u4")])
 U64 = (1 << 64) - 1
 
 
@@ -239,7 +245,7 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
 
         def shard():
             n_ids = sum(map(len, docs)) // 4
-            row = (bucket, seq, keys[0], keys[-1], len(keys), n_ids, pack(keys, docs, enc.width))
+            row = (bucket, seq, keys[0], keys[-1], len(keys), n_ids, keys, pack(keys, docs, enc.width))
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
         for batch in batches:
@@ -258,13 +264,79 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
             yield shard()
 
     dealt.mapInArrow(run, SHARD_DDL).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+    write_index(spark, path)
+
+
+def part_of(key, n: int):
+    return F.pmod(F.xxhash64(key, F.lit(31)), F.lit(n)).cast("int")
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """The index of a table of shards, ``parts, part, n, seeds, slots``; a repeated key leads to its first entry. Nothing is written for an empty table."""
+    shards = spark.read.parquet(path).select("bucket", "seq", "keys")
+    total = shards.agg(F.sum(F.size("keys"))).first()[0] or 0
+    n = max(1, -(-total // PART_KEYS))
+    rows = shards.select("bucket", "seq", F.posexplode("keys").alias("entry", "k")).groupBy("k").agg(F.min(F.struct("bucket", "seq", "entry")).alias("at"))
+    dealt = rows.select(part_of("k", n).alias("part"), "k", "at.bucket", "at.seq", "at.entry").repartition(n, "part").sortWithinPartitions("part", "k")
+    ddl = "parts int, part int, n int, seeds binary, slots binary"
+    out = _arrow_schema(spark, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def pack_part(own: np.ndarray) -> pa.RecordBatch:
+            seeds, slots = perfect_hash(own[1])
+            table = np.zeros(len(slots), SLOT)
+            table["fp"][slots] = (mix(own[1], 1 << 20) >> np.uint64(32)).astype("<u4")
+            for name, values in zip(("bucket", "seq", "entry"), own[2:], strict=True):
+                table[name][slots] = values
+            row = (n, int(own[0, 0]), len(slots), seeds.tobytes(), table.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, out, strict=True)], schema=out)
+
+        for batch in batches:
+            got = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            for part in np.split(got, np.flatnonzero(np.diff(got[0])) + 1, axis=1):
+                if part.shape[1]:
+                    if held and held[0][0, 0] != part[0, 0]:
+                        yield pack_part(np.concatenate(held, axis=1))
+                        held = []
+                    held.append(part)
+        if held:
+            yield pack_part(np.concatenate(held, axis=1))
+
+    dealt.mapInArrow(run, ddl).write.parquet(path + INDEX)
+
+
+def places(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """``k, bucket, seq, entry`` of the keys (distinct, column ``k``) that the index knows, each found in one step of its part."""
+    index = spark.read.parquet(path + INDEX)
+    first = index.select("parts").first()
+    ddl = "k bigint, bucket int, seq int, entry int"
+    if first is None:
+        return spark.createDataFrame([], ddl)
+    wanted = keys.withColumn("part", part_of("k", first[0])).groupBy("part").agg(F.collect_list("k").alias("ks"))
+    rows = wanted.join(index, "part").select("ks", "n", "seeds", "slots")
+    out = _arrow_schema(spark, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, n, seeds, table = np.array(batch.column(0)[i].as_py(), np.int64), batch.column(1)[i].as_py(), np.frombuffer(batch.column(2)[i].as_py(), "<u4"), np.frombuffer(batch.column(3)[i].as_py(), SLOT)
+                slot = table[(mix(key, seeds[(mix(key, 0) % np.uint64(len(seeds))).astype(np.int64)]) % np.uint64(n)).astype(np.int64)]
+                hit = slot["fp"] == (mix(key, 1 << 20) >> np.uint64(32))
+                cols = (key[hit], *(slot[c][hit] for c in ("bucket", "seq", "entry")))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+
+    return rows.mapInArrow(run, ddl)
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """One row per shard with ``start``: the ids of all documents before it. As many rows as shards, without their blobs."""
-    small = spark.read.parquet(path).drop("blob")
-    before = Window.orderBy("bucket", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return small.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    small = spark.read.parquet(path).drop("blob", "keys")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Buckets are as few as partitions: only their sums are in one place.
+    buckets = small.groupBy("bucket").agg(F.sum("n_ids").alias("n_ids")).select("bucket", before(Window.orderBy("bucket")).alias("first"))
+    return small.join(F.broadcast(buckets), "bucket").withColumn("start", F.col("first") + before(Window.partitionBy("bucket").orderBy("seq"))).drop("first")
 
 
 #: Rows of the shard directory (about 40 bytes each) up to which it is broadcast to the readers.
@@ -294,11 +366,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Ids of some documents by key: a range join finds the shard, the shard's index the ids. Null or unknown keys give no row."""
+    """Ids of some documents by key: the index names shard and entry. Null or unknown keys give no row; repeated ones one."""
     wanted = keys.select(F.col(key_col).cast("long").alias("k")).where("k is not null").distinct()
-    small = spark.read.parquet(path).select("bucket", "seq", "first_key", "last_key")
-    places = (F.broadcast(small) if small.count() <= DIRECTORY_ROWS else small).alias("p")
-    hit = wanted.join(places, (F.col("k") >= F.col("p.first_key")) & (F.col("k") <= F.col("p.last_key"))).groupBy("bucket", "seq").agg(F.collect_list("k").alias("ks"))
+    hit = places(spark, path, wanted).groupBy("bucket", "seq").agg(F.collect_list(F.struct("k", "entry")).alias("ks"))  # at most the entries of a shard
     rows = spark.read.parquet(path).select("bucket", "seq", "blob").join(hit, ["bucket", "seq"]).select("ks", "blob")
     ddl = f"`{key_col}` bigint, ids array<bigint>"
     out = _arrow_schema(spark, ddl)
@@ -307,7 +377,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_
         for batch in batches:
             for i in range(batch.num_rows):
                 s = Shard(batch.column(1)[i].as_py())
-                got = [(k, ids.tolist()) for k in batch.column(0)[i].as_py() if (ids := s.get(k)) is not None]
+                got = [(r["k"], s.entry(r["entry"]).tolist()) for r in batch.column(0)[i].as_py() if int(s.keys[r["entry"]]) == r["k"]]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
 
