@@ -125,12 +125,14 @@ def sentence_spans(df: DataFrame, id_col: str, text_col: str, width: int = 2047)
     kind = dict(df.dtypes)[id_col]
 
     @F.pandas_udf("array<struct<start:bigint,stop:bigint>>")
-    def cut(words: pd.Series, ends: pd.Series) -> pd.Series:
+    def cut(words: pd.Series, sizes: pd.Series) -> pd.Series:
         import bisect
+        import itertools
 
         out = []
-        for n, stops in zip(words, ends, strict=True):
+        for n, own in zip(words, sizes, strict=True):
             spans, at = [], 0
+            stops = list(itertools.accumulate(() if own is None else own))
             while at < (n or 0):
                 stop = min(at + width, int(n))
                 if stop < n:
@@ -144,8 +146,7 @@ def sentence_spans(df: DataFrame, id_col: str, text_col: str, width: int = 2047)
 
     parts = F.filter(F.split(F.col(text_col), r"(?<=[.!?])\s+|\n\n+"), lambda s: s != "")
     sizes = F.transform(parts, lambda s: F.size(fields(s)))
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1))), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x))
-    x = df.select(F.col(id_col), F.explode(cut(F.size(fields(F.coalesce(F.col(text_col), F.lit("")))), ends)).alias("s"))
+    x = df.select(F.col(id_col), F.explode(cut(F.size(fields(F.coalesce(F.col(text_col), F.lit("")))), sizes)).alias("s"))
     return x.select(F.col(id_col).cast(kind), "s.start", "s.stop")
 
 
