@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import _arrow_schema, cut, discard, release, small_batches, worker_state
+from loamgrid.llm.common import _arrow_schema, cut, discard, small_batches, trim, worker_state
 from loamgrid.llm.graph import components
 
 WORDS = 5
@@ -33,10 +33,14 @@ SALT = 16
 BROADCAST_GROUPS = 200_000
 #: Ids of active documents (8 bytes each) up to which they are broadcast to filter the texts.
 BROADCAST_IDS = 2_000_000
-CACHE = 250_000
+CACHE = 100_000
 PRIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+def _halves(name: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", name)
+
+
 def _node():
     return F.struct("n", "h", "g").alias("node")
 
@@ -79,9 +83,9 @@ class Shingler:
                 acc = acc * PRIMES[0] + h[i : n - size + 1 + i]
         return np.unique(_mix(acc))
 
-    def name(self, shingles: np.ndarray) -> tuple[int, int]:
-        """A set's 128-bit name as two signed numbers; with its size, a set's identity."""
-        return struct.unpack("<qq", self.digest_128(shingles.tobytes()))
+    def name(self, shingles: np.ndarray) -> bytes:
+        """A set's 128-bit name; with its size, a set's identity."""
+        return self.digest_128(shingles.tobytes())
 
 
 def _rows(df: DataFrame, make, ddl: str) -> DataFrame:
@@ -117,7 +121,7 @@ def common_columns(texts: DataFrame) -> list[tuple[int, int]]:
 
     def make():
         shingles = Shingler()
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def fn(_, text):
             s = shingles(text)
@@ -159,7 +163,7 @@ def shingle_sets(texts: DataFrame, shared) -> DataFrame:
 
     def make():
         shingles, order = Shingler(), Order(*shared.value)
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
 
         def fn(i, text):
             s = shingles(text)
@@ -168,12 +172,12 @@ def shingle_sets(texts: DataFrame, shared) -> DataFrame:
                 return [((i, 0, 0, 0, 0, []), 1)]
             name = shingles.name(s)
             if name in seen:  # a copy within this task: its columns are out already
-                return [((i, n, *name, 0, []), 1)]
+                return [((i, n, *_halves(name), 0, []), 1)]
             if len(seen) < 500_000:
                 seen.add(name)
             x, cold = order(s.view(np.int64))
             keep = n - (4 * n + 4) // 5 + 1
-            return [((i, n, *name, min(cold, keep), x[:keep].tolist()), keep + 4)]
+            return [((i, n, *_halves(name), min(cold, keep), x[:keep].tolist()), keep + 4)]
 
         return fn
 
@@ -188,7 +192,7 @@ def whole_sets(texts: DataFrame, shared) -> DataFrame:
 
         def fn(_, text):
             s = shingles(text)
-            return [((len(s), *shingles.name(s), order(s.view(np.int64))[0].tolist()), len(s))] if len(s) else []
+            return [((len(s), *_halves(shingles.name(s)), order(s.view(np.int64))[0].tolist()), len(s))] if len(s) else []
 
         return fn
 
@@ -220,7 +224,7 @@ def verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, shared) -> Da
     same = F.size(F.array_intersect("sa", "sb"))
     out = cut(x.where(180 * same >= 80 * (F.col("a.n") + F.col("b.n"))).select("a", "b"))
     discard(pairs, sets)
-    release(texts.sparkSession)
+    trim(texts.sparkSession)
     return out
 
 
@@ -244,7 +248,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     live = cut(several.dropDuplicates(["c", "node"]).unionAll(postings.where("at >= cold").select("c", "at", "node").dropDuplicates(["c", "node"])))
     light = cut(base.select("id", "n", "h", "g"))
     discard(base)
-    release(spark)
+    trim(spark)
     class_of = cut(light.where("n > 0").groupBy("n", "h", "g").agg(F.min("id").alias("least")).select(_node(), "least"))
     labels = link(live, texts, class_of, shared)
     discard(live)
@@ -371,7 +375,7 @@ def deltas(rows: DataFrame | None) -> DataFrame | None:
         deeper = F.struct(F.xxhash64("group", "e").alias("a"), F.xxhash64("e", "group", F.lit(7)).alias("b"))
         new = cut(z.where("many").select(deeper.alias("group"), "node", "root", "lost", F.expr("slice(s, 2, size(s))").alias("s")), "lz4_raw")
         discard(rows, size, times, most, x, centre, lows, y, blocks, z)
-        release(spark)
+        trim(spark)
         rows = None if new.isEmpty() else new
     return edges
 
