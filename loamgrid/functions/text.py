@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,8 +30,8 @@ BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 @F.pandas_udf(StringType())
 def compatible_form(texts: pd.Series) -> pd.Series:
-    """Unicode form NFKC, a whole Arrow batch at once: Spark has no normal forms."""
-    return pd.Series(pc.utf8_normalize(pa.array(texts, pa.string()), form="NFKC").to_pandas())
+    """Unicode form NFKC, in Arrow batches: Spark has no normal forms."""
+    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], dtype=object)
 
 
 @F.pandas_udf(StringType())

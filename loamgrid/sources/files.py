@@ -21,6 +21,37 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def replace_jsonl(df: DataFrame, path: str) -> None:
+    """As ``write_jsonl``, but readers see the old rows or the new ones: written beside and then renamed, the old folder out of the way first."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    new, old, at = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("._new", "._old", ""))
+    df.write.mode("overwrite").json(path + "._new")
+    fs = at.getFileSystem(conf)
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"could not move {path} away")
+    if not fs.rename(new, at):
+        raise OSError(f"could not move the new rows to {path}")
+    fs.delete(old, True)
+
+
+def with_image_paths(df: DataFrame, folder: str, column: str = "image_path") -> DataFrame:
+    """Relative image paths resolved against the folder of the rows; absolute ones, URLs and nulls stay."""
+    p = F.col(column)
+    return df.withColumn(column, F.when(p.rlike("^(/|[a-z][a-z0-9+.-]*:)"), p).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), p)))
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON-line ledgers, one file each a task; a cut-off last line is left out, any other malformed line is an error."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
+    rows = files.select("file", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line")).where("trim(line) <> ''")
+    bad = F.expr("try_parse_json(line) IS NULL")
+    # A writer that was cut off leaves no line end, so that its line is the last of the split.
+    rows = rows.where(~(bad & (F.col("i") == F.col("n") - 1)))
+    rows = rows.where(F.assert_true(~bad, F.concat(F.lit("malformed line in "), "file")).isNull())
+    return rows.select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
 def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record per file, with the file's name."""
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file_name", F.col("_metadata.file_name"))
@@ -35,6 +66,93 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, quotes doubled as spreadsheets expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def file_topics(texts: DataFrame, ranges: list[tuple[int, int, str]]) -> DataFrame:
+    """``read_texts`` with ``number``, ``title`` and ``topic``: a file is named 012_title.txt, and ranges of numbers have topics; null outside them."""
+    n = F.nullif(F.regexp_extract("file_name", r"^(\d+)", 1), F.lit("")).cast("int")
+    topic = F.coalesce(*[F.when(n.between(a, b), F.lit(t)) for a, b, t in ranges], F.lit(None).cast("string"))
+    return texts.select("*", n.alias("number"), F.regexp_replace(F.regexp_replace("file_name", r"^\d+[_ -]*", ""), r"\.txt$", "").alias("title"), topic.alias("topic"))
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """``archive, member, bytes, sha256, text`` of the files in zip archives and tar.gz archives, one archive a task; ``text`` is null where it is no UTF-8."""
+    ddl = "archive string, member string, bytes bigint, sha256 string, text string"
+
+    def run(batches):
+        import hashlib
+        import io
+        import tarfile
+        import zipfile
+
+        import pandas as pd
+
+        def row(archive, name, body):
+            try:
+                text = body.decode("utf-8")
+            except UnicodeDecodeError:
+                text = None
+            return archive, name, len(body), hashlib.sha256(body).hexdigest(), text
+
+        for batch in batches:
+            for archive, content in zip(batch["path"], batch["content"], strict=True):
+                if zipfile.is_zipfile(io.BytesIO(content)):
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        members = ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir())
+                        for name, body in members:
+                            yield pd.DataFrame([row(archive, name, body)], columns=["archive", "member", "bytes", "sha256", "text"])
+                else:
+                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+                        for m in t:
+                            if m.isfile():
+                                yield pd.DataFrame([row(archive, m.name, t.extractfile(m).read())], columns=["archive", "member", "bytes", "sha256", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ddl)
+
+
+def manifest_faults(members: DataFrame, listed: DataFrame) -> DataFrame:
+    """Members that a manifest (``member, bytes, sha256``) does not list as they are, and listed ones that are missing: ``member, fault``."""
+    want = listed.select("member", F.col("bytes").alias("__b"), F.col("sha256").alias("__h"))
+    x = members.select("member", "bytes", "sha256").join(want, "member", "full")
+    fault = F.when(F.col("sha256").isNull(), "missing").when(F.col("__h").isNull(), "unlisted").when((F.col("bytes") != F.col("__b")) | (F.col("sha256") != F.col("__h")), "changed")
+    return x.select("member", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def xml_passages(members: DataFrame, least: int = 80) -> DataFrame:
+    """``member, section, place, title, text``: paragraphs, lists and tables of the sections of XML articles (``member, text``), white space collapsed.
+
+    Sections of references, questions or notices are left out, as are passages under ``least`` code points. ``title`` is the article's and the section's.
+    """
+    ddl = "member string, section string, place int, title string, text string"
+
+    def run(batches):
+        import re
+        import xml.etree.ElementTree as ET
+
+        import pandas as pd
+
+        skip = re.compile(r"references|review questions|disclosure|continuing education", re.I)
+        for batch in batches:
+            rows = []
+            for member, text in zip(batch["member"], batch["text"], strict=True):
+                root = ET.fromstring(text)
+                article = next((x for at in (".//book-part-meta/title-group/title", ".//title") if (x := root.findtext(at))), member)
+                for sec in root.iterfind(".//body//sec"):
+                    head = sec.find("title")
+                    name = "".join(head.itertext()) if head is not None else ""
+                    kids = [] if skip.search(name) else enumerate(sec)
+                    for i, kid in kids:
+                        body = " ".join(" ".join(kid.itertext()).split()) if kid.tag in ("p", "list", "table-wrap") else ""
+                        if len(body) >= least:
+                            rows.append((member, sec.get("id") or name, i, f"{article} -- {name}", body))
+            yield pd.DataFrame(rows, columns=["member", "section", "place", "title", "text"])
+
+    return members.where("text IS NOT NULL").select("member", "text").mapInPandas(run, ddl)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """``path, bytes, sha256`` of every file."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
@@ -54,3 +172,22 @@ def html_to_text(html):
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def page_text(html, most: int = 2000):
+    """A page's text: scripts and styles out, lines stripped and cut at double blanks, empty ones dropped, cut to ``most`` with three dots."""
+    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
+    x = F.regexp_replace(x, r"<[^>]*>", "")
+    parts = F.flatten(F.transform(F.split(x, "\n"), lambda line: F.split(F.trim(line), "  ")))
+    joined = F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), " ")
+    return F.when(F.length(joined) > most, F.concat(F.substr(joined, F.lit(1), F.lit(most)), F.lit("..."))).otherwise(joined)
+
+
+def markdown_table(df: DataFrame) -> DataFrame:
+    """One column ``line``: each row as a line of a Markdown table, bars escaped; nulls are empty. The header is ``markdown_header(df)``."""
+    cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_header(df: DataFrame) -> list[str]:
+    return ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
