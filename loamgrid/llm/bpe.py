@@ -24,7 +24,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}
 #: Runs that the pattern never crosses: what it finds in a text is what it finds in each of these in turn.
 SEGMENTS = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: Bytes that a worker's caches of segments and of token pairs may hold, about what an entry takes besides its text, and the longest segment cached.
-SEGMENT_BYTES, PAIR_BYTES, ENTRY_BYTES, CACHED_CHARS = 48_000_000, 16_000_000, 200, 64
+SEGMENT_BYTES, PAIR_BYTES, ENTRY_BYTES, CACHED_CHARS = 110_000_000, 32_000_000, 200, 64
 
 
 def byte_alphabet() -> list[str]:
