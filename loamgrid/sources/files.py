@@ -43,7 +43,7 @@ def with_image_paths(df: DataFrame, folder: str, column: str = "image_path") ->
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON-line ledgers, one file each a task; a cut-off last line is left out, any other malformed line is an error."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
     rows = files.select("file", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line")).where("trim(line) <> ''")
     bad = F.expr("try_parse_json(line) IS NULL")
     # A writer that was cut off leaves no line end, so that its line is the last of the split.
@@ -58,7 +58,7 @@ def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``file_name, text``."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
