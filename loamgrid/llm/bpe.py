@@ -24,7 +24,9 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}
 #: Runs that the pattern never crosses: what it finds in a text is what it finds in each of these in turn.
 SEGMENTS = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: Bytes that a worker's caches of segments and of token pairs may hold, about what an entry takes besides its text, and the longest segment cached.
-SEGMENT_BYTES, PAIR_BYTES, ENTRY_BYTES, CACHED_CHARS = 110_000_000, 32_000_000, 200, 64
+SEGMENT_BYTES, PAIR_BYTES, ENTRY_BYTES, PAIR_ENTRY, CACHED_CHARS = 110_000_000, 32_000_000, 200, 120, 64
+#: A pair of tokens is one integer: the left one above this many bits, the right one below. More than any vocabulary needs.
+PAIR_BITS = 24
 
 
 def byte_alphabet() -> list[str]:
@@ -40,23 +42,26 @@ class Cache:
     def __init__(self, most: int):
         self.new, self.old, self.room, self.most = {}, {}, most // 2, most // 2
 
-    def get(self, key):
+    def get(self, key, size: int):
         got = self.new.get(key)
         if got is None:
             got = self.old.get(key)
             if got is not None:
-                self.put(key, got)
+                self.put(key, got, size)
         return got
 
-    def put(self, key, value) -> None:
-        self.room -= ENTRY_BYTES + len(key)
+    def put(self, key, value, size: int) -> None:
+        self.room -= size
         if self.room < 0:
-            self.old, self.new, self.room = self.new, {}, self.most
+            self.old, self.new, self.room = self.new, {}, self.most - size
         self.new[key] = value
 
 
 class Codec:
-    """Encoder and decoder for one byte-level BPE file of the tokenizers library (``add_special_tokens=False``)."""
+    """Encoder and decoder for one byte-level BPE file of the tokenizers library (``add_special_tokens=False``).
+
+    Inside, a token is the number of when it comes to be (its rank): single bytes first, then the merges in order.
+    """
 
     def __init__(self, path: str):
         import ahocorasick
@@ -66,88 +71,91 @@ class Codec:
             spec = json.load(f)
         model = spec["model"]
         self.find = regex.compile(PATTERN).findall
-        self.alphabet = byte_alphabet()
-        self.id_of: dict[str, int] = model["vocab"]
+        alphabet = byte_alphabet()
+        self.letters = dict(enumerate(alphabet))
+        vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        # A token's rank is when it comes to be: single bytes first, then the merges in order.
-        self.rank = {c: i for i, c in enumerate(self.alphabet)}
-        self.parts: dict[str, tuple[str, str]] = {}
-        self.merged: dict[tuple[str, str], int] = {}
-        for i, (a, b) in enumerate(merges):
-            whole = a + b
-            self.merged[a, b] = 256 + i
-            if whole not in self.rank:
-                self.rank[whole], self.parts[whole] = 256 + i, (a, b)
+        rank = {c: i for i, c in enumerate(alphabet)}
+        # The two tokens that each token was merged from (none: -1), and the rank of each merge.
+        self.left, self.right = [-1] * (256 + len(merges)), [-1] * (256 + len(merges))
+        self.merged: dict[int, int] = {}
+        for i, (a, b) in enumerate(merges, 256):
+            self.merged[rank[a] << PAIR_BITS | rank[b]] = i
+            if rank.setdefault(a + b, i) == i:
+                self.left[i], self.right[i] = rank[a], rank[b]
         self.automaton = ahocorasick.Automaton()
-        for token in self.rank:
-            self.automaton.add_word(token, token)
+        self.id_bytes, self.size = [b""] * (256 + len(merges)), [0] * (256 + len(merges))
+        for token, i in rank.items():
+            self.automaton.add_word(token, (len(token), i))
+            self.id_bytes[i], self.size[i] = vocab[token].to_bytes(4, "little"), len(token)
         self.automaton.make_automaton()
         self.fits, self.segments = Cache(PAIR_BYTES), Cache(SEGMENT_BYTES)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        back = {c: b for b, c in enumerate(self.alphabet)}
-        self.bytes_of = [b""] * (max([*self.id_of.values(), *self.special.values()]) + 1)
-        for t, i in self.id_of.items():
+        back = {c: b for b, c in enumerate(alphabet)}
+        self.bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        for t, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave ``left`` and ``right`` side by side: undo merges from the latest, looking for one across the seam that came earlier."""
-        key = (left, right)
-        known = self.fits.get(key)
+        key = left << PAIR_BITS | right
+        known = self.fits.get(key, PAIR_ENTRY)
         if known is not None:
             return known
         before, good = 1 << 60, True
-        a, b = left, right
         while True:
-            across = self.merged.get((a, b))
+            across = self.merged.get(left << PAIR_BITS | right)
             if across is not None and across < before:
                 good = False
                 break
             # Of two merges the later one is undone first; at equal rank the left one was made first.
-            ra, rb = (self.rank[a] if a in self.parts else -1), (self.rank[b] if b in self.parts else -1)
-            if ra < 0 and rb < 0:
+            if left < 256 and right < 256:
                 break
-            if ra > rb:
-                before, a = ra, self.parts[a][1]
+            if left > right:
+                before, left = left, self.right[left]
             else:
-                before, b = rb + 1, self.parts[b][0]
-        self.fits.put(key, good)
+                before, right = right + 1, self.left[right]
+        self.fits.put(key, good, PAIR_ENTRY)
         return good
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one piece of the pattern as little-endian 32-bit integers."""
-        s = "".join([self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")])
-        last: list[str | None] = [None] * (len(s) + 1)
-        at = 0  # the end of the prefix whose last token is known
-        for end, token in self.automaton.iter(s):
+        s = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        last = [0] * (len(s) + 1)
+        fits, at = self.fits, 0  # ``at``: the end of the prefix whose last token is known
+        for end, (size, token) in self.automaton.iter(s):
             if end >= at:
-                start = end + 1 - len(token)
+                start = end + 1 - size
                 if start:
-                    left = last[start]
-                    good = self.fits.new.get((left, token))
-                    if good is False or good is None and not self.compatible(left, token):
+                    good = fits.new.get(last[start] << PAIR_BITS | token)
+                    if good is False or good is None and not self.compatible(last[start], token):
                         continue
                 at = end + 1
                 last[at] = token
         ids, at = [], len(s)
         while at:
-            ids.append(self.id_of[last[at]])
-            at -= len(last[at])
-        return np.array(ids[::-1], dtype="<u4").tobytes()
+            ids.append(self.id_bytes[last[at]])
+            at -= self.size[last[at]]
+        ids.reverse()
+        return b"".join(ids)
 
     def encode_segment(self, segment: str) -> bytes:
+        # Plain letters are one piece of the pattern.
+        if segment.isascii() and segment.removeprefix(" ").isalpha():
+            return self.encode_piece(segment)
         return b"".join([self.encode_piece(piece) for piece in self.find(segment)])
 
     def _plain(self, text: str) -> bytes:
         known, out = self.segments, []
         for seg in SEGMENTS.findall(text):
-            got = known.new.get(seg) or known.get(seg)
+            got = known.new.get(seg) or known.get(seg, ENTRY_BYTES + len(seg))
             if got is None:
                 got = self.encode_segment(seg)
                 if len(seg) <= CACHED_CHARS:
-                    known.put(seg, got)
+                    known.put(seg, got, ENTRY_BYTES + len(seg))
             out.append(got)
         return b"".join(out)
 
