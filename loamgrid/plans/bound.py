@@ -598,6 +598,20 @@ def _(t):
     return R.relevance(t("documents"), t("benchmark"), stop=list(STOP))
 
 
+@query("pool_rerank", f"""
+WITH {BM}, pool AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM bm) x WHERE r <= 16),
+m AS (SELECT pool.item_id, doc_id, text FROM pool JOIN documents USING (doc_id) UNION ALL SELECT item_id, -1, text FROM benchmark WHERE item_id IN (SELECT item_id FROM pool)),
+n AS (SELECT item_id, count(*) AS n FROM m GROUP BY item_id), tb AS (SELECT item_id, doc_id, unnest({_BAG}) AS term FROM (SELECT item_id, doc_id, {_FEATURES} AS w FROM m) x), tt AS (SELECT item_id, doc_id, term, count(*) AS tf FROM tb GROUP BY ALL),
+dd AS (SELECT item_id, term, count(*) AS df FROM tt GROUP BY ALL), ww AS (SELECT item_id, doc_id, term, (1 + ln(tf)) * (ln((1e0 + n) / (1 + df)) + 1) AS w FROM tt JOIN dd USING (item_id, term) JOIN n USING (item_id)),
+nn AS (SELECT item_id, doc_id, sqrt(sum(w * w)) AS nw FROM ww GROUP BY ALL), uu AS (SELECT item_id, doc_id, term, w / nw AS u FROM ww JOIN nn USING (item_id, doc_id)),
+s AS (SELECT a.item_id, a.doc_id, sum(a.u * b.u) AS c FROM uu a JOIN uu b ON a.item_id = b.item_id AND a.term = b.term AND b.doc_id = -1 AND a.doc_id <> -1 GROUP BY ALL),
+z AS (SELECT m.item_id, m.doc_id, round(coalesce(c, 0) * least(1e0, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) / 60e0), 6) AS score FROM m LEFT JOIN s USING (item_id, doc_id) WHERE m.doc_id <> -1)
+SELECT item_id, doc_id AS id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM z) r WHERE rank <= 5""")
+def _(t):
+    pool = R.ranked(R.bm25(t("documents"), t("benchmark")), "item_id", 16)
+    return R.rerank(pool, t("documents"), t("benchmark"), {"text": 1.0}, stop=list(STOP), words=F.size(T.fields(F.col("text"))))
+
+
 @query("lexical_terms", rf"""
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat({WORDS.format('text')}, flatten(list_transform(regexp_extract_all(text || '漢字仮 字', '[\x{{3400}}-\x{{9fff}}]+'), lambda s: list_transform(range(1, greatest(1, length(s) - 1) + 1), lambda i: substr(s, i, 2)))))) AS term FROM documents) x GROUP BY ALL) y GROUP BY term""")
 def _(t):
