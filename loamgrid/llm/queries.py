@@ -1,4 +1,4 @@
-"""The ten queries over their whole tables, with production parameters."""
+"""The queries over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import bpe, chat, decontaminate, fingerprint, idfiles, jaccard, license, pii, quality, toxicity
+from loamgrid.llm import bpe, chat, decontaminate, filters, fingerprint, idfiles, jaccard, license, merkle, pii, quality, topk, toxicity
 from loamgrid.llm.common import table
 
 
@@ -82,7 +82,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_ngram_jaccard, op4_pii, op5_toxicity, op6_bpe, op7_id_files, op8_quality, op9_licenses, op10_chat)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by source. See ``filters.audit`` for nulls, repeated ids, empty tables."""
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20, among all others. See ``topk.nearest`` for nulls, ties, repeats, empty tables."""
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its row, as it may have been tampered with, still leads to the root. See ``merkle.manifest`` for nulls, ties, repeats, empty tables."""
+    docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = merkle.leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    found = merkle.manifest(docs, columns, "lang", "doc_id", {"altered": F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, altered)})
+    folded = found.selectExpr("doc_id", "leaf", "subroot", "root", f"sha2({merkle.siblings('proof')}, 256) AS proof_sha256", f"{merkle.fold('coalesce(altered, leaf)', 'proof')} AS folded_root")
+    return folded.selectExpr("*", "folded_root = root AS verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_ngram_jaccard, op4_pii, op5_toxicity, op6_bpe, op7_id_files, op8_quality, op9_licenses, op10_chat, op11_filter_audit, op12_top_k, op13_merkle)}
 
 #: Where DuckDB can express the whole result. The others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
@@ -101,5 +120,56 @@ reach AS (SELECT c AS x, c AS y FROM classes UNION SELECT reach.x, edges.b FROM
 least AS (SELECT x AS c, min(y) AS component_id FROM reach GROUP BY x),
 named AS (SELECT sets.doc_id, len(sets.s) AS n_shingles, classes.c FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s)
 SELECT named.doc_id, n_shingles, coalesce(least.component_id, named.doc_id) AS component_id FROM named LEFT JOIN least USING (c)
+""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS lo FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS tox FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(tox, false) AS tox,
+  concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > lo THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (tox) AS tox FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(string_split('A,B,C,D,E', ',')) AS c),
+p AS (SELECT '' AS o UNION ALL SELECT o || c FROM p, letters WHERE strpos(o, c) = 0),
+s AS (SELECT o AS filter_order, k AS step, o[k] AS own, o[1:k - 1] AS before FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5),
+x AS (SELECT part, filter_order, step, own, n, good, tox, fails, strpos(fails, own) > 0 AS fail, len(list_filter(string_split(before, ''), lambda b: b <> '' AND strpos(fails, b) > 0)) > 0 AS gone FROM m, s),
+y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0) AS removed, coalesce(sum(n) FILTER (gone AND fail), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fail), 0) AS good_lost, coalesce(sum(tox) FILTER (NOT gone AND fail), 0) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM y
+""",
+    "op12_top_k": r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.e) = len(c.e))
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s) x WHERE k <= 20
+""",
+    "op13_merkle": r"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS c, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] AS t,
+  list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: [1000 + ord(s), 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: CASE WHEN x >= 1000 THEN xor(a, x - 1000) ELSE xor(a >> 1, (a & 1) * 3988292384) END) AS crc FROM documents),
+h AS (SELECT doc_id, lang, sha256(array_to_string(list_transform(c, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '')) AS leaf,
+  sha256(array_to_string(list_transform(CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN t ELSE c END, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '')) AS altered FROM d),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+leaves AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, doc_id, leaf, altered FROM h JOIN g ON h.lang IS NOT DISTINCT FROM g.lang),
+low AS (SELECT 0 AS lvl, tree, pos, leaf AS hash, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL SELECT lvl + 1, tree, pos // 2, CASE WHEN other IS NULL THEN sha256(hash) ELSE sha256(hash || other) END, (n + 1) // 2
+  FROM (SELECT *, lead(hash) OVER (PARTITION BY tree ORDER BY pos) AS other FROM low WHERE n > 1) x WHERE pos % 2 = 0),
+tops AS (SELECT tree, hash AS subroot FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, tree AS pos, subroot AS hash, count(*) OVER () AS n FROM tops
+  UNION ALL SELECT lvl + 1, pos // 2, CASE WHEN other IS NULL THEN sha256(hash) ELSE sha256(hash || other) END, (n + 1) // 2
+  FROM (SELECT *, lead(hash) OVER (ORDER BY pos) AS other FROM high WHERE n > 1) x WHERE pos % 2 = 0),
+climb AS (SELECT tree, pos AS start, 0 AS lvl, pos, altered AS folded, '' AS proof FROM leaves
+  UNION ALL SELECT c.tree, start, c.lvl + 1, c.pos // 2, CASE WHEN o.hash IS NULL THEN sha256(folded) WHEN c.pos % 2 = 1 THEN sha256(o.hash || folded) ELSE sha256(folded || o.hash) END, proof || coalesce(o.hash, '')
+  FROM climb c JOIN low p ON p.tree = c.tree AND p.lvl = c.lvl + 1 AND p.pos = c.pos // 2 LEFT JOIN low o ON o.tree = c.tree AND o.lvl = c.lvl AND o.pos = xor(c.pos, 1)),
+mid AS (SELECT tree, start, folded, proof FROM climb QUALIFY row_number() OVER (PARTITION BY tree, start ORDER BY lvl DESC) = 1),
+climb2 AS (SELECT tree, start, 0 AS lvl, tree AS pos, folded, proof FROM mid
+  UNION ALL SELECT c.tree, start, c.lvl + 1, c.pos // 2, CASE WHEN o.hash IS NULL THEN sha256(folded) WHEN c.pos % 2 = 1 THEN sha256(o.hash || folded) ELSE sha256(folded || o.hash) END, proof || coalesce(o.hash, '')
+  FROM climb2 c JOIN high p ON p.lvl = c.lvl + 1 AND p.pos = c.pos // 2 LEFT JOIN high o ON o.lvl = c.lvl AND o.pos = xor(c.pos, 1)),
+done AS (SELECT tree, start, folded, proof FROM climb2 QUALIFY row_number() OVER (PARTITION BY tree, start ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, subroot, (SELECT hash FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT hash FROM high WHERE n = 1) AS verified
+FROM leaves JOIN done ON leaves.tree = done.tree AND leaves.pos = done.start JOIN tops ON tops.tree = leaves.tree
 """,
 }
