@@ -20,6 +20,8 @@ def build_session(app: str = "loamgrid", master: str | None = None, shuffle_part
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("LOAMGRID_DRIVER_MEMORY", "8g"),
         "spark.driver.host": "127.0.0.1",
+        # States with timers need this store.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
