@@ -77,18 +77,23 @@ def fields(text: Column) -> Column:
     return F.filter(F.split(text, f"{BLANK}+"), lambda x: x != "")
 
 
-#: Headings that end a guideline's prose, and openings of lines without content (fixed values).
-END_HEADINGS = ("references", "external links", "see also")
-EMPTY_LINES = ("Please Take Over This Page", r"There can be one or more than one Editor-In-Chief\.", "File:")
+# Headings that end a guideline's prose, openings of lines that its editors left, and what a link looks like.
+END_HEADINGS = ["references", "external links", "see also"]
+EDITORS_LINES = ["please take over this page", "there can be one or more than one editor-in-chief.", "file:"]
+LINK = r"\[([^\]\n]+)\]\(https?://[^)]+\)"
 
 
-def clean_prose(text: Column) -> Column:
-    """A guideline's prose: cut at the first end heading, link texts without their targets, no empty lines of the source's editors, at most one blank line."""
-    x = F.split(text, rf"(?imd)^#{{1,6}}\s*(?:{'|'.join(END_HEADINGS)})\s*$", 2)[0]
-    x = F.regexp_replace(x, r"\[([^\]\n]+)\]\(https?://[^)]+\)", "$1")
-    for opening in EMPTY_LINES:
-        x = F.regexp_replace(x, rf"(?imd)^{opening}[^\n]*\n?", "")
-    return stripped(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+def clean_prose(text: Column, end_headings: list[str] = END_HEADINGS, left_out: list[str] = EDITORS_LINES) -> Column:
+    """A text's prose: what stands before the first Markdown heading of ``end_headings``, links as their texts, without lines that open like one of ``left_out`` (lower case), at most one blank line at a time."""
+    names = "|".join(rf"\Q{h}\E" for h in end_headings)
+    before = F.split(text, rf"(?imd)^#{{1,6}}\s*(?:{names})\s*$", 2)[0] if end_headings else text
+    lines = F.split(F.regexp_replace(before, LINK, "$1"), "\n")
+
+    def stays(line: Column) -> Column:
+        return ~F.exists(F.array(*[F.lit(x) for x in left_out]), lambda x: F.startswith(F.lower(line), x))
+
+    kept = F.filter(lines, stays) if left_out else lines
+    return stripped(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
 def cut_before(text: Column, markers: list[str]) -> Column:
@@ -104,9 +109,13 @@ def page_title(title: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.nullif(F.replace(F.try_url_decode(last), F.lit("_"), F.lit(" ")), F.lit("")), url)
 
 
+#: How an explanation opens with its answer's letter (fixed value).
+ANSWER_LABEL = r"^\s*Answer\s*[:.-]?\s*[A-D]\s*[.)]?\s*"
+
+
 def without_answer_label(text: Column) -> Column:
     """An explanation without a leading "Answer: B."."""
-    return collapsed(F.regexp_replace(text, r"^\s*Answer\s*[:.-]?\s*[A-D]\s*[.)]?\s*", ""))
+    return collapsed(F.regexp_replace(text, ANSWER_LABEL, ""))
 
 
 #: Where an explanation's references begin, and how it names the right option (fixed values).

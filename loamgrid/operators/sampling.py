@@ -29,6 +29,13 @@ def dedup(df: DataFrame, key: Column, order: list[str], id_col: str) -> DataFram
     return x.withColumn("duplicate_of", F.when(F.col("__n") > 1, F.col("__first"))).drop("__key", "__first", "__n")
 
 
+def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``only_a, only_b, same``: how many keys only one of two tables has, and whether there are none. Keys are counted where they lie before they meet."""
+    both = a.select(F.col(key).alias("k"), F.lit(1).alias("s")).unionAll(b.select(F.col(key), F.lit(2))).groupBy("k").agg(F.bit_or("s").alias("s"))
+    x = both.agg(F.count_if(F.col("s") == 1).alias("only_a"), F.count_if(F.col("s") == 2).alias("only_b"))
+    return x.withColumn("same", F.col("only_a") + F.col("only_b") == 0)
+
+
 def split_priority(df: DataFrame, key: Column, split: str, id_col: str, order: tuple[str, ...] = ("test", "validation", "train")) -> DataFrame:
     """As ``dedup``, where the row of the split that stands first in ``order`` stays."""
     rank = functools.reduce(lambda a, x: a.when(F.col(split) == x[1], x[0]), enumerate(order[1:], 1), F.when(F.col(split) == order[0], 0)).otherwise(len(order))
@@ -121,33 +128,23 @@ def stratum_spans(df: DataFrame, id_col: str, n_tokens: str, most: int, window:
 
 
 def sentence_spans(df: DataFrame, id_col: str, text_col: str, width: int = 2047) -> DataFrame:
-    """``id, start, stop`` in words: runs of at most ``width`` words, cut after the last sentence or paragraph that ends in their second half, else at full width."""
-    kind = dict(df.dtypes)[id_col]
+    """``id, start, stop`` in words: runs of at most ``width`` words that make up the text, each as long as it can be that ends with a sentence or paragraph in its second half, else of full width.
 
-    @F.pandas_udf("array<struct<start:bigint,stop:bigint>>")
-    def cut(words: pd.Series, sizes: pd.Series) -> pd.Series:
-        import bisect
-        import itertools
-
-        out = []
-        for n, own in zip(words, sizes, strict=True):
-            spans, at = [], 0
-            stops = list(itertools.accumulate(() if own is None else own))
-            while at < (n or 0):
-                stop = min(at + width, int(n))
-                if stop < n:
-                    i = bisect.bisect_right(stops, stop) - 1
-                    if i >= 0 and stops[i] >= at + width // 2:
-                        stop = int(stops[i])
-                spans.append({"start": at, "stop": stop})
-                at = stop
-            out.append(spans)
-        return pd.Series(out)
-
-    parts = F.filter(F.split(F.col(text_col), r"(?<=[.!?])\s+|\n\n+"), lambda s: s != "")
+    One fold over the sentences of a text: it holds where the open run starts, the last sentence end inside it and the cuts so far. A sentence that ends beyond the run's room
+    closes it, at that last end or at full width, and what is still too long of the sentence is cut at full widths at once.
+    """
+    kind = dict(df.dtypes)[id_col]
+    parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?<=[.!?])\s+|\n\n+"), lambda s: s != "")
     sizes = F.transform(parts, lambda s: F.size(fields(s)))
-    x = df.select(F.col(id_col), F.explode(cut(F.size(fields(F.coalesce(F.col(text_col), F.lit("")))), sizes)).alias("s"))
-    return x.select(F.col(id_col).cast(kind), "s.start", "s.stop")
+    close = f"IF(a.mark > a.start AND a.mark >= a.start + {width // 2}, a.mark, a.start + {width})"
+    more = f"(a.at + n - {close} - 1) DIV {width}"
+    cuts = f"concat(a.cuts, transform(sequence(0L, {more}), i -> {close} + i * {width}))"
+    fold = f"""aggregate(sizes, named_struct('at', 0L, 'start', 0L, 'mark', 0L, 'cuts', array(0L)), (a, n) ->
+        IF(a.at + n <= a.start + {width}, named_struct('at', a.at + n, 'start', a.start, 'mark', a.at + n, 'cuts', a.cuts),
+           named_struct('at', a.at + n, 'start', {close} + {more} * {width}, 'mark', a.at + n, 'cuts', {cuts})), a -> concat(a.cuts, array(a.at)))"""
+    x = df.select(F.col(id_col), sizes.alias("sizes")).withColumn("cuts", F.expr(fold))
+    x = x.select(F.col(id_col), F.expr("explode(transform(sequence(0, size(cuts) - 2), i -> named_struct('start', cuts[i], 'stop', cuts[i + 1])))").alias("s"))
+    return x.select(F.col(id_col).cast(kind), "s.start", "s.stop").where("start < stop")
 
 
 def ratio(a: str, b: str) -> float:

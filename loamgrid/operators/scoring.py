@@ -45,20 +45,21 @@ def most_common(df: DataFrame, keys: list[str], value: str, n: int = 5) -> DataF
 def judged_checks(checks: DataFrame, verdicts: DataFrame, judges: int = 2) -> DataFrame:
     """``checks`` (``case_id, check_id, critical, executed``) with ``verdict``, ``disagreement`` and ``any_failed`` from ``verdicts`` (``case_id, check_id, judge, verdict``).
 
-    Judges must agree, else the verdict is uncertain, as it is where one of ``judges`` is missing; what was not executed has no verdict of theirs.
+    Judges must agree, else the verdict is uncertain, as it is where one of ``judges`` is missing (``judge_error``); what was not executed has no verdict of theirs.
     """
     got = verdicts.groupBy("case_id", "check_id").agg(F.count_distinct("judge").alias("__n"), F.count_distinct("verdict").alias("__kinds"), F.min("verdict").alias("__v"), F.count_if(F.col("verdict") == "fail").alias("__f"))
     x = checks.join(got, ["case_id", "check_id"], "left")
     whole = F.coalesce(F.col("__n") >= judges, F.lit(False))
     v = F.when(~F.col("executed"), "not_executed").when(whole & (F.col("__kinds") == 1), F.col("__v")).otherwise("uncertain")
-    return x.withColumn("verdict", v).withColumn("disagreement", whole & (F.col("__kinds") > 1)).withColumn("any_failed", F.coalesce(F.col("__f") > 0, F.lit(False))).drop("__n", "__kinds", "__v", "__f")
+    return x.withColumn("verdict", v).withColumn("disagreement", whole & (F.col("__kinds") > 1)).withColumn("any_failed", F.coalesce(F.col("__f") > 0, F.lit(False))).withColumn("judge_error", F.col("executed") & ~whole).drop("__n", "__kinds", "__v", "__f")
 
 
 def case_rollup(checks: DataFrame) -> DataFrame:
-    """Per case of ``judged_checks``: whether all applicable checks passed (there must be one), critical failures, disagreements."""
+    """Per case of ``judged_checks``: its status (a judge's failure is no failure of the case), whether all applicable checks passed (there must be one), critical failures, disagreements."""
     applies = F.col("verdict") != "not_applicable"
     n = F.count_if(applies)
     return checks.groupBy("case_id").agg(
+        F.when(F.bool_or("judge_error"), "judge_error").otherwise("graded").alias("status"),
         n.alias("applicable"),
         ((n > 0) & (n == F.count_if(F.col("verdict") == "pass"))).alias("all_passed"),
         F.bool_or(F.col("critical") & F.col("any_failed")).alias("critical_failed_any"),

@@ -110,18 +110,18 @@ def recent_turns(df: DataFrame, conv: str = "conv_id", order: str = "turn", role
     return x.join(kept.select(conv, "__t", share.alias("__share")), [conv, "__t"]).withColumn(text, F.expr(f"substring(`{text}`, 1, __share)")).drop("__t", "__share")
 
 
-def compressed_history(df: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", pairs: int = 10, recent: int = 4, asked: int = 50, said: int = 100) -> DataFrame:
-    """Older messages as snippets of question and next answer, the last ``pairs`` of them, and the last ``recent`` messages whole: ``conv, kind, at, first, second``."""
+def compressed_history(df: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", recent: int = 10, asked: int = 50, said: int = 100) -> DataFrame:
+    """``conv, kind, at, first, second``: the last ``recent`` messages whole, and of those before them each question with the next answer, as snippets.
+
+    A question is the first user message since the last answer taken; users who speak before it is answered, and further answers, are passed over. Other roles have no part.
+    """
     w = Window.partitionBy(conv).orderBy(order)
     x = df.withColumn("__left", F.count(F.lit(1)).over(Window.partitionBy(conv)) - F.row_number().over(w))
-    old = x.where(F.col("__left") >= recent)
-    seg = old.withColumn("__t", F.sum(F.when(F.col(role) == "user", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__t > 0")
-    p = seg.groupBy(conv, "__t").agg(
-        F.min(F.when(F.col(role) == "user", F.col(order))).alias("at"), F.max(F.when(F.col(role) == "user", F.substr(text, F.lit(1), F.lit(asked)))).alias("first"),
-        F.min_by(F.when(F.col(role) == "assistant", F.substr(text, F.lit(1), F.lit(said))), F.when(F.col(role) == "assistant", F.col(order))).alias("second"),
-    ).where("second IS NOT NULL")
-    p = p.withColumn("__r", F.row_number().over(Window.partitionBy(conv).orderBy(F.desc("__t")))).where(F.col("__r") <= pairs)
-    return p.select(conv, F.lit("pair").alias("kind"), "at", "first", "second").unionAll(x.where(F.col("__left") < recent).select(conv, F.lit("message"), order, role, text))
+    # Of each run of one role only the first message counts; then questions and answers take turns.
+    old = x.where((F.col("__left") >= recent) & F.col(role).isin("user", "assistant")).withColumn("__before", F.lag(role).over(w)).where(F.col("__before").isNull() | (F.col("__before") != F.col(role)))
+    p = old.withColumn("__next", F.lead(F.struct(F.substr(text, F.lit(1), F.lit(said)).alias("said"))).over(w)).where((F.col(role) == "user") & F.col("__next").isNotNull())
+    p = p.select(conv, F.lit("pair").alias("kind"), F.col(order).alias("at"), F.substr(text, F.lit(1), F.lit(asked)).alias("first"), F.col("__next.said").alias("second"))
+    return p.unionAll(x.where(F.col("__left") < recent).select(conv, F.lit("message"), order, role, text))
 
 
 def numbered_lines(df: DataFrame, conv: str, order: str, text: str) -> DataFrame:

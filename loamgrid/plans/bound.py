@@ -293,8 +293,8 @@ def _(t):
 
 @query("judge_checks", f"""
 WITH j AS ({JUDGED}), v AS (SELECT item, rep, CASE a WHEN 0 THEN 'fail' ELSE 'pass' END AS v1, CASE b WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass' END AS v2 FROM j),
-c AS (SELECT item, rep, CASE WHEN rep = 6 THEN 'not_executed' WHEN v2 IS NULL OR v1 <> v2 THEN 'uncertain' ELSE v1 END AS verdict, coalesce(v1 <> v2, false) AS differs, coalesce(v1 = 'fail' OR v2 = 'fail', v1 = 'fail') AS failed FROM v)
-SELECT item AS case_id, count(*) AS applicable, count(*) = count_if(verdict = 'pass') AS all_passed, bool_or(rep = 1 AND failed) AS critical_failed_any, bool_or(rep = 1 AND verdict = 'fail') AS critical_failed_both, count_if(differs) AS disagreements FROM c GROUP BY item""")
+c AS (SELECT item, rep, CASE WHEN rep = 6 THEN 'not_executed' WHEN v2 IS NULL OR v1 <> v2 THEN 'uncertain' ELSE v1 END AS verdict, coalesce(v1 <> v2, false) AS differs, coalesce(v1 = 'fail' OR v2 = 'fail', v1 = 'fail') AS failed, rep <> 6 AND v2 IS NULL AS lost FROM v)
+SELECT item AS case_id, CASE WHEN bool_or(lost) THEN 'judge_error' ELSE 'graded' END AS status, count(*) AS applicable, count(*) = count_if(verdict = 'pass') AS all_passed, bool_or(rep = 1 AND failed) AS critical_failed_any, bool_or(rep = 1 AND verdict = 'fail') AS critical_failed_both, count_if(differs) AS disagreements FROM c GROUP BY item""")
 def _(t):
     j = _judged(t)
     checks = j.select(F.col("item").alias("case_id"), F.col("pid").alias("check_id"), (F.col("rep") == 1).alias("critical"), (F.col("rep") != 6).alias("executed"))
@@ -548,7 +548,13 @@ def _(t):
     return D.stratum_spans(t("documents").select("doc_id", F.size(T.plain_words(F.col("text"))).alias("n")), "doc_id", "n", 200, 80)
 
 
-@query("sentence_spans")
+@query("sentence_spans", rf"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents),
+z AS (SELECT doc_id, list_transform(parts, lambda p: len(list_filter(regexp_split_to_array(p, '{WS}+'), lambda x: x <> ''))) AS sizes FROM s),
+e AS (SELECT doc_id, list_transform(range(1, len(sizes) + 1), lambda i: CAST(list_sum(sizes[1:i]) AS BIGINT)) AS ends FROM z),
+r AS (SELECT doc_id, ends, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop FROM e
+  UNION ALL SELECT doc_id, ends, stop, CASE WHEN stop + 64 >= ends[-1] THEN ends[-1] ELSE coalesce(list_max(list_filter(ends, lambda x: x BETWEEN stop + 32 AND stop + 64)), stop + 64) END FROM r WHERE stop < ends[-1])
+SELECT doc_id, start, stop FROM r WHERE stop > start""")
 def _(t):
     return D.sentence_spans(t("documents"), "doc_id", "text", 64)
 
@@ -571,7 +577,7 @@ def _(t):
 
 
 @query("rrf_fusion", f"""
-WITH {BM}, dp AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS score
+WITH {BM}, dp AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))) AS score
 FROM embeddings a JOIN benchmark ON a.vec_id = item_id CROSS JOIN embeddings b), d AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM dp), s AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0),
 f AS (SELECT item_id, doc_id, round(sum(x), 9) AS score FROM (SELECT item_id, doc_id, 0.75e0 / (60 + rank) AS x FROM d WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, 0.25e0 / (60 + rank) AS x FROM s WHERE rank <= 50) u GROUP BY ALL)
 SELECT item_id, doc_id AS id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) r WHERE rank <= 5""")
@@ -640,8 +646,8 @@ def _(t):
     return t("benchmark").select("item_id", c["hits"].alias("hits"), F.round(c["fraction"], 6).alias("fraction"), F.concat_ws(",", F.get(g, F.lit(0)).cast("string"), F.get(g, F.lit(1)).cast("string")).alias("groups"))
 
 
-TOP = """sim AS (SELECT a.vec_id AS q, a.label AS ql, b.vec_id AS id, b.label AS dl, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a CROSS JOIN embeddings b),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sim) r WHERE rank <= 10)"""
+TOP = """sim AS (SELECT a.vec_id AS q, a.label AS ql, b.vec_id AS id, b.label AS dl, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a CROSS JOIN embeddings b),
+top AS (SELECT q, ql, id, dl, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sim) r WHERE rank <= 10)"""
 
 
 def _top(t, least=None) -> DataFrame:
@@ -721,18 +727,28 @@ def _(t):
 
 
 # --- sequences ----------------------------------------------------------------------------------------------------------------
-@query("pack_blocks", f"""
+PACKED = f"""
 WITH s AS (SELECT source, doc_id, len({WORDS.format('text')}) + 1 AS n FROM documents), p AS (SELECT source, doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n AS a, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS total FROM s),
 e AS (SELECT source, max(total) AS total, CASE WHEN max(total) % 2048 = 1 AND max(total) > 1 THEN list_concat(range(2048, max(total) - 2048, 2048), [max(total) - 2, max(total)]) ELSE list_concat(range(2048, max(total), 2048), [max(total)]) END AS ends FROM p GROUP BY source),
-b AS (SELECT source, unnest(range(0, len(ends))) AS block, unnest(list_concat([0], ends[:-2])) AS lo, unnest(ends) AS hi FROM e)
-SELECT p.source, doc_id, block, CAST(greatest(a, lo) - lo AS BIGINT) AS block_start, CAST(least(a + n, hi) - lo AS BIGINT) AS block_end, CAST(least(greatest(a, lo) - a, n - 1) AS BIGINT) AS token_start, CAST(least(least(a + n, hi) - a, n - 1) AS BIGINT) AS token_end, a + n <= hi AS ends_document FROM p JOIN b ON p.source = b.source AND a < hi AND a + n > lo""")
+b AS (SELECT source, unnest(range(0, len(ends))) AS block, unnest(list_concat([0], ends[:-2])) AS lo, unnest(ends) AS hi FROM e), pieces AS (SELECT p.source, doc_id, block, CAST(greatest(a, lo) - lo AS BIGINT) AS block_start, CAST(least(a + n, hi) - lo AS BIGINT) AS block_end, CAST(least(greatest(a, lo) - a, n - 1) AS BIGINT) AS token_start, CAST(least(least(a + n, hi) - a, n - 1) AS BIGINT) AS token_end, a + n <= hi AS ends_document FROM p JOIN b ON p.source = b.source AND a < hi AND a + n > lo)"""
+
+
+@query("pack_blocks", PACKED + " SELECT * FROM pieces")
 def _(t):
     return W.packed_blocks(t("documents").select("source", "doc_id", (F.size(T.plain_words(F.col("text"))) + 1).alias("n")), "source", "doc_id", "n")
 
 
-@query("pack_audit", f"SELECT source, 0 AS gaps, 0 AS crossing, CAST(sum(len({WORDS.format('text')}) + 1) AS BIGINT) AS tokens FROM documents GROUP BY source")
+#: Faults put into packed blocks: pieces that are lost, and pieces that begin a token early.
+LOST, EARLY = "doc_id % 11 = 3 AND block % 2 = 0", "doc_id % 13 = 5 AND block_start > 0"
+
+
+@query("pack_audit", PACKED + f""", k AS (SELECT source, doc_id, block, CASE WHEN {EARLY} THEN block_start - 1 ELSE block_start END AS block_start, block_end, token_start, token_end FROM pieces WHERE NOT ({LOST})),
+g AS (SELECT source, count(*) AS gaps FROM k WHERE token_start <> coalesce((SELECT max(token_end) FROM k b WHERE b.source = k.source AND b.doc_id = k.doc_id AND b.block < k.block), 0) GROUP BY source),
+c AS (SELECT source, count(*) AS crossing FROM k WHERE EXISTS (SELECT 1 FROM k b WHERE b.source = k.source AND b.block = k.block AND (b.block_start < k.block_start OR b.block_start = k.block_start AND b.block_end < k.block_end) AND b.block_end > k.block_start) GROUP BY source)
+SELECT source, coalesce(max(gaps), 0) AS gaps, coalesce(max(crossing), 0) AS crossing, CAST(sum(block_end - block_start) AS BIGINT) AS tokens FROM k LEFT JOIN g USING (source) LEFT JOIN c USING (source) GROUP BY source""")
 def _(t):
     p = W.packed_blocks(t("documents").select("source", "doc_id", (F.size(T.plain_words(F.col("text"))) + 1).alias("n")), "source", "doc_id", "n")
+    p = p.where(f"NOT ({LOST})").withColumn("block_start", F.expr(f"CASE WHEN {EARLY} THEN block_start - 1 ELSE block_start END"))
     gaps = W.reconstructed(p, "source", "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("g"))
     cross = W.overlaps(p.withColumn("k", F.concat_ws(":", "source", F.col("block").cast("string"))), "k", "block_start", "block_end").groupBy("source").agg(F.count(F.lit(1)).alias("c"))
     total = p.groupBy("source").agg(F.sum(F.col("block_end") - F.col("block_start")).alias("tokens"))
@@ -747,12 +763,18 @@ def _(t):
     return W.recent_turns(t("conversations"), most=900).select("conv_id", "turn", F.md5("text").alias("body"))
 
 
-@query("history_compress", """
-WITH n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rest FROM conversations), s AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM n WHERE rest >= 1),
-p AS (SELECT conv_id, k, min(CASE WHEN role = 'user' THEN turn END) AS "at", max(CASE WHEN role = 'user' THEN substr(text, 1, 50) END) AS "first", min_by(substr(text, 1, 100), turn) FILTER (WHERE role = 'assistant') AS "second" FROM s WHERE k > 0 GROUP BY conv_id, k)
-SELECT conv_id, 'pair' AS kind, "at", "first", "second" FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS r FROM p WHERE "second" IS NOT NULL) q WHERE r <= 10 UNION ALL SELECT conv_id, 'message' AS kind, turn AS "at", role AS "first", text AS "second" FROM n WHERE rest < 1""")
+#: Roles as they are, but for messages of some lengths, which are users': so users also speak twice in a row.
+SPOKEN = "CASE WHEN length(text) % 5 = 0 THEN 'user' ELSE role END"
+
+
+@query("history_compress", f"""
+WITH n AS (SELECT conv_id, turn, text, {SPOKEN} AS role, count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rest FROM conversations), o AS (SELECT * FROM n WHERE rest >= 1),
+u AS (SELECT conv_id, turn, text, (SELECT max(turn) FROM o a WHERE a.conv_id = o.conv_id AND a.turn < o.turn AND a.role = 'assistant') AS said, (SELECT min(turn) FROM o a WHERE a.conv_id = o.conv_id AND a.turn > o.turn AND a.role = 'assistant') AS answer FROM o WHERE role = 'user'),
+f AS (SELECT * FROM u WHERE answer IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u b WHERE b.conv_id = u.conv_id AND b.turn < u.turn AND b.turn > coalesce(u.said, -1)))
+SELECT f.conv_id, 'pair' AS kind, f.turn AS "at", substr(f.text, 1, 50) AS "first", substr(o.text, 1, 100) AS "second" FROM f JOIN o ON o.conv_id = f.conv_id AND o.turn = f.answer
+UNION ALL SELECT conv_id, 'message' AS kind, turn AS "at", role AS "first", text AS "second" FROM n WHERE rest < 1""")
 def _(t):
-    return W.compressed_history(t("conversations"), recent=1)
+    return W.compressed_history(t("conversations").withColumn("role", F.expr(SPOKEN)), recent=1)
 
 
 @query("numbered_lines", """
@@ -829,12 +851,15 @@ def _(t):
 
 
 @query("id_sets", """
-SELECT l_orderkey, array_to_string(list_sort(list_intersect(list(DISTINCT CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_returnflag = 'A'), list(DISTINCT CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_returnflag <> 'A'))), ',') AS both, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) = 0 AS same_keys FROM lineitem GROUP BY l_orderkey
+SELECT l_orderkey, array_to_string(list_sort(list_intersect(list(DISTINCT CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_returnflag = 'A'), list(DISTINCT CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_returnflag <> 'A'))), ',') AS both, (SELECT count(*) FROM (SELECT DISTINCT o_orderkey FROM orders) a FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) b ON o_orderkey = b.l_orderkey WHERE o_orderkey IS NULL OR b.l_orderkey IS NULL) = 0 AS same_keys,
+  (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS without_orders, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS without_customer FROM lineitem GROUP BY l_orderkey
 HAVING count_if(l_returnflag = 'A') > 0 AND count_if(l_returnflag <> 'A') > 0""")
 def _(t):
     x = t("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber").cast("string"))).alias("a"), F.collect_set(F.when(F.col("l_returnflag") != "A", F.col("l_linenumber").cast("string"))).alias("b")).where("size(a) > 0 AND size(b) > 0")
-    lost = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").agg((F.count(F.lit(1)) == 0).alias("same_keys"))
-    return x.select("l_orderkey", F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("both")).crossJoin(F.broadcast(lost))
+    orders = D.same_set(t("orders").withColumnRenamed("o_orderkey", "k"), t("lineitem").withColumnRenamed("l_orderkey", "k"), "k").select(F.col("same").alias("same_keys"))
+    customers = D.same_set(t("customer").withColumnRenamed("c_custkey", "k"), t("orders").withColumnRenamed("o_custkey", "k"), "k").select(F.col("only_a").alias("without_orders"), F.col("only_b").alias("without_customer"))
+    one = orders.crossJoin(customers)  # a row each
+    return x.select("l_orderkey", F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("both")).crossJoin(F.broadcast(one))
 
 
 @query("length_batches")

@@ -34,6 +34,7 @@ MACROS = {
     "range": ("IF({1} <= {0}, CAST(array() AS array<bigint>), sequence(CAST({0} AS BIGINT), CAST({1} AS BIGINT) - 1, CAST({2} AS BIGINT)))", "range(CAST({0} AS BIGINT), CAST({1} AS BIGINT), CAST({2} AS BIGINT))"),
     "pad": ("lpad(CAST({0} AS STRING), 12, '0')", "lpad(CAST({0} AS VARCHAR), 12, '0')"),
     "arr": ("array({*})", "list_value({*})"),
+    "row": ("struct({*})", "row({*})"),
     "at": ("{0}", "{0} + 1"),
     "even": ("bround({0}, 0)", "round_even({0}, 0)"),
     "pos": ("CAST(instr({0}, {1}) AS BIGINT)", "CAST(strpos({0}, {1}) AS BIGINT)"),

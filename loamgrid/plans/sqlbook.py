@@ -106,7 +106,7 @@ SELECT conv_id, n, round(1 - distinct_n / @dbl(n), 6) AS dup_rate, round(mean_le
 FROM (SELECT conv_id, count(*) AS n, count(DISTINCT concat(role, ':', text)) AS distinct_n, avg(length(text)) AS mean_len FROM conversations GROUP BY conv_id) x"""
 BOOK["role_transitions"] = "SELECT coalesce(before, 'start') AS before, role, count(*) AS n FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) x GROUP BY 1, 2"
 BOOK["profile_upsert"] = """
-SELECT user_id, event_type, max_by(event_id, @dbl(event_id) + 1000000000.0 * @secs(ts)) AS latest, count(*) AS n FROM events GROUP BY user_id, event_type"""
+SELECT user_id, event_type, max_by(event_id, @row(ts, event_id)) AS latest, count(*) AS n FROM events GROUP BY user_id, event_type"""
 BOOK["last_n_messages"] = "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x WHERE rn <= 3"
 
 # --- traces, ledgers, reports ----------------------------------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,17 +24,37 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def replace_jsonl(df: DataFrame, path: str) -> None:
-    """As ``write_jsonl``, but readers see the old rows or the new ones: written beside and then renamed, the old folder out of the way first."""
+    """As ``write_jsonl`` under ``path``, but readers (``read_replaced``) always find whole rows, the old or the new: each call writes a folder of its own and then puts the file ``current``, which names
+    it, in place by one rename. The folder before the last is deleted."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    new, old, at = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("._new", "._old", ""))
-    df.write.mode("overwrite").json(path + "._new")
-    fs = at.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(at) and not fs.rename(at, old):
-        raise OSError(f"could not move {path} away")
-    if not fs.rename(new, at):
-        raise OSError(f"could not move the new rows to {path}")
-    fs.delete(old, True)
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at("current").toUri(), conf)
+    name = f"rows-{uuid.uuid4().hex}"
+    df.write.json(f"{path}/{name}")
+    old = current_rows(df.sparkSession, path)
+    fs = at("current").getFileSystem(conf)
+    out = fs.create(at(f"_{name}"), True)
+    out.write(bytearray(f"{name} {old or ''}".encode()))
+    out.close()
+    replace = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(at(f"_{name}"), at("current"), replace)
+    for s in fs.listStatus(at("")):
+        n = s.getPath().getName()
+        if n.startswith("rows-") and n not in (name, old):
+            fs.delete(s.getPath(), True)
+
+
+def current_rows(spark: SparkSession, path: str) -> str | None:
+    """The folder that ``replace_jsonl`` put in place last."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.text(f"{path}/current").first()[0].split(" ")[0]
+
+
+def read_replaced(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return read_jsonl(spark, f"{path}/{current_rows(spark, path)}", schema)
 
 
 def with_image_paths(df: DataFrame, folder: str, column: str = "image_path") -> DataFrame:
@@ -120,36 +142,122 @@ def manifest_faults(members: DataFrame, listed: DataFrame) -> DataFrame:
     return x.select("member", fault.alias("fault")).where("fault IS NOT NULL")
 
 
-def xml_passages(members: DataFrame, least: int = 80) -> DataFrame:
-    """``member, section, place, title, text``: paragraphs, lists and tables of the sections of XML articles (``member, text``), white space collapsed.
+#: What articles in XML are made of: sections, their headings, the elements that are passages, and headings of sections without prose (fixed values).
+SECTION, HEADING, PASSAGES = "sec", "title", ("p", "list", "table-wrap")
+NO_PROSE = "references|review questions|disclosure|continuing education"
 
-    Sections of references, questions or notices are left out, as are passages under ``least`` code points. ``title`` is the article's and the section's.
-    """
-    ddl = "member string, section string, place int, title string, text string"
 
-    def run(batches):
+class Passages:
+    """Table function of one XML article: a row for each passage that is a direct part of a section. The article is read as a stream of tags; a section's place in it is a stack."""
+
+    def eval(self, text: str, section: str, heading: str, passages: list, no_prose: str, least: int):
         import re
         import xml.etree.ElementTree as ET
 
-        import pandas as pd
+        parser = ET.XMLPullParser(("start", "end"))
+        parser.feed(text)
+        parser.close()
+        path, sections, found, titles = [], [], [], {}
+        for event, node in parser.read_events():
+            inside = bool(sections) and len(path) == sections[-1]["depth"]
+            if event == "start":
+                if inside:
+                    sections[-1]["parts"] += 1
+                if node.tag == section and "body" in path:
+                    sections.append({"depth": len(path) + 1, "parts": -1, "id": node.get("id"), "name": "", "rows": []})
+                path.append(node.tag)
+                continue
+            path.pop()
+            inside = bool(sections) and len(path) == sections[-1]["depth"]
+            if node.tag == heading:
+                words = "".join(node.itertext())
+                if inside and not sections[-1]["name"]:
+                    sections[-1]["name"] = words
+                kind = "own" if path[-2:] == ["book-part-meta", "title-group"] else "any"
+                if node.text:
+                    titles.setdefault(kind, node.text)
+            if inside and node.tag in passages:
+                body = " ".join(" ".join(node.itertext()).split())
+                if len(body) >= least:
+                    sections[-1]["rows"].append((sections[-1]["parts"], body))
+            if node.tag == section and sections and sections[-1]["depth"] == len(path) + 1:
+                done = sections.pop()
+                if not re.search(no_prose, done["name"], re.IGNORECASE):
+                    found += [(done["id"] or done["name"], place, done["name"], body) for place, body in done["rows"]]
+        title = titles.get("own") or titles.get("any")
+        for at, place, name, body in found:
+            yield at, place, title, name, body
+
+
+def xml_passages(members: DataFrame, least: int = 80, section: str = SECTION, heading: str = HEADING, passages: tuple[str, ...] = PASSAGES, no_prose: str = NO_PROSE) -> DataFrame:
+    """``member, section, place, title, text``: the passages of the sections of XML articles (``member, text``), white space collapsed, ``place`` counted among the section's parts.
+
+    Sections whose heading matches ``no_prose`` are left out (those inside them are judged by their own), as are passages under ``least`` code points. ``title`` is the article's and the section's.
+    """
+    read = F.udtf(Passages, returnType="section string, place int, article string, heading string, text string")
+    args = [F.col("t").outer(), *[F.lit(x) for x in (section, heading)], F.array(*[F.lit(x) for x in passages]), F.lit(no_prose), F.lit(least)]
+    x = members.where("text IS NOT NULL").select("member", F.col("text").alias("t")).lateralJoin(read(*args))
+    return x.select("member", "section", "place", F.concat(F.coalesce("article", "member"), F.lit(" -- "), "heading").alias("title"), "text")
+
+
+def xml_rows(texts: Column, tag: str, schema: str) -> Column:
+    """The elements of one name in an XML text, each as a struct of ``schema`` (attributes begin with _): for catalogues that come whole, such as members of archives.
+    Catalogues in files of their own are read by ``spark.read.format("xml")`` with this name as ``rowTag``."""
+    return F.transform(F.regexp_extract_all(texts, F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), F.lit(0)), lambda x: F.from_xml(x, schema, {"mode": "FAILFAST"}))
+
+
+def topic_catalogue(members: DataFrame, language: str, tag: str = "health-topic") -> DataFrame:
+    """``member, id, title, url, summary, groups`` of a catalogue's topics in one language; ``groups`` are ``id, name`` of all groups that a topic is in."""
+    group = "array<struct<_VALUE:string,_id:string>>"
+    schema = f"`_id` string, `_title` string, `_url` string, `_language` string, `full-summary` string, `group` {group}"
+    x = members.where("text IS NOT NULL").select("member", F.explode(xml_rows(F.col("text"), tag, schema)).alias("t")).where(F.col("t._language") == language)
+    groups = F.transform(F.coalesce(F.col("t.group"), F.array().cast(group)), lambda g: F.struct(g["_id"].alias("id"), g["_VALUE"].alias("name")))
+    return x.select("member", F.col("t._id").alias("id"), F.col("t._title").alias("title"), F.col("t._url").alias("url"), F.col("t.full-summary").alias("summary"), groups.alias("groups"))
+
+
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of Arrow files and streams, one file a task, batch by batch. Only the columns of ``schema`` are taken."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    want = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
 
-        skip = re.compile(r"references|review questions|disclosure|continuing education", re.I)
         for batch in batches:
-            rows = []
-            for member, text in zip(batch["member"], batch["text"], strict=True):
-                root = ET.fromstring(text)
-                article = next((x for at in (".//book-part-meta/title-group/title", ".//title") if (x := root.findtext(at))), member)
-                for sec in root.iterfind(".//body//sec"):
-                    head = sec.find("title")
-                    name = "".join(head.itertext()) if head is not None else ""
-                    kids = [] if skip.search(name) else enumerate(sec)
-                    for i, kid in kids:
-                        body = " ".join(" ".join(kid.itertext()).split()) if kid.tag in ("p", "list", "table-wrap") else ""
-                        if len(body) >= least:
-                            rows.append((member, sec.get("id") or name, i, f"{article} -- {name}", body))
-            yield pd.DataFrame(rows, columns=["member", "section", "place", "title", "text"])
-
-    return members.where("text IS NOT NULL").select("member", "text").mapInPandas(run, ddl)
+            for content in batch.column(0):
+                data = content.as_buffer()
+                file = pa.ipc.open_file(data) if data.slice(0, 6).to_pybytes() == b"ARROW1" else pa.ipc.open_stream(data)
+                parts = (file.get_batch(i) for i in range(file.num_record_batches)) if hasattr(file, "get_batch") else iter(file)
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in want], schema=want)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def image_facts(content: Column) -> Column:
+    """``bytes, sha256, kind, width, height`` of an image from its first bytes; kind is null for anything but PNG, JPEG and GIF, sizes are those of PNG and GIF headers."""
+    head = F.hex(F.substring(content, 1, 24))
+    kind = F.when(F.startswith(head, F.lit("89504E470D0A1A0A")), "png").when(F.startswith(head, F.lit("FFD8FF")), "jpeg").when(F.startswith(head, F.lit("474946383")), "gif")
+
+    def number(digits: Column) -> Column:
+        return F.conv(digits, 16, 10).cast("int")
+
+    def gif(at: int) -> Column:  # little-endian
+        return number(F.concat(F.substring(head, at + 2, 2), F.substring(head, at, 2)))
+
+    return F.struct(
+        F.octet_length(content).cast("bigint").alias("bytes"), F.sha2(content, 256).alias("sha256"), kind.alias("kind"),
+        F.when(kind == "png", number(F.substring(head, 33, 8))).when(kind == "gif", gif(13)).alias("width"),
+        F.when(kind == "png", number(F.substring(head, 41, 8))).when(kind == "gif", gif(17)).alias("height"),
+    )
+
+
+def embedded_images(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``image`` (see ``image_facts``) and ``image_path`` in place of an embedded image (``struct<bytes, path>``)."""
+    facts = F.when(F.col(f"{column}.bytes").isNotNull(), image_facts(F.col(f"{column}.bytes")))
+    return rows.select(*[c for c in rows.columns if c not in (column, "image", "image_path")], facts.alias("image"), F.col(f"{column}.path").alias("image_path"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -149,7 +149,7 @@ def test_ledgers_sinks_and_pages(spark, tmp_path):
         files.read_ledger(spark, str(tmp_path / "l"), "a int").collect()
     for n in (3, 5):
         files.replace_jsonl(spark.range(n), str(tmp_path / "out"))
-        assert spark.read.json(str(tmp_path / "out")).count() == n
+        assert files.read_replaced(spark, str(tmp_path / "out"), "id int").count() == n
     page = spark.createDataFrame([("<p>a  b</p>\n<script>x</script>\n  <b>c</b> \n",), (None,)], "h string")
     assert [r[0] for r in page.select(files.page_text(F.col("h"), 3)).collect()] == ["a b...", None]
     paths = files.with_image_paths(spark.createDataFrame([("x.png",), ("/y",), ("http://z",), (None,)], "image_path string"), "/d/")
