@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loamgrid.functions.text import fields, spaced
+from loamgrid.operators.nearest import kept_set
 
 
 def hash_order(key: Column, seed: int | str) -> Column:
@@ -175,3 +176,13 @@ def near_questions(df: DataFrame, id_col: str, text_col: str, shared: int = 2, l
     text = q.select("id", "q")
     x = cand.join(text.select(F.col("id").alias("a"), F.col("q").alias("qa")), "a").join(text.select(F.col("id").alias("b"), F.col("q").alias("qb")), "b")
     return x.withColumn("score", similarity("qa", "qb")).where(F.col("score") >= least).select("a", "b", "score")
+
+
+def kept_questions(df: DataFrame, id_col: str, text_col: str, **limits) -> DataFrame:
+    """The rows of ``df`` that stay when questions are taken in the order of their ids and each goes that equals one before in its normal form, or is near one taken before
+    (``near_questions`` with ``limits``). Rows without words stay."""
+    named = df.withColumn("__q", spaced(F.coalesce(F.col(text_col), F.lit(""))))
+    firsts = named.where("__q <> ''").groupBy("__q").agg(F.min(id_col).alias(id_col))
+    gone = kept_set(near_questions(df, id_col, text_col, **limits)).select(F.col("id").alias(id_col))
+    stay = firsts.join(gone, id_col, "left_anti").select(id_col).unionAll(named.where("__q = ''").select(id_col))
+    return df.join(stay.distinct(), id_col, "left_semi")
