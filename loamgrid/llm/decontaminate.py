@@ -245,20 +245,21 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a copy of an item; every row is judged by its own text, whatever its id. Null texts stay, as does every column."""
-    small_batches(docs.sparkSession)
-
-    def judge(part: list[tuple]):
-        shared, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
-            block = worker_state(("items", name), lambda: Block(shared.value))
-            bad = {d for d, *_ in block.matches([block.symbols(t or "") for t in texts])}
-            return pd.Series([i not in bad for i in range(len(texts))])
+    """``docs`` without the rows that hold a copy of an item; every row is judged by its own text, whatever its id. Null texts stay, as does every column.
 
-        return clean(F.col("text").cast("string"))
-
-    for part in blocks_of(items, "item_id", "text"):
-        docs = docs.where(judge(part))
-    return docs
+    One filter looks at all blocks of items: each worker indexes every block once and keeps it. Rows that one block has caught are not shown to the next.
+    """
+    small_batches(docs.sparkSession)
+    shared, name = [docs.sparkSession.sparkContext.broadcast(part) for part in blocks_of(items, "item_id", "text")], uuid.uuid4().hex
+    if not shared:
+        return docs
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        left = np.arange(len(texts))
+        for block in worker_state(("items", name), lambda: [Block(part.value) for part in shared]):
+            bad = {d for d, *_ in block.matches([block.symbols(texts.iloc[i] or "") for i in left])}
+            left = np.delete(left, sorted(bad))
+        return pd.Series(np.isin(np.arange(len(texts)), left))
+
+    return docs.where(clean(F.col("text").cast("string")))

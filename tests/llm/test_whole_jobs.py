@@ -1,6 +1,7 @@
 """Planted cases, brute-force versions and edges that the first test file lacks."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -63,6 +64,32 @@ def test_contaminated_rows_go_by_their_own_text(spark):
     assert [(x.item_id, x.end - x.start) for x in r] == [(1, len(item))]
 
 
+def test_blocks_of_items_are_indexed_once_a_worker(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 600)
+    rnd = random.Random(2)
+    items = [" ".join(f"w{rnd.randrange(500)}" for _ in range(12)) for _ in range(40)]
+    log = str(tmp_path / "made")
+
+    class Counted(decontaminate.Block):
+        def __init__(self, part):
+            with open(log, "a") as f:  # one line for each construction; workers share this machine
+                f.write(f"{os.getpid()}\n")
+            super().__init__(part)
+
+    monkeypatch.setattr(decontaminate, "Block", Counted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        table = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+        n = len(list(decontaminate.blocks_of(table, "item_id", "text")))
+        texts = [f"so {items[i]} then" if i % 3 else f"clean text {i}" for i in range(40)] + [None]
+        got = decontaminate.keep_uncontaminated(docs(spark, texts), table).select("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert n >= 8 and sorted(r.doc_id for r in got) == [i for i in range(40) if i % 3 == 0] + [40]
+    assert set(Counter(open(log).read().split()).values()) == {n}  # in each worker, whatever its batches
+
+
 def brute_distance(item, window):
     """Least edit distance of the item to any run of the window."""
     row = [0] * (len(window) + 1)
