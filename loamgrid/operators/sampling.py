@@ -134,16 +134,20 @@ def sentence_spans(df: DataFrame, id_col: str, text_col: str, width: int = 2047)
     One fold over the sentences of a text: it holds where the open run starts, the last sentence end inside it and the cuts so far. A sentence that ends beyond the run's room
     closes it, at that last end or at full width, and what is still too long of the sentence is cut at full widths at once.
     """
-    kind = dict(df.dtypes)[id_col]
     parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?<=[.!?])\s+|\n\n+"), lambda s: s != "")
-    sizes = F.transform(parts, lambda s: F.size(fields(s)))
+    return spans_of(df.select(id_col, F.transform(parts, lambda s: F.size(fields(s))).alias("sizes")), id_col, "sizes", width)
+
+
+def spans_of(df: DataFrame, id_col: str, sizes_col: str, width: int) -> DataFrame:
+    """As ``sentence_spans`` in any unit, from the sizes of a text's sentences (``array<int>``)."""
+    kind = dict(df.dtypes)[id_col]
     close = f"IF(a.mark > a.start AND a.mark >= a.start + {width // 2}, a.mark, a.start + {width})"
     more = f"(a.at + n - {close} - 1) DIV {width}"
     cuts = f"concat(a.cuts, transform(sequence(0L, {more}), i -> {close} + i * {width}))"
     fold = f"""aggregate(sizes, named_struct('at', 0L, 'start', 0L, 'mark', 0L, 'cuts', array(0L)), (a, n) ->
         IF(a.at + n <= a.start + {width}, named_struct('at', a.at + n, 'start', a.start, 'mark', a.at + n, 'cuts', a.cuts),
            named_struct('at', a.at + n, 'start', {close} + {more} * {width}, 'mark', a.at + n, 'cuts', {cuts})), a -> concat(a.cuts, array(a.at)))"""
-    x = df.select(F.col(id_col), sizes.alias("sizes")).withColumn("cuts", F.expr(fold))
+    x = df.select(F.col(id_col), F.coalesce(F.col(sizes_col), F.array().cast("array<int>")).alias("sizes")).withColumn("cuts", F.expr(fold))
     x = x.select(F.col(id_col), F.expr("explode(transform(sequence(0, size(cuts) - 2), i -> named_struct('start', cuts[i], 'stop', cuts[i + 1])))").alias("s"))
     return x.select(F.col(id_col).cast(kind), "s.start", "s.stop").where("start < stop")
 

@@ -4,8 +4,10 @@ import copy
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from loamgrid.operators import validation
+from loamgrid.functions import tokens
+from loamgrid.operators import annotation, sampling, validation
 
 CASES = [
     {"case_id": "A", "dataset_version": "v1", "split": "dev", "origin": "public_dataset_adaptation", "source_ids": ["s1"], "suite": "agent", "title": "t", "events": [{"turn": 1, "user_id": "u", "session_id": "s", "text": "hello"}, {"turn": 2, "user_id": "u", "session_id": "s", "text": "more"}]},
@@ -59,3 +61,55 @@ def test_trace_up_to_a_turn(spark):
     got = {r.i: (r.phase, r.turn, json.loads(r.seen)) for r in validation.up_to_turn(rows, 1, hidden_roles=["judge"]).collect()}
     assert got == {1: ("seed", None, {"content": "seeded", "event": "memory_write"}), 3: ("target", 1, {"event": "retrieval", "query": "q"}), 9: ("target", 1, {"event": "memory_read", "late": "true", "turn": "1"})}
     assert {r.i for r in validation.up_to_turn(rows, 2, hidden_roles=["judge"]).collect()} == {1, 3, 8, 9}
+
+
+# --- annotations -----------------------------------------------------------------------------------------------------------------
+def test_known_records_are_not_asked_and_missing_ones_alone_again(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def model(text):
+        ids = [r["id"] for r in json.loads(text.split("\n\n", 1)[1])]
+        with open(log, "a") as f:
+            f.write(json.dumps(sorted(ids)) + "\n")
+        first = len(ids) > 2  # whole batches come back without b, with c twice and with a stranger
+        return [{"id": i, "status": "keep", "text": f"about {i}"} for i in ids if not (first and i == "b")] + ([{"id": "c"}, {"id": "zz"}] if first and "c" in ids else [])
+
+    calls = lambda: [json.loads(x) for x in open(log)]
+    rows = spark.createDataFrame([(k, json.dumps({"question": f"q {k}"})) for k in "abcd"], "id string, payload string")
+    store = annotation.Annotations(spark, str(tmp_path / "a"), "m1", "Review.\n\n", "{}", model, size=4)
+    got = {r.id: json.loads(r.annotation)["text"] for r in store.annotate(rows).collect()}
+    assert got == {k: f"about {k}" for k in "abcd"}
+    assert calls()[0] == ["a", "b", "c", "d"] and sorted(x for c in calls()[1:] for x in c) == ["b", "c"]
+    n = len(calls())
+    assert store.annotate(rows.unionAll(rows)).count() == 8 and len(calls()) == n  # nothing is sent again
+    more = rows.unionAll(spark.createDataFrame([("e", "{}")], rows.schema))
+    assert store.annotate(more).count() == 5 and calls()[n:] == [["e"]]
+    other = annotation.Annotations(spark, str(tmp_path / "a"), "m2", "Review.\n\n", "{}", lambda text: [], size=4)
+    with pytest.raises(ValueError, match="no answer"):  # another model knows nothing, and this one never answers
+        other.annotate(rows)
+    assert store.annotate(rows).count() == 4
+
+
+# --- tokens ----------------------------------------------------------------------------------------------------------------------
+def test_token_places_rebuild_the_text(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["First sentence. Second longer sentence here!\n\nA third, naïve one 語 \U0001f600.", "word " * 700 + "end. " + "more " * 30, "", None, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("k", tokens.tokens(F.col("t"), path))
+    rows = df.select("id", "t", "k", F.expr(tokens.token_texts("t", "k")).alias("p"), tokens.decoded(F.transform("k", lambda x: x["id"]), path).alias("d"), tokens.sentence_sizes("t", "k").alias("s")).collect()
+    own = tokens.tokenizer(path)
+    for r in rows:
+        assert (r.k is None) == (r.t is None)
+        if r.t:
+            e = own.encode(r.t, add_special_tokens=False)
+            assert [(x.id, x.start, x.stop) for x in r.k] == [(i, *o) for i, o in zip(e.ids, e.offsets, strict=True)]
+            assert "".join(r.p) == r.t == r.d and sum(r.s) == len(r.k)
+    assert len(rows[0].s) == 3 and rows[3].s is None
+    spans = sampling.spans_of(df.select("id", tokens.sentence_sizes("t", "k").alias("sizes")), "id", "sizes", 64).orderBy("id", "start").collect()
+    for r in rows:
+        mine = [(x.start, x.stop) for x in spans if x.id == r.id]
+        assert [i for a, b in mine for i in range(a, b)] == list(range(len(r.k or []))) and all(b - a <= 64 for a, b in mine)
+    got = [(x.id, x.start, x.stop) for x in tokens.token_windows(df, "id", "k").orderBy("id", "start").collect()]
+    n = {r.id: len(r.k or []) for r in rows}
+    assert got == [(i, a, min(a + 384, n[i])) for i in sorted(n) for a in range(0, n[i], 288) if a == 0 or a + 96 < n[i]]
