@@ -232,3 +232,8 @@ def subscribed(events: DataFrame, listener: str, kinds: list[str] | None = None,
     x = events.where(F.col("targets").isNull() | F.array_contains("targets", listener))
     x = x.where(F.col("kind").isin(*kinds)) if kinds else x
     return x.where(F.col("source") == source) if source else x
+
+
+def of_type(df: DataFrame, metadata: Column, field: str, value: str | None) -> DataFrame:
+    """Rows whose JSON metadata has this value in a field; all rows where no value is asked for. Metadata that is no JSON has none."""
+    return df if value is None else df.where(F.get_json_object(metadata, f"$.{field}") == value)

@@ -53,6 +53,20 @@ def bucketed_split(groups: DataFrame, key: str, parts: list[tuple[str, float]],
     return groups.withColumn("split", out.otherwise(rest))
 
 
+def round_robin(df: DataFrame, group: str, order: list[Column], id_col: str, size: str, budget: int) -> DataFrame:
+    """``df`` with ``rn``: rows taken in rounds, one of each group by its order a round (groups by name within it), while what was taken before stays under ``budget`` in ``size``.
+
+    Each group's own running size bounds what it can give before any row is ranked against other groups: a row whose group has already used up the budget can't be taken. So only a budget's worth
+    of rows of each group meets the running sum, which goes by rounds: their sums are ordered in one place, rows only within the round where the budget ends.
+    """
+    own = Window.partitionBy(group).orderBy(*order)
+    x = df.withColumn("rn", F.row_number().over(own)).withColumn("__own", F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)).where(F.col("__own") < budget)
+    rounds = x.groupBy("rn").agg(F.sum(size).alias("__s"))
+    before = rounds.withColumn("__start", F.coalesce(F.sum("__s").over(Window.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("__start") < budget).select("rn", "__start")
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("rn").orderBy(group, id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.join(before, "rn").withColumn("__upto", F.col("__start") + inside).where(F.col("__upto") < budget).select(*df.columns, "rn")
+
+
 def counted_split(df: DataFrame, keys: list[str], id_col: str, counts: list[tuple[str, int]], seed: int = 42, rest: str = "train") -> DataFrame:
     """Within each group, the first so many by hash are of the first split, the next of the second, and so on."""
     x = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(F.col(id_col), seed), id_col)))
@@ -190,3 +204,9 @@ def kept_questions(df: DataFrame, id_col: str, text_col: str, **limits) -> DataF
     gone = kept_set(near_questions(df, id_col, text_col, **limits)).select(F.col("id").alias(id_col))
     stay = firsts.join(gone, id_col, "left_anti").select(id_col).unionAll(named.where("__q = ''").select(id_col))
     return df.join(stay.distinct(), id_col, "left_semi")
+
+
+def split_sources(df: DataFrame, source: str, split: str) -> DataFrame:
+    """``source, splits, names``: sources whose rows are in more than one split (there should be none)."""
+    x = df.groupBy(source).agg(F.collect_set(split).alias("__s")).where("size(__s) > 1")
+    return x.select(source, F.size("__s").alias("splits"), F.array_join(F.array_sort("__s"), ",").alias("names"))

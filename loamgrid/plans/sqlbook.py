@@ -51,9 +51,6 @@ SELECT split, count(*) AS n, count(DISTINCT d.source) AS groups FROM documents d
 BOOK["split_leakage"] = """
 SELECT key, count(DISTINCT split) AS splits, count(*) AS n FROM (SELECT @sha(@join(@words(text))) AS key, CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split FROM documents) x
 GROUP BY key HAVING count(DISTINCT split) > 1"""
-BOOK["round_robin_budget"] = """
-SELECT doc_id, lang, rn FROM (SELECT doc_id, lang, rn, n_chars, sum(n_chars) OVER (ORDER BY rn, lang, doc_id ROWS UNBOUNDED PRECEDING) - n_chars AS upto
-FROM (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) r) x WHERE upto < 200000"""
 BOOK["bigram_block_pairs"] = """
 WITH w AS (SELECT item_id, @words(text) AS w FROM benchmark), g AS (SELECT DISTINCT item_id, @explode(@grams(w, 2)) AS g FROM w)
 SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id HAVING count(*) >= 2"""
