@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions.text import plain_words
 from loamgrid.operators.packing import next_fit
-from loamgrid.plans import bound, indexed, more, stateful  # noqa: F401  (the others register their queries in bound)
+from loamgrid.plans import bound, indexed, more, nested, stateful  # noqa: F401  (the others register their queries in bound)
 from loamgrid.plans.dialect import expand, run_sql
 from loamgrid.plans.sqlbook import BOOK
 from loamgrid.streaming.windows import windowed_counts
