@@ -222,3 +222,24 @@ def disagreement_by_stratum(df: DataFrame, stratum: str, selection: str, differs
     """Audited rows and disagreements by stratum, and by stratum and selection ('all' for the former)."""
     x = df.groupingSets([(F.col(stratum),), (F.col(stratum), F.col(selection))], stratum, selection)
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("disagreements"), F.grouping_id().alias("__g")).withColumn(selection, F.when(F.col("__g") > 0, "all").otherwise(F.col(selection))).drop("__g")
+
+
+def repetition_summary(runs: DataFrame, queries: DataFrame, anchors: list[str]) -> DataFrame:
+    """``repetition, scenarios, completed, positive, negative, negative_empty`` and ``<anchor>_hits`` of each repetition, none left out: ``runs`` (``repetition, scenario, status``), ``queries`` (``repetition, scenario, query,
+    required, expect_empty, n_returned`` and an ``array<boolean>`` for each of ``anchors``).
+
+    Only queries of completed scenarios count. A query is positive if it requires terms; it hits if all of its anchors are found. A negative one expects nothing.
+    """
+    done = runs.where("status = 'completed'").select("repetition", "scenario")
+    x = queries.join(done, ["repetition", "scenario"], "left_semi")
+    hits = [F.count_if(F.col("required") & F.forall(a, lambda v: F.coalesce(v, F.lit(False)))).alias(f"{a}_hits") for a in anchors]
+    q = x.groupBy("repetition").agg(F.count_if("required").alias("positive"), *hits, F.count_if("expect_empty").alias("negative"), F.count_if(F.col("expect_empty") & (F.col("n_returned") == 0)).alias("negative_empty"))
+    own = runs.groupBy("repetition").agg(F.count(F.lit(1)).alias("scenarios"), F.count_if(F.col("status") == "completed").alias("completed"))
+    counts = [c for c in q.columns if c != "repetition"]
+    return own.join(q, "repetition", "left").select("repetition", "scenarios", "completed", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
+def observations(runs: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """``scenario, query, runs``: every completed run of a query side by side, in the order of repetitions; ``runs`` holds ``repetition`` and ``columns``. A query has as many as there are repetitions."""
+    done = runs.where("status = 'completed'").select("repetition", "scenario")
+    return queries.join(done, ["repetition", "scenario"], "left_semi").groupBy("scenario", "query").agg(F.array_sort(F.collect_list(F.struct("repetition", *columns))).alias("runs"))

@@ -135,3 +135,21 @@ def up_to_turn(events: DataFrame, horizon: int, trace: str = "trace", order: str
     kept = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(F.col(column).cast("map<string,variant>").cast("map<string,string>"), lambda k, v: ~k.isin(*HIDDEN_FIELDS))), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))
     return x.select(trace, order, "event", "phase", "turn", F.to_json(kept).alias("seen"))
 
+
+
+#: Limits of a case that may be run (fixed values); its fields that the run may see are named in ``execution_view``.
+MOST_REPLIES, MOST_FOLLOWUPS, MOST_SEED_TURNS = 3, 12, 24
+
+
+def execution_view(cases: DataFrame, most_replies: int = MOST_REPLIES, most_followups: int = MOST_FOLLOWUPS, most_seed_turns: int = MOST_SEED_TURNS) -> DataFrame:
+    """``id, refused, seen``: what a run may see of a case (VARIANT ``r``), as JSON, or why it must not run (null ``seen``): its reply limit, follow-ups, seed turns or id are out of bounds.
+    Fields that are not named here never pass, whatever a record holds."""
+    replies = "try_variant_get(r, '$.interaction.max_patient_replies', 'int')"
+    users = f"size(filter(flatten(transform({items('$.private.seed_history')}, h -> {items('$.messages', 'h')})), m -> {get('$.role', 'string', 'm')} = 'user'))"
+    whole = "schema_of_variant(variant_get(r, '$.interaction.max_patient_replies')) = 'BIGINT'"
+    refused = f"""CASE WHEN NOT coalesce({whole} AND {replies} BETWEEN 0 AND {most_replies}, false) THEN 'replies' WHEN size({items('$.interaction.scripted_followups')}) > {most_followups} THEN 'followups'
+WHEN {users} > {most_seed_turns} THEN 'seed turns' WHEN NOT coalesce({get('$.case_id')} RLIKE '^[A-Za-z0-9_-]+$', false) THEN 'id' END"""
+    part = lambda path: f"variant_get(r, '{path}')"
+    seen = f"""to_json(named_struct({', '.join(f"'{k}', {part('$.' + k)}" for k in ('case_id', 'family_id', 'domain', 'difficulty'))}, 'interaction', named_struct({', '.join(f"'{k}', {part('$.interaction.' + k)}" for k in ('opening', 'max_patient_replies', 'scripted_followups'))}),
+'patient_facts', {part('$.private.patient_facts')}, 'seed_history', {part('$.private.seed_history')}, 'environment', {part('$.private.environment')}))"""
+    return cases.withColumn("refused", F.expr(refused)).select("id", "refused", F.expr(f"IF(refused IS NULL, {seen}, NULL)").alias("seen"))

@@ -8,6 +8,7 @@ from loamgrid.functions import text as T
 from loamgrid.operators import retrieval as R
 from loamgrid.operators import rules as P
 from loamgrid.operators import sampling as D
+from loamgrid.operators import scoring as A
 from loamgrid.plans.bound import BM, TOP, query
 
 #: Texts with endings, labels and brackets put around them.
@@ -100,3 +101,17 @@ def _(t):
 WITH s AS (SELECT source, CASE WHEN doc_id % 40 = 0 THEN 'test' ELSE 'train' END AS split FROM documents) SELECT source, count(DISTINCT split) AS splits, array_to_string(list_sort(list(DISTINCT split)), ',') AS names FROM s GROUP BY source HAVING count(DISTINCT split) > 1""")
 def _(t):
     return D.split_sources(t("documents").withColumn("split", F.expr("CASE WHEN doc_id % 40 = 0 THEN 'test' ELSE 'train' END")), "source", "split")
+
+
+_RUNS = "l_linenumber % 3 AS repetition, l_orderkey AS scenario"
+
+
+@query("repetition_summary", f"""
+WITH l AS (SELECT {_RUNS}, l_linenumber AS query, l_linestatus = 'F' AS ok, l_returnflag <> 'N' AS required, l_returnflag = 'N' AS expect_empty, l_quantity > 10 AND l_discount > 0.02 AS stored, l_quantity > 5 AS found, CAST(floor(l_quantity / 10) AS BIGINT) AS n FROM lineitem),
+r AS (SELECT repetition, scenario, bool_and(ok) AS done FROM l GROUP BY ALL), q AS (SELECT l.* FROM l JOIN r USING (repetition, scenario) WHERE done)
+SELECT repetition, count(*) AS scenarios, count_if(done) AS completed, (SELECT count_if(required) FROM q WHERE q.repetition = r.repetition) AS positive, (SELECT count_if(required AND stored) FROM q WHERE q.repetition = r.repetition) AS storage_hits,
+(SELECT count_if(required AND found) FROM q WHERE q.repetition = r.repetition) AS baseline_hits, (SELECT count_if(expect_empty) FROM q WHERE q.repetition = r.repetition) AS negative, (SELECT count_if(expect_empty AND n = 0) FROM q WHERE q.repetition = r.repetition) AS negative_empty FROM r GROUP BY repetition""")
+def _(t):
+    runs = t("lineitem").selectExpr(*_RUNS.split(", "), "l_linestatus = 'F' AS ok").groupBy("repetition", "scenario").agg(F.when(F.bool_and("ok"), "completed").otherwise("failed").alias("status"))
+    q = t("lineitem").selectExpr(*_RUNS.split(", "), "l_linenumber AS query", "l_returnflag <> 'N' AS required", "l_returnflag = 'N' AS expect_empty", "array(l_quantity > 10, l_discount > 0.02) AS storage", "array(l_quantity > 5) AS baseline", "CAST(floor(l_quantity / 10) AS bigint) AS n_returned")
+    return A.repetition_summary(runs, q, ["storage", "baseline"])

@@ -113,3 +113,18 @@ def test_token_places_rebuild_the_text(spark):
     got = [(x.id, x.start, x.stop) for x in tokens.token_windows(df, "id", "k").orderBy("id", "start").collect()]
     n = {r.id: len(r.k or []) for r in rows}
     assert got == [(i, a, min(a + 384, n[i])) for i in sorted(n) for a in range(0, n[i], 288) if a == 0 or a + 96 < n[i]]
+
+
+def test_a_run_sees_named_fields_within_limits(spark):
+    good = {"case_id": "A-1", "family_id": "f", "domain": "d", "difficulty": 2, "rubric": "x", "interaction": {"opening": "hi", "max_patient_replies": 1, "scripted_followups": ["a"], "note": "n"}, "private": {"patient_facts": {"age": 5}, "seed_history": [{"messages": [{"role": "user"}, {"role": "assistant"}]}], "environment": "e", "gold": "g"}}
+    rows = {"good": good, "replies": copy.deepcopy(good), "text": copy.deepcopy(good), "followups": copy.deepcopy(good), "seed turns": copy.deepcopy(good), "id": copy.deepcopy(good)}
+    rows["replies"]["interaction"]["max_patient_replies"] = 4
+    rows["text"]["interaction"]["max_patient_replies"] = "1"
+    rows["followups"]["interaction"]["scripted_followups"] = ["a"] * 13
+    rows["seed turns"]["private"]["seed_history"] *= 25
+    rows["id"]["case_id"] = "../x"
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in rows.items()], "id string, line string").selectExpr("id", "parse_json(line) AS r")
+    got = {r.id: (r.refused, r.seen and json.loads(r.seen)) for r in validation.execution_view(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"good": None, "replies": "replies", "text": "replies", "followups": "followups", "seed turns": "seed turns", "id": "id"}
+    want = {k: good[k] for k in ("case_id", "family_id", "domain", "difficulty")} | {"interaction": {k: good["interaction"][k] for k in ("opening", "max_patient_replies", "scripted_followups")}} | {k: good["private"][k] for k in ("patient_facts", "seed_history", "environment")}
+    assert got["good"][1] == want and all(v[1] is None for k, v in got.items() if k != "good")
