@@ -1,9 +1,9 @@
 """License scans: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance from the nearest ancestor directory.
 
-Texts with a cue word are cut into lines and sentences, which are compared with TEMPLATES, and into paragraphs with their wrapped lines
-joined, which are, as whole texts, compared with NOTICES: TF-IDF rows of words and word pairs times the sparse template matrix. A file whose
-statements make up most of its text, or whose name says so, is a licence file: files below its directory that state nothing themselves
-inherit from the nearest such directory, by joins on ancestor paths.
+Every text is cut into lines and sentences, which are compared with TEMPLATES, and into paragraphs with their wrapped lines joined, which
+are, as whole texts, compared with NOTICES: TF-IDF rows of words and word pairs times the sparse template matrix. A file whose notices
+make up most of its text, or whose name says so, is a licence file: files below its directory that state nothing themselves inherit from
+the nearest such directory, by joins on ancestor paths. Pieces whose words can't reach the cosine are told from their words alone.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import cut, discard, map_texts
 
-#: Lines worth comparing.
-CUE = r"(?i)licen[cs]|copyright|copyleft|spdx|public domain|permission is hereby|all rights reserved|redistribution and use"
+#: Words that many licences, and other texts, share. What a piece has in common with a template must be more than these and numbers.
+NAMELESS = frozenset("a an and any are as at be but by can each for from has if in is it its may modify not of on or other redistribute subject terms that the this to under version was were with work you".split())
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
-#: The cosine from which a line states a licence, and the share of a file's words in such lines that makes it a licence file.
+#: The cosine from which a piece states a licence, and the share of a file's words in notices that makes it a licence file.
 COSINE, FILE_SHARE = 0.5, 0.5
 #: Template texts by licence (fixed values: the public names and header sentences).
 TEMPLATES = [
@@ -102,7 +103,7 @@ NOTICES = [
     ("MPL-2.0", _MPL),
     *[(i, form.format(what=what, name=name, v=v)) for i, what, name, v in _GNU_KINDS for form in (_GNU, _OLD_GNU, _ONLY_GNU, f"{_GNU} {_NO_WARRANTY}")],
 ]
-WORD = "[a-z0-9]+"
+_WORDS = re.compile("[a-z0-9]+").findall
 #: Where texts are cut: a paragraph into sentences, so that a statement inside a long line stands alone; and a file into paragraphs at
 #: lines without a letter or digit (also those of comments).
 SENTENCES, PARAGRAPHS = r"\n|(?<=[^0-9][.!?])[ \t\n\x0B\f\r]+(?=\p{Lu})", r"\n(?:[^\p{L}\p{N}\n]*\n)+"
@@ -122,65 +123,103 @@ def template_weights(templates: list[tuple[str, str]]) -> tuple[dict[str, list[t
     return columns, idf, math.log(1 + n) + 1
 
 
+def words_of(text: str) -> list[str]:
+    return _WORDS(text.lower())
+
+
+def naming(templates: list[tuple[str, str]]) -> set[str]:
+    """The template words one of which a piece must have: all but NAMELESS ones and numbers."""
+    return {w for _, text in templates for w in words_of(text) if w not in NAMELESS and not w.isdigit()}
+
+
 def terms(text: str) -> tuple[int, Counter]:
     """The number of words of ``text`` and the counts of its words and word pairs."""
-    w = re.findall(WORD, text.lower())
+    w = words_of(text)
     bag = Counter(w)
     bag.update(map(" ".join, zip(w, w[1:], strict=False)))
     return len(w), bag
 
 
 def matcher(templates: list[tuple[str, str]], cosine: float):
-    """A function from a piece of text to ``(license, score, words)`` of its best template (ties: the earlier one), or None below ``cosine``."""
+    """Two functions: whether any part of a text with these words can reach ``cosine``, and from a piece of text to ``(license, score, words)`` of its best template.
+
+    Ties go to the earlier template; below ``cosine``, it is None. Only templates count that share more than NAMELESS words and numbers with
+    the piece. A cosine is at most the root of the template's mass in shared terms. A pair needs its first word, so that this mass is
+    bounded by a sum over words; what it rules out can't be a statement.
+    """
     columns, idf, rare = template_weights(templates)
+    names, most = naming(templates), max(idf.values())
+    row = {x: i for i, x in enumerate(t for t in columns if " " not in t)}
+    mass = np.zeros((len(row), len(templates)))
+    for t, column in columns.items():
+        for i, tw in column:
+            mass[row[t.split(" ")[0]], i] += tw * tw
+
+    def may(words: set[str]) -> bool:
+        return not names.isdisjoint(words) and mass[[row[x] for x in words if x in row]].sum(axis=0).max() >= cosine * cosine * (1 - 1e-9)
 
     def match(piece: str) -> tuple[str, float, int] | None:
-        words, bag = terms(piece)
-        known = bag.keys() & columns.keys() if len(bag) > len(columns) else [t for t in bag if t in columns]
-        if not known:
+        w = words_of(piece)
+        if names.isdisjoint(w) or not may(set(w)):
             return None
+        bag = Counter(w)
+        shared = [x for x in bag if x in columns] if len(bag) < len(columns) else [x for x in columns if x in bag]
+        # Pairs that begin with a word have together at most the square of its count; a word that no template has makes a pair that none has.
+        own = sum(bag[x] ** 2 * (idf[x] ** 2 + most * most) for x in shared)
+        foreign = len(w) - sum(bag[x] for x in shared)
+        if own < cosine * cosine * (own + rare * rare * max(0, 2 * foreign - 1)) * (1 - 1e-9):
+            return None
+        bag.update(map(" ".join, zip(w, w[1:], strict=False)))
+        known = bag.keys() & columns.keys() if len(bag) > len(columns) else [t for t in bag if t in columns]
         weights = {t: bag[t] * idf[t] for t in sorted(known)}
         seen = sum(v * v for v in weights.values())
         norm = math.sqrt(seen + rare * rare * (sum(c * c for c in bag.values()) - sum(bag[t] ** 2 for t in weights)))
         # The terms that any template has bound the cosine with each of them: pieces below it are not multiplied.
         if math.sqrt(seen) < cosine * norm * (1 - 1e-9):
             return None
-        dots = [0.0] * len(templates)
+        dots, named = [0.0] * len(templates), set()
         for t, v in weights.items():
             for i, tw in columns[t]:
                 dots[i] += v * tw
-        i = max(range(len(dots)), key=lambda j: (round(dots[j] / norm, 9), -j))
-        return (templates[i][0], round(dots[i] / norm, 6), words) if dots[i] / norm >= cosine else None
+            if t in names:
+                named.update(i for i, _ in columns[t])
+        i = max(named, key=lambda j: (round(dots[j] / norm, 9), -j))
+        return (templates[i][0], round(dots[i] / norm, 6), len(w)) if dots[i] / norm >= cosine else None
 
-    return match
+    return may, match
 
 
-def statements(files: DataFrame, path_col: str, text_col: str, kinds: list[tuple[list[tuple[str, str]], str | None]] | None = None, cosine: float = COSINE) -> DataFrame:
+def statements(files: DataFrame, path_col: str, text_col: str, kinds: list[tuple[list[tuple[str, str]], str | None]] | None = None, cosine: float = COSINE, lengths: bool = False) -> DataFrame:
     """``path, kind, license, score, words`` of every piece that states a licence; null texts state nothing.
 
     Each of ``kinds`` (by default lines and sentences with TEMPLATES) is a list of templates and what cuts a text into pieces, None for
-    whole texts. Texts with a cue are read once for all kinds: each is a block of sparse rows that is multiplied with the template matrix
-    where it lies, so that nothing is shuffled and memory is bounded by one text.
+    whole texts. Texts are read once for all kinds: each is a block of sparse rows that is multiplied with the template matrix where it
+    lies, so that nothing is shuffled and memory is bounded by one text. ``lengths``: also a row of kind -1 per text with its words.
     """
     kinds = [(TEMPLATES, SENTENCES)] if kinds is None else kinds
 
     def make():
-        cue = re.compile(CUE, re.ASCII)
-        ready = [(matcher(t, cosine), regex.compile(c) if c else None) for t, c in kinds]
+        ready = [(*matcher(t, cosine), regex.compile(c) if c else None) for t, c in kinds]
+        letters = regex.compile(r"[\p{L}\p{N}]+").findall
 
         def run(keys: list, texts: list) -> list:
             out = []
             for (path,), text in zip(keys, texts, strict=True):
-                for kind, (match, cutter) in enumerate(ready):
+                w = words_of(text)
+                if lengths:
+                    out.append((path, -1, None, None, len(w) if text.isascii() else len(letters(text))))
+                distinct = set(w)
+                for kind, (may, match, cutter) in enumerate(ready):
+                    if not may(distinct):
+                        continue
                     for piece in cutter.split(text) if cutter else (text,):
-                        if cue.search(piece) and (got := match(piece)):
+                        if got := match(piece):
                             out.append((path, kind, *got))
             return out
 
         return run
 
-    marked = files.where(F.col(text_col).cast("string").rlike(CUE))
-    return map_texts(marked, [F.col(path_col).cast("string")], F.col(text_col), make, "path string, kind int, license string, score double, words int")
+    return map_texts(files, [F.col(path_col).cast("string")], F.col(text_col), make, "path string, kind int, license string, score double, words int")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", by_content: bool = True) -> DataFrame:
@@ -188,22 +227,19 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", by_co
 
     ``status``: ``own`` (a statement in the file; the best one counts), ``inherited`` (from the licence file of ``from_dir``, the nearest
     ancestor directory that has one; among its files the best statement), or ``none``. Rows of a repeated path are pooled; null texts state
-    nothing; ``by_content``: files that are mostly statements are licence files, too, not only those named so; ties go to the licence that is first by name; an empty table gives an empty table; other columns are not read.
+    nothing; ``by_content``: files that are mostly NOTICES are licence files, too, not only those named so (a line that states the file's own licence makes none); ties go to the licence that is first by name; an empty table gives an empty table; other columns are not read.
     """
     rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).where("path IS NOT NULL")
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b")
-    # Lines, paragraphs and files overlap: the words stated are the most that one of the three has.
-    found = statements(rows, "path", "text", [(TEMPLATES, SENTENCES), (NOTICES, PARAGRAPHS), (NOTICES, None)]).groupBy("path", "kind").agg(best, F.sum("words").alias("stated"))
-    # Few files state anything: what is found is written, so that no later step looks for it again.
-    own = cut(found.groupBy("path").agg(F.min("b").alias("b"), F.max("stated").alias("stated")))
+    kinds = [(TEMPLATES, SENTENCES), (NOTICES, PARAGRAPHS), (NOTICES, None)]
+    # One pass over the texts gives what is stated and how long each file is; it is written, so that no later step does it again.
+    found = cut(statements(rows, "path", "text", kinds, lengths=True).groupBy("path", "kind").agg(best, F.sum(F.col("words").cast("bigint")).alias("words")))
+    # Paragraphs and files overlap: the words in notices are the most that one of the two has.
+    least = F.min(F.when(F.col("kind") >= 0, F.col("b"))).alias("b")
+    own = found.groupBy("path").agg(least, F.coalesce(F.max(F.when(F.col("kind") >= 1, F.col("words"))), F.lit(0)).alias("stated"), F.max(F.when(F.col("kind") < 0, F.col("words"))).alias("words"))
     slash = "concat('/', regexp_replace(path, '^/+', ''))"
-    if by_content:
-        paths = rows.groupBy("path").agg(F.sum(F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)")))).alias("words"))
-    else:
-        paths = rows.select("path").distinct().withColumn("words", F.lit(0))
-    paths = paths.join(own, "path", "left").withColumn("dir", F.expr(f"regexp_replace({slash}, '/[^/]*$', '')")).withColumn("name", F.expr(f"regexp_extract({slash}, '([^/]*)$', 1)"))
-    paths = cut(paths.select("path", "b", "stated", "words", "dir", "name"))
-    discard(own)
+    paths = cut(own.withColumn("dir", F.expr(f"regexp_replace({slash}, '/[^/]*$', '')")).withColumn("name", F.expr(f"regexp_extract({slash}, '([^/]*)$', 1)")))
+    discard(found)
     named = F.col("name").rlike(FILE_NAME)
     whole = paths.where(F.col("b").isNotNull() & (named | (F.col("stated") >= FILE_SHARE * F.col("words")) if by_content else named))
     by_dir = whole.groupBy(F.col("dir").alias("up")).agg(F.min("b").alias("db"))

@@ -67,10 +67,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License statements of documents, as files ``source/lang/doc_id``: the table has no paths of its own, so only a name could make a licence file, and nulls in a path are ''."""
+    """License statements of documents, as files ``source/lang/doc_id``: the table has no paths of its own; nulls in a path are ''. A document that is mostly a licence's notices makes a licence file of its directory."""
     docs = table(spark, sf_dir, "documents")
     files = docs.where("doc_id IS NOT NULL").select(F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("path"), "text")
-    out = license.scan(files, by_content=False)
+    out = license.scan(files)
     return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "license", "score", "status", "from_dir")
 
 

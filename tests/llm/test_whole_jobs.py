@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 import public_tokenizers
 import pytest
 from test_operators import BASE, TEXTS, brute_components, docs
@@ -208,6 +209,46 @@ def test_license_cosine_against_brute_force(spark):
     assert license.scan(long).first().license == "MIT"
 
 
+def test_license_pieces_against_brute_force(spark):
+    """All pieces of all kinds, without any bound: what is ruled out early is nothing."""
+    stated = ["Available under CC BY 4.0.", "Released under the MIT terms.", "This work is dedicated to the public under CC0 1.0.", license._MIT_AS_IS, f"# {license._APACHE}\n# {license._APACHE_AS_IS}\n\nx = 1"]
+    plain = ["Version 2.0", "4.0", "You can redistribute it", "This work is subject to the terms of the contract.", "you can modify it under the terms of the deal", "mit mit mit", ""]
+    texts = [r.text or "" for r in common.table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()] + stated + plain
+    cases = {0: (license.TEMPLATES, license.SENTENCES), 1: (license.NOTICES, license.PARAGRAPHS), 2: (license.NOTICES, None)}
+    want = {}
+    for kind, (templates, cutter) in cases.items():
+        bags = [license.terms(t)[1] for _, t in templates]
+        df = Counter(t for b in bags for t in b)
+        unit = lambda b, df=df, n=len(bags): {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in b.items()}
+        rows = [unit(b) for b in bags]
+        size = [math.sqrt(sum(v * v for v in r.values())) for r in rows]
+        for i, text in enumerate(texts):
+            for piece in regex.split(cutter, text) if cutter else [text]:
+                words, bag = license.terms(piece)
+                q = unit(bag)
+                norm = math.sqrt(sum(v * v for v in q.values())) or 1.0
+                common_words = [{x for x in q.keys() & r.keys() if " " not in x and x not in license.NAMELESS and not x.isdigit()} for r in rows]
+                scores = [(round(sum(v * r.get(t, 0.0) for t, v in q.items()) / norm / z, 6), -j) for j, (r, z) in enumerate(zip(rows, size, strict=True)) if common_words[j]]
+                if scores and max(scores)[0] >= license.COSINE:
+                    s, j = max(scores)
+                    want.setdefault((i, kind), []).append((templates[-j][0], s, words))
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    got = {}
+    for r in license.statements(files, "path", "text", list(cases.values())).collect():
+        got.setdefault((int(r.path), r.kind), []).append((r.license, round(r.score, 6), r.words))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    at = len(texts) - len(plain) - len(stated)
+    assert {i for i, _ in got if i >= at} == set(range(at, at + len(stated)))
+
+
+def test_license_files_by_content(spark):
+    """A whole notice makes a licence file of its directory; a line that states a file's own licence does not."""
+    rows = [("a/1", license.NOTICES[2][1]), ("a/2", "plain words"), ("a/b/3", None), ("c/1", "Released under the MIT License."), ("c/2", "plain words"), ("d/1", "кто " * 200 + "\n\n" + license._MIT), ("d/2", "x")]
+    got = {r.path: (r.license, r.status) for r in license.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    none = (None, "none")
+    assert got == {"a/1": ("MIT", "own"), "a/2": ("MIT", "inherited"), "a/b/3": ("MIT", "inherited"), "c/1": ("MIT", "own"), "c/2": none, "d/1": ("MIT", "own"), "d/2": none}
+
+
 def test_index_finds_every_key(spark, monkeypatch):
     monkeypatch.setattr(idfiles, "PART_KEYS", 7)
     path, ids = idfiles.fresh_path(spark), [*range(-20, 60, 3), 5, 5, None]
