@@ -1,7 +1,9 @@
 """Token-id shards with keyed access: a minimal perfect hash maps document keys to shard offsets, fingerprints catch foreign keys.
 
-Keyed access takes constant time, whatever the number of documents: a hash of the key names its part of the index (a table at ``path`` + INDEX), the part's minimal perfect
-hash the key's slot, and the slot holds the key's fingerprint, its shard (bucket and number) and its entry there.
+Keyed access takes constant time, whatever the number of documents: a hash of the key names its part of the index (tables at ``path`` + INDEX), the part's minimal perfect
+hash the key's slot, and the slot holds the key's fingerprint, its shard (bucket and number) and its entry there. Parts and shards are row
+groups of one row, files are listed by part and by bucket: a read of a few keys opens the files that hold them and, of these, reads the
+row groups that their numbers name.
 
 File format, one blob per shard (little-endian): header ``SHARD`` (magic, version, id width in bytes, keys, distinct keys, buckets, ids);
 ``key int64[n]`` and ``offset uint64[n + 1]`` in document order; ``seed uint32[buckets]``; per slot ``fingerprint uint32`` and
@@ -19,6 +21,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,12 @@ NO_KEY = -(1 << 63)
 SHARD_DDL = "bucket int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, keys array<bigint>, blob binary"
 #: Where the index of a table of shards is, and about how many keys one part of it holds.
 INDEX, PART_KEYS = "-index", 100_000
+#: Tables beside the index that name the file of each bucket of shards and of each part of the index.
+SHARD_FILES, PART_FILES = "-shard-files", "-part-files"
+#: Parts, and shards, up to which a lookup names those it wants to the scan; more are found by joins.
+FEW = 256
+#: One row is a row group of its own, so that the statistics of row groups lead to it.
+ROW_GROUPS = {"parquet.block.row.count.limit": "1", "compression": "zstd"}
 SLOT = np.dtype([("fp", "<u4"), ("bucket", "<i4"), ("seq", "<i4"), ("entry", "<u4")])
 U64 = (1 << 64) - 1
 
@@ -263,7 +273,8 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
         if docs:
             yield shard()
 
-    dealt.mapInArrow(run, SHARD_DDL).write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
+    dealt.mapInArrow(run, SHARD_DDL).write.options(**ROW_GROUPS).parquet(path)
+    list_files(spark, path, "bucket", path + SHARD_FILES)
     write_index(spark, path)
 
 
@@ -304,17 +315,43 @@ def write_index(spark: SparkSession, path: str) -> None:
         if held:
             yield pack_part(np.concatenate(held, axis=1))
 
-    dealt.mapInArrow(run, ddl).write.parquet(path + INDEX)
+    dealt.mapInArrow(run, ddl).write.options(**ROW_GROUPS).parquet(path + INDEX)
+    list_files(spark, path + INDEX, "part", path + PART_FILES, "parts")
+
+
+def list_files(spark: SparkSession, path: str, number: str, to: str, *more: str) -> None:
+    """Write which file holds each ``number``, in order of the numbers: as many rows as buckets, or parts, and files that hold them."""
+    held = spark.read.parquet(path).select(number, *more, F.col("_metadata.file_path").alias("file")).distinct()
+    held.repartitionByRange(number).sortWithinPartitions(number).write.parquet(to)
+
+
+def narrowed(spark: SparkSession, path: str, listed: str, wanted: list[tuple], columns: tuple[str, ...]) -> DataFrame:
+    """The rows of the table at ``path`` whose ``columns`` are one of ``wanted`` (at most FEW): their files only, by literals that reach the scan."""
+    numbers = sorted({w[0] for w in wanted})
+    files = [r.file for r in spark.read.parquet(listed).where(F.col(columns[0]).isin(numbers)).select("file").distinct().collect()]
+    whole = spark.read.parquet(path)
+    if not files:
+        return whole.limit(0)
+    one = [reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(columns, w, strict=True)]) for w in wanted]
+    return spark.read.schema(whole.schema).parquet(*files).where(reduce(or_, one))
+
+
+def few(df: DataFrame, columns: tuple[str, ...]) -> list[tuple] | None:
+    """The distinct values of ``columns`` where they are at most FEW, else None: no more reach the driver."""
+    got = [tuple(r) for r in df.select(*columns).distinct().limit(FEW + 1).collect()]
+    return got if len(got) <= FEW else None
 
 
 def places(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """``k, bucket, seq, entry`` of the keys (distinct, column ``k``) that the index knows, each found in one step of its part."""
-    index = spark.read.parquet(path + INDEX)
-    first = index.select("parts").first()
+    first = spark.read.parquet(path + PART_FILES).select("parts").first()
     ddl = "k bigint, bucket int, seq int, entry int"
     if first is None:
         return spark.createDataFrame([], ddl)
-    wanted = keys.withColumn("part", part_of("k", first[0])).groupBy("part").agg(F.collect_list("k").alias("ks"))
+    dealt = keys.withColumn("part", part_of("k", first[0]))
+    named = few(dealt, ("part",))
+    index = spark.read.parquet(path + INDEX) if named is None else narrowed(spark, path + INDEX, path + PART_FILES, named, ("part",))
+    wanted = dealt.groupBy("part").agg(F.collect_list("k").alias("ks"))
     rows = wanted.join(index, "part").select("ks", "n", "seeds", "slots")
     out = _arrow_schema(spark, ddl)
 
@@ -366,10 +403,15 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Ids of some documents by key: the index names shard and entry. Null or unknown keys give no row; repeated ones one."""
+    """Ids of some documents by key: the index names shard and entry. Null or unknown keys give no row; repeated ones one.
+
+    Keys of few parts and shards (FEW) read these alone, whatever the size of the tables; others are joined with all.
+    """
     wanted = keys.select(F.col(key_col).cast("long").alias("k")).where("k is not null").distinct()
     hit = places(spark, path, wanted).groupBy("bucket", "seq").agg(F.collect_list(F.struct("k", "entry")).alias("ks"))  # at most the entries of a shard
-    rows = spark.read.parquet(path).select("bucket", "seq", "blob").join(hit, ["bucket", "seq"]).select("ks", "blob")
+    named = few(hit, ("bucket", "seq"))
+    shards = spark.read.parquet(path) if named is None else narrowed(spark, path, path + SHARD_FILES, named, ("bucket", "seq"))
+    rows = shards.select("bucket", "seq", "blob").join(hit, ["bucket", "seq"]).select("ks", "blob")
     ddl = f"`{key_col}` bigint, ids array<bigint>"
     out = _arrow_schema(spark, ddl)
 

@@ -267,6 +267,41 @@ def test_index_finds_every_key(spark, monkeypatch):
     assert idfiles.read_shards(spark, empty).count() == 0 and idfiles.lookup(spark, empty, wanted).count() == 0
 
 
+def scanned(df):
+    """Rows that the scans of a plan gave, by their first column."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], {}
+    while todo:
+        node = todo.pop()
+        for inner in ("executedPlan", "plan"):
+            if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec") and hasattr(node, inner):
+                try:
+                    todo.append(getattr(node, inner)())
+                except Exception:  # noqa: BLE001, S112 - the node has the other accessor
+                    continue
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            out[",".join(sorted(node.schema().fieldNames()))] = node.metrics().apply("numOutputRows").value(), node.metrics().apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_one_key_reads_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(idfiles, "PART_KEYS", 20)
+    path = idfiles.fresh_path(spark)
+    idfiles.write_shards(docs(spark, [f"words of {i}" for i in range(400)], list(range(400))), public_tokenizers.path("word_bpe_49k.json"), path, shard_bytes=200)
+    assert spark.read.parquet(path).count() > 16 and spark.read.parquet(path + idfiles.INDEX).count() > 8
+    few = spark.createDataFrame([(123,)], "doc_id bigint")
+    got = idfiles.lookup(spark, path, few)
+    assert [r.doc_id for r in got.collect()] == [123]
+    assert scanned(got) == {"blob,bucket,seq": (1, 1), "n,part,seeds,slots": (1, 1)}
+    many = spark.range(-5, 500).selectExpr("id AS doc_id")
+    named = {r.doc_id: r.ids for r in idfiles.lookup(spark, path, many).collect()}
+    monkeypatch.setattr(idfiles, "FEW", 0)
+    assert named == {r.doc_id: r.ids for r in idfiles.lookup(spark, path, many).collect()} and len(named) == 400
+    assert idfiles.lookup(spark, path, spark.createDataFrame([(1000,)], "doc_id bigint")).count() == 0
+
+
 def test_bounded_cache_gives_the_same_ids():
     path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
     a, b = bpe.Codec(path), bpe.Codec(path)
