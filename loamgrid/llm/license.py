@@ -24,6 +24,8 @@ NAMELESS = frozenset("a an and any are as at be but by can each for from has if
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 #: The cosine from which a piece states a licence, and the share of a file's words in notices that makes it a licence file.
 COSINE, FILE_SHARE = 0.5, 0.5
+#: Shares into which the files of a directory, and the directories below one, are dealt.
+SPREAD = 32
 #: Template texts by licence (fixed values: the public names and header sentences).
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -222,6 +224,12 @@ def statements(files: DataFrame, path_col: str, text_col: str, kinds: list[tuple
     return map_texts(files, [F.col(path_col).cast("string")], F.col(text_col), make, "path string, kind int, license string, score double, words int")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """A join with ``right``, unique by ``on``, whose rows are repeated for SPREAD shares of the left rows (dealt by ``by``): a hot key is many tasks' work."""
+    shares = right.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return left.withColumn("share", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(shares, [on, "share"], how).drop("share")
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", by_content: bool = True) -> DataFrame:
     """One row per distinct non-null path: ``path, license, score, status, from_dir``.
 
@@ -245,8 +253,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", by_co
     by_dir = whole.groupBy(F.col("dir").alias("up")).agg(F.min("b").alias("db"))
     # Ancestors are listed once per directory, not per file.
     dirs = paths.select("dir").distinct().select("dir", F.explode(F.expr("transform(sequence(0, size(split(dir, '/')) - 1), i -> array_join(slice(split(dir, '/'), 1, i + 1), '/'))")).alias("up"))
-    nearest = dirs.join(by_dir, "up").groupBy("dir").agg(F.max_by(F.struct("up", "db"), F.length("up")).alias("n"))
-    out = paths.join(nearest, "dir", "left")
+    nearest = spread_join(dirs, by_dir, "up", "dir").groupBy("dir").agg(F.max_by(F.struct("up", "db"), F.length("up")).alias("n"))
+    out = spread_join(paths, nearest, "dir", "path", "left")
     status = F.when(F.col("b").isNotNull(), "own").when(F.col("n").isNotNull(), "inherited").otherwise("none")
     return out.select(
         "path",
