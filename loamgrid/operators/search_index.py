@@ -11,11 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.stem import stem_places, stemmed
+from loamgrid.functions.stem import stem_rows, stemmed
 
 # Fixed values of the ranking: saturation, length, and what a phrase counts that most documents hold.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BUCKETS, SPREAD = 16, 2
+#: Documents of a task that sorts a share of a bucket: the shares grow in number, not in size.
+SHARE = 50_000
 #: Stems asked for up to which a search names them to the scan.
 NAMED = 5_000
 
@@ -29,10 +31,11 @@ def build(docs: DataFrame, path: str, id_col: str, fields: list[str], buckets: i
     marks = F.assert_true(F.col(id_col).isNotNull(), "a document has no id")
     x = docs.where(F.coalesce(marks.cast("boolean"), F.lit(True)))
     x = x.select(F.col(id_col).alias("doc"), F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)])).alias("f"))
-    x = x.select("doc", "f.field", stem_places("f.text").alias("p"))
-    rows = x.select("doc", "field", F.explode("p").alias("p")).select("p.term", "doc", F.col("field").cast("tinyint").alias("field"), "p.places").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    # A bucket is dealt to SPREAD tasks by document, for stems that most documents hold; texts are cut once, as nothing is sampled for ranges.
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "doc")
+    x = stem_rows(x.select("doc", F.col("f.field").cast("tinyint").alias("field"), "f.text"), "text")
+    rows = x.select("term", "doc", "field", "places").withColumn("bucket", bucket_of(F.col("term"), buckets))
+    # A bucket is dealt to SPREAD tasks or more by document, for stems that most documents hold; texts are cut once, as nothing is sampled for ranges.
+    spread = max(SPREAD, -(-docs.count() // SHARE))
+    dealt = rows.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("doc"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
     written = read_postings(spark, path, dict(docs.dtypes)[id_col])
