@@ -60,5 +60,5 @@ def _vocabulary() -> str:
 @query("token_spans")
 def _(t):
     """Spans of at most 256 tokens that end with sentences where they can: see ``sampling.spans_of``; the tokens of a span are its literal text."""
-    x = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("k", tokens.tokens(F.col("t"), _vocabulary()))
-    return D.spans_of(x.select("doc_id", tokens.sentence_sizes("t", "k").alias("sizes")), "doc_id", "sizes", 256)
+    x = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return D.spans_of(tokens.sentence_token_sizes(x, "doc_id", "t", _vocabulary()), "doc_id", "sizes", 256)
