@@ -92,6 +92,6 @@ al AS (SELECT pool.item_id, wn.doc_id, wn.a, wn.b, wn.text, round(coalesce(s, 0)
 SELECT item_id, doc_id AS id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS stop, md5(text) AS passage, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, a) AS r FROM al) x WHERE r = 1""")
 def _(t):
     """The best window of 60 words in each item's two best documents, by the item (0.8) and its last three words (0.2)."""
-    found = R.ranked(R.bm25(t("documents"), t("benchmark")), "item_id", 2).select("item_id", "id")
+    found = R.ranked(R.bm25(t("documents"), t("benchmark"), k=2), "item_id", 2).select("item_id", "id")
     items = t("benchmark").withColumn("tail", F.regexp_extract("text", r"\S+\s+\S+\s+\S+$", 0))
     return R.best_windows(found, t("documents"), items, {"text": 0.8, "tail": 0.2}, width=60, step=40, stop=list(STOP)).withColumn("passage", F.md5("passage"))

@@ -35,3 +35,31 @@ def test_token_sizes_need_no_column_of_tokens(spark):
     df = spark.createDataFrame([(1, "One two. Three!\n\nFour"), (2, None), (3, "")], "doc_id int, t string")
     want = {r.doc_id: r.s for r in df.select("doc_id", tokens.sentence_sizes("t", tokens.tokens(F.col("t"), _vocabulary())).alias("s")).collect()}
     assert {r.doc_id: r.sizes for r in tokens.sentence_token_sizes(df, "doc_id", "t", _vocabulary()).collect()} == want
+
+
+def test_bm25_scores_documents_where_they_lie(spark, monkeypatch):
+    import math
+    import random
+
+    from loamgrid.operators import retrieval
+
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice("abcdefgh") * 2 for _ in range(rnd.randrange(30)))) for i in range(300)] + [(900, None), (901, "aa bb"), (902, "AA, bb")]
+    asked = [(1, "aa bb aa"), (2, "hh"), (3, None), (4, "zz"), (5, "cc dd ee ff gg")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(asked, "item_id long, text string")
+    words = {i: (t or "").lower().replace(",", "").split() for i, t in docs}
+    mean, want = sum(map(len, words.values())) / len(words), {}
+    for i, t in asked:
+        for term in sorted(set((t or "").split())):
+            df = sum(term in w for w in words.values())
+            for j, w in words.items():
+                if tf := w.count(term):
+                    want[i, j] = want.get((i, j), 0) + math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    for block in (retrieval.QUERY_BLOCK, 2):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        every = retrieval.bm25(d, q)
+        assert "hashpartitioning" not in every._jdf.queryExecution().executedPlan().toString()
+        got = {(r.item_id, r.id): r.score for r in every.collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+        best = [tuple(r) for r in retrieval.ranked(retrieval.bm25(d, q, k=7), "item_id", 7).collect()]
+        assert sorted(best) == sorted(tuple(r) for r in retrieval.ranked(every, "item_id", 7).collect())
