@@ -63,3 +63,43 @@ def test_bm25_scores_documents_where_they_lie(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
         best = [tuple(r) for r in retrieval.ranked(retrieval.bm25(d, q, k=7), "item_id", 7).collect()]
         assert sorted(best) == sorted(tuple(r) for r in retrieval.ranked(every, "item_id", 7).collect())
+
+
+def test_dense_search_makes_no_table_of_pairs(spark, monkeypatch):
+    import math
+    import random
+
+    from loamgrid.operators import retrieval, vectors
+
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([-1.0, 0.5, 0.25, 2.0]) for _ in range(3)]) for i in range(400)]  # very many equal ones
+    rows += [(500, None), (501, [1.0, None, 1.0]), (502, [1.0, 2.0]), (503, [0.0, 0.0, 0.0]), (504, [math.inf, 1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = d.where("vec_id % 50 = 0 AND vec_id < 400").withColumnRenamed("vec_id", "q")
+    of = {i: v for i, v in rows if v and len(v) == 3 and None not in v}
+
+    def want(k, plain, others):
+        out = {}
+        for i in range(0, 400, 50):
+            scores = []
+            for j, v in of.items():
+                a, b = of[i], v
+                if not plain:
+                    a, b = ([x / n for x in y] if (n := math.sqrt(sum(x * x for x in y))) else y for y in (a, b))
+                s = sum(x * y for x, y in zip(a, b, strict=True))
+                if not (others and i == j):
+                    scores.append((not math.isnan(s), 0 if math.isnan(s) else -(round(s, 6) if plain else s), j))
+            out[i] = [j for *_, j in sorted(scores)[:k]]
+        return out
+
+    for block, cells in ((retrieval.QUERY_BLOCK, vectors.CELLS), (3, 64)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vectors, "CELLS", cells)
+        for plain, others in ((False, False), (True, True)):
+            got = retrieval.dense(d, q, k=6, blocks=3, plain=plain, others=others)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+            found = {}
+            for r in got.orderBy("q", "rank").collect():
+                found.setdefault(r.q, []).append(r.id)
+            assert found == want(6, plain, others)
