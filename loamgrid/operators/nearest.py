@@ -22,11 +22,14 @@ def closest_negative(df: DataFrame, id_col: str, size: str, subject: str, answer
     x = df.select(F.col(id_col).alias("id"), F.col(size).cast("bigint").alias("size"), F.col(subject).alias("subject"), F.lower(answer).alias("answer"), F.lower(text).alias("text"))
     x = x.where("subject IS NOT NULL AND size IS NOT NULL")
     usable = x.where("text IS NOT NULL").selectExpr("size AS at", "id AS cand", "subject AS cs", "text")
+    bare = usable.drop("text")
     # Of each size two lists: rows of the subject of its first row, and all others. TOP rows of each are kept, and one more that tells where the rest begins.
-    first = usable.groupBy("at").agg(F.min(F.struct("cand", "cs")).alias("f")).select("at", F.col("f.cs").alias("fs"))
-    listed = usable.join(first, "at").withColumn("other", F.col("cs") != F.col("fs"))
+    first = bare.groupBy("at").agg(F.min(F.struct("cand", "cs")).alias("f")).select("at", F.col("f.cs").alias("fs"))
+    listed = bare.join(first, "at").withColumn("other", F.col("cs") != F.col("fs"))
     listed = listed.withColumn("r", F.row_number().over(Window.partitionBy("at", "other").orderBy("cand"))).where(F.col("r") <= TOP + 1)
-    index = written(listed.select("at", "cand", "cs", "text", "other", (F.col("r") > TOP).alias("rest")), "sizes")
+    listed = written(listed.select("at", "cand", "cs", "other", (F.col("r") > TOP).alias("rest")), "sizes")
+    # Texts meet what was chosen where they lie: the list has a few rows for each size that occurs, however many documents there are.
+    index = written(usable.select("cand", "text").join(F.broadcast(listed), "cand").select("at", "cand", "cs", "text", "other", "rest"), "sizes")
     bounds = x.agg(F.min("size").alias("lo"), F.max("size").alias("hi")).first()
     fits = "cs <> subject AND NOT coalesce(contains(text, answer), false)"
     todo, done, ring = x.where("answer IS NULL OR answer <> ''").select("id", "size", "subject", "answer"), [], 0
@@ -41,9 +44,12 @@ def closest_negative(df: DataFrame, id_col: str, size: str, subject: str, answer
         clear, keys = "b IS NOT NULL AND (h IS NULL OR b < h)", ["id", "size", "subject", "answer"]
         doubtful = step.where(f"h IS NOT NULL AND NOT ({clear})").select(*keys)
         whole = doubtful.withColumn("gap", gaps).withColumn("at", F.explode(F.array_distinct(F.array(F.col("size") - F.col("gap"), F.col("size") + F.col("gap")))))
-        exact = written(whole.join(usable, "at").where(fits).groupBy("id").agg(F.min(F.struct("gap", "cand")).alias("b")), "exact")
-        done += [d.selectExpr("id", "b.cand AS negative", "b.gap AS gap") for d in (step.where(clear), exact)]
-        todo = step.where(f"NOT ({clear})").select(*keys).join(exact.select("id"), "id", "left_anti")
+        done.append(step.where(clear).selectExpr("id", "b.cand AS negative", "b.gap AS gap"))
+        todo = step.where(f"NOT ({clear})").select(*keys)
+        if doubtful.limit(1).count():  # else no text is dealt out
+            exact = written(whole.join(usable, "at").where(fits).groupBy("id").agg(F.min(F.struct("gap", "cand")).alias("b")), "exact")
+            done.append(exact.selectExpr("id", "b.cand AS negative", "b.gap AS gap"))
+            todo = todo.join(exact.select("id"), "id", "left_anti")
         ring += 1
     found = df.sparkSession.createDataFrame([], f"id {kind}, negative {kind}, gap int")
     for d in done:
