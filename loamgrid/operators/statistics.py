@@ -1,10 +1,22 @@
-"""Paired statistics. Bootstrap draws are counts of a keyed hash, so they need no numbering of the items and no pass in one task."""
+"""Paired statistics. Bootstrap draws are counts of a keyed hash, so they need no numbering of the items and no pass in one task; the exact one numbers them in ranges."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.sources.workspace import written
+
+#: Draws that a task makes, and a block of values meets on average.
+CELLS = 1 << 21
+#: Replicates whose hashes of one item go to Python in one row.
+SLICE = 256
+
 
 def _uniform(*key: Column) -> Column:
     return (F.pmod(F.xxhash64(*key), F.lit(1 << 32)) + 0.5) / float(1 << 32)
@@ -38,15 +50,80 @@ def bootstrap(df: DataFrame, item: list[str], num: str, den: str | None = None,
     return real.crossJoin(per.agg(F.percentile("m", bounds[0]).alias("low"), F.percentile("m", bounds[1]).alias("high")))
 
 
-def exact_bootstrap(df: DataFrame, item: str, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """``low, high`` of the mean of a few items, each replicate drawing as many as there are by hash; for tables that fit a broadcast of pairs (item, replicate)."""
-    from pyspark.sql import Window
-
-    rows = df.select((F.row_number().over(Window.orderBy(item)) - 1).alias("i"), F.col(value).cast("double").alias("v"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    draws = rows.select("i").crossJoin(F.broadcast(n)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = F.conv(F.substr(F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col("r").cast("string"), F.col("i").cast("string")), 256), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
-    means = draws.withColumn("i", F.pmod(pick, F.col("n"))).select("r", "i").join(rows, "i").groupBy("r").agg(F.avg("v").alias("m"))
+def numbered(df: DataFrame, item: str) -> tuple[DataFrame, int]:
+    """``df`` with ``i``, the place of a row by ``item`` (unique; null last) from 0, and the number of rows. Items are numbered in ranges, one task each, and ranges start where those before end."""
+    kept = written(df.repartitionByRange(F.col(item).asc_nulls_last()).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = sorted(map(tuple, kept.groupBy("__range").count().collect()))  # a row a range
+    starts = [(k, end - size) for (k, size), end in zip(sizes, accumulate(size for _, size in sizes), strict=True)]
+    places = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(item).asc_nulls_last())) - 1
+    out = kept.withColumn("i", places).join(F.broadcast(df.sparkSession.createDataFrame(starts, "__range int, __start bigint")), "__range")
+    return out.withColumn("i", F.col("i") + F.col("__start")).drop("__range", "__start"), sum(size for _, size in sizes)
+
+
+def _sorted_draws(n: int, wide: int, replicates: int):
+    """Draws of a task as one row a block: its cells in order, their first bytes, then their second and so on, so that what is alike lies together. A row ``r, h`` brings four bytes of a hash for each replicate from r."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [np.zeros(0, "u8")]
+        for batch in batches:
+            r, h = batch.column(0), batch.column(1).cast(pa.binary())
+            if not len(h):
+                continue
+            ends = np.frombuffer(h.buffers()[1], "i4", len(h) + 1, 4 * h.offset).astype("i8")
+            drawn = np.diff(ends) // 4
+            hashes = np.frombuffer(h.buffers()[2], ">u4", drawn.sum(), ends[0]).astype("u8")
+            replicate = np.arange(len(hashes)) + np.repeat(r.to_numpy() - (ends[:-1] - ends[0]) // 4, drawn)
+            block, place = np.divmod(hashes % np.uint64(n), np.uint64(wide))
+            every.append(block * np.uint64(wide * replicates) + replicate.astype("u8") * np.uint64(wide) + place)
+        cells = np.concatenate(every)
+        cells.sort()
+        blocks = cells // np.uint64(wide * replicates)
+        at = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(cells)] if len(cells) else []
+        for a, b in pairwise(at):
+            part = (cells[a:b] - blocks[a] * np.uint64(wide * replicates)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a])], pa.int64()), pa.array([part.view("u1").reshape(-1, 4).T.tobytes()], pa.binary())], ["block", "cells"])
+
+    return run
+
+
+def _drawn_sums(wide: int, replicates: int):
+    """Sum and number of the values of one block that each replicate drew; null values are left out."""
+
+    def run(draws: pa.Table, values: pa.Table) -> pa.Table:
+        v, known = np.zeros(wide), np.zeros(wide, bool)
+        place, given = values["i"].to_numpy() % wide, values["v"].combine_chunks()
+        v[place], known[place] = given.fill_null(0.0).to_numpy(zero_copy_only=False), given.is_valid().to_numpy(zero_copy_only=False)
+        total, drawn = np.zeros(replicates), np.zeros(replicates, "i8")
+        for x in draws["cells"]:
+            cells = np.frombuffer(x.as_buffer(), "u1").reshape(4, -1).T.copy().view("<u4").ravel()
+            r, place = np.divmod(cells, np.uint32(wide))
+            if not known.all():
+                r, place = r[known[place]], place[known[place]]
+            total += np.bincount(r, v[place], replicates)
+            drawn += np.bincount(r, minlength=replicates)
+        return pa.table({"r": pa.array(range(replicates), pa.int32()), "total": total, "drawn": drawn})
+
+    return run
+
+
+def exact_bootstrap(df: DataFrame, item: str, value: str, replicates: int = 1000, seed: int | None = 42) -> DataFrame:
+    """``low, high`` of the mean, each replicate drawing as many items as there are: draw i of replicate r is the item in place ``sha256("seed:r:i") mod n`` (without a seed: ``"r:i"``).
+
+    ``item`` is unique. Draws need no rows but their number, so tasks make ``CELLS`` each. They are sorted by blocks of ``CELLS / replicates`` items, meet a block's values, and leave as one
+    sum a block and replicate: tasks grow in number, not in size.
+    """
+    rows, n = numbered(df.select(F.col(item).alias("item"), F.col(value).cast("double").alias("v")), "item")
+    wide = max(1, CELLS // replicates)
+    blocks = max(1, -(-n // wide))
+    tasks = -(-blocks // 4)
+    ids = df.sparkSession.range(0, n, 1, blocks).select(F.concat(F.lit(":"), F.col("id").cast("string")).alias("tail"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(SLICE))).alias("r"))
+    head = [] if seed is None else [F.lit(f"{seed}:")]
+    hashes = F.transform(F.sequence("r", F.least(F.col("r") + SLICE, F.lit(replicates)) - 1), lambda r: F.substr(F.sha2(F.concat(*head, r.cast("string"), F.col("tail")), 256), F.lit(1), F.lit(8)))
+    draws = ids.select("r", F.unhex(F.array_join(hashes, "")).alias("h")).mapInArrow(_sorted_draws(n, wide, replicates), "block bigint, cells binary")
+    values = rows.select(F.expr(f"i div {wide}").alias("block"), "i", "v")
+    met = draws.repartition(tasks, "block").groupBy("block").cogroup(values.repartition(tasks, "block").groupBy("block"))
+    sums = met.applyInArrow(_drawn_sums(wide, replicates), "r int, total double, drawn bigint")
+    means = sums.groupBy("r").agg((F.sum("total") / F.nullif(F.sum("drawn"), F.lit(0))).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 

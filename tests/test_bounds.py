@@ -145,3 +145,33 @@ def test_relevance_takes_more_tasks_for_more_documents(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "TASK_DOCS", 10)
     d, q = spark.createDataFrame([(i, "one two three") for i in range(370)], "doc_id long, text string"), spark.createDataFrame([(i, "one two") for i in range(9)], "item_id long, text string")
     assert "37)" in retrieval.relevance(d, q, max_df=1.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_of_the_paired_bootstrap_are_made_in_many_tasks(spark, monkeypatch):
+    from loamgrid.operators import statistics
+    from loamgrid.plans import catalogue
+
+    monkeypatch.setattr(statistics, "CELLS", 2000, raising=False)
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("paired", "draws")
+    try:
+        assert catalogue.queries()["paired_bootstrap"](spark, "/root/testdata/sf0.001").count() == 1
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(key, None)
+    stages = {s for job in seen.getJobIdsForGroup("paired") for s in seen.getJobInfo(job).stageIds}
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey").distinct().count()
+    assert max(info.numTasks for s in stages if (info := seen.getStageInfo(s))) >= items * 200 * 0.9 / 2000
+
+
+def test_paired_bootstrap_numbers_a_null_item_last_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from loamgrid.plans import catalogue
+
+    rows = [(None if p == 40 else p, flag, q) for p in range(41) for flag, q in (("A", float(p % 7)), ("R", float(p * p % 50)), ("N", 9.0))]
+    spark.createDataFrame(rows, "l_partkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = c.execute(catalogue.oracle_sql()["paired_bootstrap"]).fetchall()
+    assert [tuple(r) for r in catalogue.queries()["paired_bootstrap"](spark, str(tmp_path)).collect()] == want

@@ -103,6 +103,35 @@ def test_bootstrap_is_near_the_normal_interval(spark):
     assert statistics.bootstrap(rows.limit(0), ["i"], "v").first().low is None
 
 
+def test_exact_bootstrap_draws_the_places_of_its_hashes(spark, monkeypatch):
+    import hashlib
+
+    rnd = random.Random(8)
+    items = [*rnd.sample(range(-(10**12), 10**12), 60), None]
+    values = [None if k % 9 == 4 else rnd.gauss(1, 2) for k in range(61)]
+    rows = spark.createDataFrame(list(zip(items, values, strict=True)), "k bigint, v double").repartition(5)
+    placed = [v for _, v in sorted(zip(items, values, strict=True), key=lambda x: (x[0] is None, x[0] or 0))]
+    for cells, slices, seed, least in ((1 << 21, 256, None, 0), (200, 7, None, 0), (40, 50, 42, 0), (30, 7, 3, 10**13)):
+        monkeypatch.setattr(statistics, "CELLS", cells)
+        monkeypatch.setattr(statistics, "SLICE", slices)
+        part = rows.where(f"k > {-(10**13)} OR k IS NULL") if not least else rows.where("k IS NULL").withColumn("v", F.lit(2.5))
+        known = placed if not least else [2.5]
+        means = []
+        for r in range(50):
+            key = "" if seed is None else f"{seed}:"
+            got = [known[int(hashlib.sha256(f"{key}{r}:{i}".encode()).hexdigest()[:8], 16) % len(known)] for i in range(len(known))]
+            got = [v for v in got if v is not None]
+            means.append(sum(got) / len(got))
+        means.sort()
+        want = []
+        for q in (0.025, 0.975):
+            at = q * (len(means) - 1)
+            want.append(means[int(at)] + (at - int(at)) * (means[min(int(at) + 1, 49)] - means[int(at)]))
+        out = statistics.exact_bootstrap(part, "k", "v", 50, seed).collect()
+        assert len(out) == 1 and math.isclose(out[0].low, want[0]) and math.isclose(out[0].high, want[1])
+    assert list(map(tuple, statistics.exact_bootstrap(rows.limit(0), "k", "v", 50).collect())) == [(None, None)]
+
+
 def test_dense_search_is_exact_and_parameters_are_checked(spark):
     rnd = random.Random(6)
     vectors = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(60)] + [[0.0] * 8]
