@@ -31,3 +31,10 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def compact(df: DataFrame, name: str = "table") -> DataFrame:
+    """``written``, packed closer: for tables as large as the input."""
+    path = fresh(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

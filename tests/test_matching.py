@@ -61,6 +61,36 @@ def test_closest_negative_equals_all_pairs(spark, seed):
     assert {r.id: (r.negative, r.gap) for r in got.collect()} == want
 
 
+def _negatives(rows):
+    want = {}
+    for i, n, s, a, _ in rows:
+        fits = [(abs(n - m), j) for j, m, u, _, t in rows if u != s and (a is None or a.lower() not in t.lower())]
+        gap, j = min(fits, default=(None, None))
+        want[i] = (j, gap)
+    return want
+
+
+def test_closest_negative_between_sizes_far_apart(spark):
+    rows = [(i, 10**11 * (i // 3) + i % 3, f"s{i % 4 // 2}", "yes" if i % 5 else None, ["yes", "no"][i // 3 % 2]) for i in range(24)]
+    got = nearest.closest_negative(spark.createDataFrame(rows, "id int, n long, s string, a string, t string"), "id", "n", "s", "a", "t")
+    assert {r.id: (r.negative, r.gap) for r in got.collect()} == _negatives(rows)
+
+
+@pytest.mark.parametrize("lists", [1, 50])
+def test_closest_negative_lists_the_texts_without_common_answers(spark, monkeypatch, lists):
+    for name, value in (("DENSE", 4), ("TOP", 1), ("OPEN", 2), ("LISTS", lists), ("SENT", 300)):
+        monkeypatch.setattr(nearest, name, value)
+    rnd = random.Random(4)
+    rows = []
+    for i in range(400):
+        text = " ".join(w for w in ("alpha", "beta", "gamma", "delta") if rnd.random() < 0.97)
+        rows.append((i, rnd.choice([3, 3, 4, rnd.randrange(60), rnd.randrange(900)]), rnd.choice(["s1", "s1", "s1", "s2", "s3"]), rnd.choice(["alpha", "BETA", "gamma", "delta", "lph", "a", "none", None]), text + " a" * (i % 100 > 0)))
+    got = nearest.closest_negative(spark.createDataFrame(rows, "id int, n int, s string, a string, t string"), "id", "n", "s", "a", "t")
+    assert {r.id: (r.negative, r.gap) for r in got.collect()} == _negatives(rows)
+    alone = nearest.closest_negative(spark.createDataFrame([(*r[:2], "s1", *r[3:]) for r in rows], "id int, n int, s string, a string, t string"), "id", "n", "s", "a", "t")
+    assert alone.count() == 400 and alone.where("negative IS NOT NULL").count() == 0
+
+
 def test_kept_questions_equal_insertion_one_by_one(spark):
     rnd = random.Random(9)
     rows, text = [], [f"word{rnd.randrange(90)}" for _ in range(14)]
