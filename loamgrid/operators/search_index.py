@@ -1,6 +1,6 @@
 """Full-text search in fields: a written index of stems with places, ranked by BM25 with weights for fields.
 
-``build`` writes postings (stem, document, field, places) in buckets by stem, sorted, and the documents' lengths; ``search`` reads only the buckets and row groups of the
+``build`` writes postings (stem, document, field, places) in buckets by stem, sorted in runs, and the documents' lengths; ``search`` reads only the buckets and row groups of the
 stems that are asked for. Queries are phrases of which any or every one must occur; a phrase of several words occurs where its stems stand in order.
 """
 
@@ -15,9 +15,11 @@ from loamgrid.functions.stem import stem_rows, stemmed
 
 # Fixed values of the ranking: saturation, length, and what a phrase counts that most documents hold.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-BUCKETS, SPREAD = 16, 2
-#: Documents of a task that sorts a share of a bucket: the shares grow in number, not in size.
-SHARE = 50_000
+BUCKETS = 16
+#: Postings of a file at most: the files of a bucket grow in number, not in size.
+SHARE = 2_000_000
+#: What lets a task write to all its buckets' files at once instead of sorting its rows by bucket.
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 #: Stems asked for up to which a search names them to the scan.
 NAMED = 5_000
 
@@ -33,11 +35,14 @@ def build(docs: DataFrame, path: str, id_col: str, fields: list[str], buckets: i
     x = x.select(F.col(id_col).alias("doc"), F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)])).alias("f"))
     x = stem_rows(x.select("doc", F.col("f.field").cast("tinyint").alias("field"), "f.text"), "text")
     rows = x.select("term", "doc", "field", "places").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    # A bucket is dealt to SPREAD tasks or more by document, for stems that most documents hold; texts are cut once, as nothing is sampled for ranges.
-    spread = max(SPREAD, -(-docs.count() // SHARE))
-    dealt = rows.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("doc"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # Every task writes the postings of its own documents, sorted as they come, in its files of all buckets: none is shuffled, and none sorted again.
     spark = docs.sparkSession
+    before = spark.conf.get(OPEN_FILES, "0")
+    spark.conf.set(OPEN_FILES, str(max(buckets, int(before))))
+    try:
+        rows.write.mode("overwrite").option("maxRecordsPerFile", SHARE).option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    finally:
+        spark.conf.set(OPEN_FILES, before)
     written = read_postings(spark, path, dict(docs.dtypes)[id_col])
     sizes = docs.select(F.col(id_col).alias("doc")).join(written.groupBy("doc").agg(F.sum(F.size("places")).alias("n")), "doc", "left").select("doc", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     sizes.write.mode("overwrite").parquet(f"{path}/docs")
@@ -69,15 +74,21 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 16, weig
     if len(named) <= NAMED:
         buckets = {r.b for r in spark.createDataFrame([(t,) for t in named], "t string").select(bucket_of(F.col("t"), stats["buckets"]).alias("b")).collect()}
         postings = postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*named))
-    met = postings.join(phrases, "term").select("stems", "doc", "field", F.expr("transform(places, p -> p - at)").alias("starts"))
+    few = len(named) <= NAMED
+    phrases = F.broadcast(phrases) if few else phrases
+    # Only phrases of several words need their places; of a single one, each task counts where the postings lie.
+    single = postings.join(phrases.where("size(stems) = 1"), "term").select("stems", "doc", (F.size("places") * by_field).alias("f"))
+    met = postings.join(phrases.where("size(stems) > 1"), "term").select("stems", "doc", "field", F.expr("transform(places, p -> p - at)").alias("starts"))
     starts = met.groupBy("stems", "doc", "field").agg(F.collect_list("starts").alias("all")).where("size(all) = size(stems)")  # at most a row for each word of the phrase
     starts = starts.withColumn("n", F.expr("size(aggregate(slice(all, 2, size(all)), all[0], (a, x) -> array_intersect(a, x)))")).where("n > 0")
-    hits = starts.groupBy("stems", "doc").agg(F.sum(F.col("n") * by_field).alias("f"))
+    # All that is found of a document is dealt out once, by document; pairs of a query and a document are made and summed there.
+    hits = single.unionAll(starts.select("stems", "doc", F.col("n") * by_field)).repartition("doc").groupBy("doc", "stems").agg(F.sum("f").alias("f"))
     df = hits.groupBy("stems").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((stats["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    found = asked.join(hits, "stems").join(df.select("stems", idf.alias("idf")), "stems").join(lengths, "doc")
+    asked = asked.join(df.select("stems", idf.alias("idf")), "stems")
+    found = hits.join(lengths, "doc").join(F.broadcast(asked) if few else asked, "stems")
     mean = stats["n_words"] / stats["n_docs"] or math.inf
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / mean))
-    scored = found.groupBy(query_id, "doc").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("had"), F.any_value("wanted").alias("wanted"), F.any_value("every").alias("every")).where("NOT every OR had = wanted")
+    scored = found.groupBy("doc", query_id).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("had"), F.any_value("wanted").alias("wanted"), F.any_value("every").alias("every")).where("NOT every OR had = wanted")
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "doc", "score", "rank")

@@ -175,3 +175,21 @@ def test_paired_bootstrap_numbers_a_null_item_last_as_its_sql(spark, tmp_path):
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = c.execute(catalogue.oracle_sql()["paired_bootstrap"]).fetchall()
     assert [tuple(r) for r in catalogue.queries()["paired_bootstrap"](spark, str(tmp_path)).collect()] == want
+
+
+def test_postings_of_a_document_stay_in_its_task(spark, tmp_path):
+    rows = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{k}" for k in range(40))) for i in range(60)], "doc_id long, t string").repartition(5)
+    search_index.build(rows, str(tmp_path), "doc_id", ["t"], 4)
+    posted = spark.read.parquet(f"{tmp_path}/postings").withColumn("task", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1))
+    tasks = posted.groupBy("doc").agg(F.count_distinct("task").alias("n"), F.count_distinct("term").alias("terms")).collect()
+    assert {(r.n, r.terms) for r in tasks} == {(1, 40)} and len(tasks) == 60
+
+
+def test_only_members_of_a_pool_are_split_into_terms(spark):
+    from loamgrid.operators import retrieval
+
+    docs = spark.createDataFrame([(i, f"one two three w{i}") for i in range(50)], "doc_id long, text string")
+    pool, items = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "item_id long, id long"), spark.createDataFrame([(1, "one w7"), (2, "w7")], "item_id long, text string")
+    got = retrieval.rerank(pool, docs, items, {"text": 1.0})
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.item_id, r.id) for r in got.orderBy("item_id", "rank").collect()] == [(1, 7), (1, 8), (2, 7)]
