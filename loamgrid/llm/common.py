@@ -38,11 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bytes of a row group of ``cut``: a task that writes or reads one holds all of it, outside the memory that Spark counts.
+ROW_GROUP = 16 << 20
+
+
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loamgrid-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loamgrid_path = path
     return out

@@ -31,8 +31,10 @@ HOT = 64
 SALT = 16
 #: Rows of a table of one small row per group up to which it is broadcast.
 BROADCAST_GROUPS = 200_000
-#: Ids of active documents (8 bytes each) up to which they are broadcast to filter the texts.
-BROADCAST_IDS = 2_000_000
+#: Ids of documents that stay (8 bytes each), and of active ones, up to which they are broadcast to filter the texts.
+BROADCAST_IDS, BROADCAST_ACTIVE = 2_000_000, 500_000
+#: First columns that one task compares: tasks grow in number, not in size.
+DEALT = 1_000_000
 CACHE = 100_000
 PRIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -117,7 +119,7 @@ def _rows(df: DataFrame, make, ddl: str) -> DataFrame:
 
 
 def common_columns(texts: DataFrame) -> list[tuple[int, int]]:
-    """Hashes that a sample of documents repeats, with their counts: at most COMMON_MOST, the most frequent."""
+    """Hashes that a sample of documents repeats, with their counts: the most frequent, down to the least count that leaves at most COMMON_MOST."""
 
     def make():
         shingles = Shingler()
@@ -133,8 +135,17 @@ def common_columns(texts: DataFrame) -> list[tuple[int, int]]:
         return fn
 
     sample = texts.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SAMPLE)) == 0)
-    counts = _rows(sample, make, "s bigint").groupBy("s").count().where(F.col("count") >= COMMON)
-    return [(r["s"], r["count"]) for r in counts.orderBy(F.desc("count"), "s").limit(COMMON_MOST).collect()]
+    counts = cut(_rows(sample, make, "s bigint").groupBy("s").count().where(F.col("count") >= COMMON))
+    # No task sorts them: of each count, how many columns have it is enough to tell where to stop.
+    least, total = None, 0
+    for r in sorted(counts.groupBy("count").agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True):
+        total += r["m"]
+        if total > COMMON_MOST:
+            break
+        least = r["count"]
+    out = [] if least is None else [(r["s"], r["count"]) for r in counts.where(F.col("count") >= least).collect()]
+    discard(counts)
+    return out
 
 
 class Order:
@@ -205,7 +216,7 @@ def sets_of(nodes: DataFrame, texts: DataFrame, names: DataFrame, shared) -> Dat
     Where a text has another set because its id is repeated, its set is there too and joins with nothing.
     """
     ids = cut(nodes.join(names, "node").select(F.col("least").alias("id")).distinct())
-    wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
+    wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ACTIVE else ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
     out = cut(whole_sets(wanted, shared), "lz4_raw")
     discard(ids)
     return out
@@ -241,7 +252,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = shared_order(texts)
     base = cut(shingle_sets(texts, shared))
     postings = base.select(F.posexplode("first").alias("at", "c"), "cold", _node())
-    dealt = postings.where("at < cold").select("c", "at", "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(base.agg(F.sum("cold").alias("n")).first()["n"] or 0) // DEALT))
+    dealt = postings.where("at < cold").select("c", "at", "node").repartition(tasks, "c")
     # Columns that are not hot have few rows each: one pass over them, where they lie, tells those of one row only.
     of_column = Window.partitionBy("c")
     several = dealt.withColumn("one", F.min("node").over(of_column) == F.max("node").over(of_column)).where("NOT one").drop("one")

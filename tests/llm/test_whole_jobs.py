@@ -368,3 +368,31 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     for stage in (f for _, f in corpus_pipeline.STAGES):
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
     assert TEXTS
+
+
+def test_tasks_that_compare_columns_grow_in_number(spark, monkeypatch):
+    import re
+
+    from loamgrid.llm import jaccard
+
+    plans, real = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "DEALT", 100, raising=False)
+    monkeypatch.setattr(jaccard, "cut", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a))
+    monkeypatch.setattr(jaccard, "COMMON_MOST", 3)
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(100 + i % 2))) for i in range(60)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 2 * 2 for i in range(60)}
+    dealt = [int(n) for p in plans for n in re.findall(r"hashpartitioning\(c#\d+L, (\d+)\), REPARTITION_BY_NUM", p)]
+    assert dealt and min(dealt) > 10 and not any("TakeOrderedAndProject" in p for p in plans)
+
+
+def test_row_groups_of_tables_on_the_way_are_small(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from loamgrid.llm import common
+
+    out = common.cut(spark.range(0, 5_000_000, 1, 1).selectExpr("xxhash64(id) AS x"))
+    assert pq.ParquetFile(glob.glob(f"{out._loamgrid_path.removeprefix('file:')}/*.parquet")[0]).metadata.num_row_groups > 1
+    assert out.count() == 5_000_000
